@@ -105,8 +105,8 @@ def html_escape(x: ColumnOrName) -> Column:
 
 def strip_number_text(x: ColumnOrName) -> Column:
     """``as.character(as.numeric(x))``: "01" -> "1", "2.50" -> "2.5", bad text -> NULL."""
-    d = F.try_cast(_c(x), "double")
-    as_int = F.try_cast(d, "bigint")
+    d = _c(x).try_cast("double")
+    as_int = d.try_cast("bigint")
     return (F.when(d.isNull(), F.lit(None).cast("string"))
             .when(as_int.isNotNull() & (as_int.cast("double") == d), as_int.cast("string"))
             .otherwise(d.cast("string")))

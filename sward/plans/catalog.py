@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sward.functions.rsem import r_if
 from sward.operators.metrics import COVER_NAMES, RICHNESS_NAMES
 from sward.plans import oracle as O
 from sward.plans import pipeline as P
@@ -113,26 +114,556 @@ def change_type(spark, sf_dir):
 
 
 # --------------------------------------------------------------- full pipeline
-def _site_sql() -> str:
-    dist = O.sql_r_round("p.distanceRiver", 1)
-    acc = O.sql_r_round("t.accumulatedCov", 1)
-    return O.with_views(["v_points", "v_plots"], f"""
-select t.id, t.plot, p.block, p.location,
- concat(upper(substr(p.location, 1, 3)), '-', cast(p.constructionYear as varchar)) as locationYear,
- p.riverkm, {dist} as distanceRiver, t.surveyYear, p.exposition, p.side,
- {acc} as accumulatedCov, t.speciesRichness, t.rlgRichness, t.biotopeType, t.ffh, t.biotopePoints,
- case when (t.plot_key + t.surveyYear) % 7 = 0 then null
-      else concat('botanist_', cast((t.plot_key + t.surveyYear) % 3 as varchar)) end as botanist
-from v_points t left join v_plots p on t.plot_key = p.plot_key
-where {acc} > 0""")
-
-
-@register("site_table", _site_sql())
+@register("site_table", O.with_views(["v_site"], "select * from v_site"))
 def site_table(spark, sf_dir):
     """The reference's 17-column analysis table."""
     return P.site_table(spark, sf_dir)
 
 
+# --------------------------------------------------------------- keys, labels, levels
+def _esc_sql(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _na(x: str) -> str:
+    return f"coalesce({x}, 'NA')"
+
+
+@register("visit_key_codec", O.with_views(["v_plots"], """
+select id, substr(id, 2, 5) as plot, substr(id, 8, 1) as position,
+ cast(cast(substr(id, 2, 5) as bigint) as varchar) as plot_display, surveyYear,
+ cast(surveyYear as varchar) as surveyYearF, cast(surveyYear - 1 as varchar) as surveyYearFminus,
+ cast(constructionYear as varchar) as constructionYearF, cast(constructionYear + 1 as varchar) as constructionYearFplus,
+ cast(surveyYear - constructionYear as integer) as plotAge
+from (select concat('X', concat(lpad(cast(v.plot_key as varchar), 5, '0'), '_m'), '_', cast(v.surveyYear as varchar)) as id,
+             v.surveyYear, p.constructionYear
+      from (select distinct l_suppkey as plot_key, cast(year(l_shipdate) as integer) as surveyYear from lineitem) v
+      left join v_plots p on v.plot_key = p.plot_key) k"""))
+def visit_key_codec(spark, sf_dir):
+    """Build the visit id, decode plot / position, display id, year categories."""
+    from sward.functions.rsem import str_c, str_sub, strip_number_text
+    from sward.sources import standin
+    from sward.sources.tables import table
+    li = table(spark, sf_dir, "lineitem")
+    visits = li.select(F.col("l_suppkey").alias("plot_key"), F.year("l_shipdate").alias("surveyYear")).distinct()
+    plots = standin.plots(spark, sf_dir).select("plot_key", "constructionYear")
+    v = visits.join(plots, "plot_key", "left")
+    raw_id = F.concat(standin.plot_code("plot_key"), F.lit("_m"))
+    v = v.withColumn("id", F.concat(F.lit("X"), str_c(raw_id, F.col("surveyYear"), sep="_")))
+    return v.select(
+        "id", str_sub("id", 2, 6).alias("plot"), str_sub("id", 8, 8).alias("position"),
+        strip_number_text(str_sub("id", 2, 6)).alias("plot_display"), "surveyYear",
+        F.col("surveyYear").cast("string").alias("surveyYearF"),
+        (F.col("surveyYear") - 1).cast("string").alias("surveyYearFminus"),
+        F.col("constructionYear").cast("string").alias("constructionYearF"),
+        (F.col("constructionYear") + 1).cast("string").alias("constructionYearFplus"),
+        (F.col("surveyYear") - F.col("constructionYear")).cast("int").alias("plotAge"))
+
+
+@register("trait_flags", O.with_views(["v_flags"], """
+select name, leanIndicator, target, ruderal from v_flags"""))
+def trait_flags(spark, sf_dir):
+    """Lean indicator, target species, ruderal by sociology range."""
+    return P.species_traits(spark, sf_dir).select("name", "leanIndicator", "target", "ruderal")
+
+
+@register("ellenberg_groups", O.with_views(["v_flags"], """
+select name, sociology, targetEllenberg from v_flags"""))
+def ellenberg_groups(spark, sf_dir):
+    """C4 + P12: half-open sociology ranges -> grassland group."""
+    return P.species_traits(spark, sf_dir).select("name", "sociology", "targetEllenberg")
+
+
+_ABB_SQL = ("regexp_replace(concat(coalesce(substr(string_split(latin, '_')[1], 1, 4), 'NA'), "
+            "coalesce(substr(string_split(latin, '_')[2], 1, 4), 'NA'), "
+            "coalesce(substr(string_split(latin, '_')[4], 1, 4), 'NA')), 'NA', '')")
+
+
+@register("species_abbrev", O.with_views(["v_traits"], f"""
+select name, latin, {_ABB_SQL} as abb from v_traits"""))
+def species_abbrev(spark, sf_dir):
+    """4+4+4 letter abbreviation of the species name."""
+    from sward.operators.traits import species_abbrev as abbrev
+    from sward.sources import standin
+    return abbrev(standin.traits(spark, sf_dir).select("name", "latin"))
+
+
+@register("abbrev_duplicates", O.with_views(["v_traits"], f"""
+select name, latin, abb from (
+ select name, latin, abb, row_number() over (partition by abb order by latin, name) as rn
+ from (select name, latin, {_ABB_SQL} as abb from v_traits) a) d
+where rn > 1"""))
+def abbrev_duplicates(spark, sf_dir):
+    """Second and later species (in name order) sharing an abbreviation."""
+    from sward.operators.traits import abbrev_duplicates as dups
+    from sward.operators.traits import species_abbrev as abbrev
+    from sward.sources import standin
+    return dups(abbrev(standin.traits(spark, sf_dir).select("name", "latin")))
+
+
+@register("location_labels", O.with_views(["v_plots"], """
+select plot, location, upper(substr(location, 1, 3)) as locationAbb, constructionYear,
+ concat(upper(substr(location, 1, 3)), '-', cast(constructionYear as varchar)) as locationYear
+from v_plots"""))
+def location_labels(spark, sf_dir):
+    """F8: location abbreviation and location-year label per plot."""
+    from sward.functions.rsem import str_sub
+    from sward.sources import standin
+    p = standin.plots(spark, sf_dir)
+    return p.select("plot", "location", F.upper(str_sub("location", 1, 3)).alias("locationAbb"),
+                    "constructionYear",
+                    P.location_year(F.col("location"), F.col("constructionYear")).alias("locationYear"))
+
+
+@register("location_levels", O.with_views(["v_plots"], """
+select location, min(constructionYear) as firstConstructionYear,
+ cast(row_number() over (order by min(cast(constructionYear as bigint) * 1000000000 + plot_key)) as integer) as level
+from v_plots group by location"""))
+def location_levels(spark, sf_dir):
+    """Factor levels in order of first appearance after a stable sort by construction year.
+
+    One partial aggregate per value; the ranking then runs over the distinct
+    values only (bounded by the number of locations).
+    """
+    from pyspark.sql import Window
+    from sward.sources import standin
+    p = standin.plots(spark, sf_dir)
+    first = p.groupBy("location").agg(F.min(F.struct("constructionYear", "plot_key")).alias("_f"))
+    return first.select("location", F.col("_f.constructionYear").alias("firstConstructionYear"),
+                        F.row_number().over(Window.orderBy("_f")).cast("int").alias("level"))
+
+
+# --------------------------------------------------------------- species list checks
+_PRESENT_SQL = "select name, sum(q) / 25e0 as total from v_cover group by name having sum(q) / 25e0 > 0"
+
+
+@register("species_present", O.with_views(["v_cover"], f"""
+select name, total, cast(1 as integer) as presence from ({_PRESENT_SQL}) t"""))
+def species_present(spark, sf_dir):
+    """A22 + F16: total cover per species over all visits, species with total > 0."""
+    from sward.operators.species import species_present as present
+    from sward.sources import standin
+    return present(standin.cover(spark, sf_dir), value="q", scale=standin.COVER_SCALE)
+
+
+@register("traits_semi", O.with_views(["v_cover", "v_flags"], f"""
+select name, latin, family, leanIndicator, target from v_flags
+where name in (select name from ({_PRESENT_SQL}) t)"""))
+def traits_semi(spark, sf_dir):
+    """Traits of the species that occur."""
+    from sward.operators.species import species_present as present
+    from sward.operators.traits import traits_of_present
+    from sward.sources import standin
+    pres = present(standin.cover(spark, sf_dir), value="q", scale=standin.COVER_SCALE)
+    tr = P.species_traits(spark, sf_dir).select("name", "latin", "family", "leanIndicator", "target")
+    return traits_of_present(tr, pres)
+
+
+@register("species_without_traits", O.with_views(["v_cover", "v_traits"], f"""
+select name, total from ({_PRESENT_SQL}) t where name not in (select name from v_traits)"""))
+def species_without_traits(spark, sf_dir):
+    """Occurring species that have no trait record."""
+    from sward.operators.species import species_present as present
+    from sward.operators.traits import species_without_traits as missing
+    from sward.sources import standin
+    pres = present(standin.cover(spark, sf_dir), value="q", scale=standin.COVER_SCALE).select("name", "total")
+    return missing(pres, standin.traits(spark, sf_dir))
+
+
+@register("species_frequency", O.with_views(["v_cover"], """
+select name, count(case when q <> 0 then 1 end) as frequency from v_cover group by name"""))
+def species_frequency(spark, sf_dir):
+    """Number of visits in which each species occurs."""
+    from sward.operators.species import species_frequency as freq
+    from sward.sources import standin
+    return freq(standin.cover(spark, sf_dir), value="q")
+
+
+# --------------------------------------------------------------- ratios, sequence, group size
+@register("site_ratios", O.with_views(["v_points", "v_plots"], f"""
+select t.id, t.plot, t.surveyYear,
+ {O.sql_r_round("t.targetCov / nullif(t.accumulatedCov, 0)", 3)} as targetCovratio,
+ {O.sql_r_round("t.graminoidCov / nullif(t.accumulatedCov, 0)", 3)} as graminoidCovratio,
+ {O.sql_r_round("cast(t.targetRichness as double) / nullif(t.speciesRichness, 0)", 3)} as targetRichratio,
+ round(p.finematerialDepth * p.finematerialDensity * 10e0 * p.NtotalPerc / 100e0, 6) as NtotalConc,
+ cast(t.surveyYear - p.constructionYear as integer) as plotAge
+from v_points t left join v_plots p on t.plot_key = p.plot_key"""))
+def site_ratios(spark, sf_dir):
+    """Cover and richness ratios (R-rounded to 3 digits), N concentration, plot age."""
+    from sward.functions.rsem import r_round
+    s = P.sites(spark, sf_dir)
+    conc = (F.col("finematerialDepth") * F.col("finematerialDensity") * F.lit(10.0) * F.col("NtotalPerc")
+            / F.lit(100.0))
+    return s.select(*KEYS, r_round("targetCovratio", 3).alias("targetCovratio"),
+                    r_round("graminoidCovratio", 3).alias("graminoidCovratio"),
+                    r_round("targetRichratio", 3).alias("targetRichratio"),
+                    F.round(conc, 6).alias("NtotalConc"), F.col("plotAge").cast("int").alias("plotAge"))
+
+
+@register("visit_sequence", O.with_views(["v_visits"], """
+select id, row_number() over (order by id) as seq from v_visits"""))
+def visit_sequence(spark, sf_dir):
+    """W2 ``seq_along(id)``: 1..N in id order, range-partitioned (no single-task window)."""
+    from sward.operators.sequence import row_sequence
+    from sward.sources import standin
+    from sward.sources.tables import table
+    li = table(spark, sf_dir, "lineitem")
+    visits = (li.select(F.col("l_suppkey").alias("plot_key"), F.year("l_shipdate").alias("surveyYear")).distinct()
+              .select(standin.visit_id("plot_key", "surveyYear").alias("id")))
+    return row_sequence(visits, ["id"], "seq")
+
+
+@register("group_size", O.with_views(["v_points"], """
+select id, plot, surveyYear, ffh, count(*) over (partition by plot) as count from v_points"""))
+def group_size(spark, sf_dir):
+    """A24 + A25 as written (the in-group max filter keeps every row)."""
+    from sward.operators.change import group_size as gs
+    return gs(P.visit_types(spark, sf_dir).select(*KEYS, "ffh"))
+
+
+@register("complete_plots", O.with_views(["v_points"], """
+select id, plot, surveyYear, n as count from v_points join
+ (select plot, count(*) as n from v_points group by plot) c using (plot)
+where n = (select max(n) from (select plot, count(*) as n from v_points group by plot) m)"""))
+def complete_plots(spark, sf_dir):
+    """A25, evident intent: plots with as many visits as the most visited plot."""
+    from sward.operators.change import complete_plots as cp
+    return cp(P.visit_types(spark, sf_dir).select(*KEYS))
+
+
+# --------------------------------------------------------------- map layers
+@register("first_visit", O.with_views(["v_site"], """
+select plot, surveyYear, id, location, exposition, side from (
+ select *, row_number() over (partition by plot order by surveyYear, id) as rn from v_site) f where rn = 1"""))
+def first_visit(spark, sf_dir):
+    """The first visit row of every plot (file order = year, id)."""
+    from sward.operators.mapview import first_visit as fv
+    return fv(P.site_table(spark, sf_dir))
+
+
+def _plot_layer_sql() -> str:
+    disp = "cast(cast(p.plot as bigint) as varchar)"
+    popup = (f"concat('<b>', {_na(_esc_sql('f.location'))}, '</b>', '<br/>', 'ID: ', {_na(_esc_sql(disp))}, "
+             f"'</b>', '<br/>', 'Exposition: ', {_na(_esc_sql('f.exposition'))}, '</b>', '<br/>', "
+             f"'Seite: ', {_na(_esc_sql('f.side'))})")
+    label = f"concat({_na('f.location')}, ' (ID: ', {_na(disp)}, ')')"
+    return O.with_views(["v_site", "v_plots"], f"""
+select p.plot, p.lon, p.lat, f.location, f.exposition, f.side, {disp} as plot_display,
+ {popup} as popup, {label} as label
+from v_plots p left join (
+ select * from (select *, row_number() over (partition by plot order by surveyYear, id) as rn from v_site) x
+ where rn = 1) f on p.plot = f.plot""")
+
+
+@register("plot_layer", _plot_layer_sql())
+def plot_layer(spark, sf_dir):
+    """M1 + J1 + S5 + F9 + F10: marker layer with first-visit attributes, popup and label."""
+    from sward.operators.mapview import plot_layer as layer
+    from sward.sources.layers import point_layer
+    return layer(point_layer(spark, sf_dir), P.site_table(spark, sf_dir))
+
+
+def _line_layer_sql() -> str:
+    built, ren = _na(_esc_sql("BAUJAHR")), _na(_esc_sql("SANIERUNG"))
+    return O.with_views(["v_vertices"], f"""
+select line_id, BAUJAHR, SANIERUNG, GWO_L, BETREIBE_L, n_vertices,
+ concat('Baujahr: ', {built}, ', Sanierung:', {ren}) as label,
+ concat('Baujahr: ', {built}, '<br/>', 'Sanierung: ', {ren}) as popup
+from (select o_orderkey as line_id, cast(year(o_orderdate) as varchar) as BAUJAHR,
+             case when o_orderstatus = 'P' then null
+                  else concat('<', o_orderstatus, '> & ', o_orderpriority) end as SANIERUNG,
+             o_orderstatus as GWO_L, o_orderpriority as BETREIBE_L
+      from orders) a
+left join (select line_id, count(*) as n_vertices from v_vertices group by line_id) c using (line_id)""")
+
+
+@register("line_layer", _line_layer_sql())
+def line_layer(spark, sf_dir):
+    """M2 + S6 + F10: line attributes, vertex count, label and popup."""
+    from sward.operators.mapview import line_layer as layer
+    from sward.sources.layers import line_layer_with_vertices
+    return layer(line_layer_with_vertices(spark, sf_dir))
+
+
+# --------------------------------------------------------------- series and reference lines
+def _series_sql(metric: str, lo: float, hi: float, extra: str = "") -> str:
+    return O.with_views(["v_site", "v_plots"], f"""
+select location, plot, surveyYear, {metric} as y, biotopeType,
+ ({metric} >= {lo} and {metric} <= {hi}) as in_range,
+ concat({_na(_esc_sql('location'))}, '. ID: ', {_na(_esc_sql('plot'))}) as title {extra}
+from v_site where plot in (select plot from v_plots)""")
+
+
+def _all_plots(spark, sf_dir):
+    from sward.sources.layers import point_layer
+    return point_layer(spark, sf_dir).select("plot")
+
+
+@register("plot_series", _series_sql("speciesRichness", 0, 50))
+def plot_series(spark, sf_dir):
+    """M3 + P10: species-richness series of the plots on the map (semi join on the point layer)."""
+    from sward.operators.mapview import plot_series as series
+    return series(P.site_table(spark, sf_dir), "speciesRichness", _all_plots(spark, sf_dir))
+
+
+@register("plot_selection", _series_sql("rlgRichness", 0, 8))
+def plot_selection(spark, sf_dir):
+    """P15 default branch: an unknown metric name selects rlgRichness."""
+    from sward.operators.mapview import plot_series as series
+    return series(P.site_table(spark, sf_dir), "anything-else", _all_plots(spark, sf_dir))
+
+
+def _stats_sql(metrics) -> str:
+    parts = []
+    for m in metrics:
+        parts.append(f"""select '{m}' as metric,
+ round(case when count({m}) = count(*) then avg({m}) end, 6) as mean,
+ round(case when count({m}) = count(*) then avg({m}) + 0.5e0 * stddev_samp({m}) end, 6) as upper,
+ round(case when count({m}) = count(*) then avg({m}) - 0.5e0 * stddev_samp({m}) end, 6) as lower,
+ min(surveyYear) as x_min, max(surveyYear) as x_max from v_site""")
+    return " union all ".join(parts)
+
+
+_METRICS = ("speciesRichness", "biotopePoints", "rlgRichness")
+
+
+def _round_stats(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("mean", "upper", "lower") else F.col(c)
+                       for c in df.columns])
+
+
+@register("reference_lines", O.with_views(["v_site"], _stats_sql(_METRICS)))
+def reference_lines(spark, sf_dir):
+    """M4 (A26 + A27): global mean, mean +- 0.5 sd and year domain for each metric, one pass."""
+    from sward.operators.mapview import reference_stats_all
+    return _round_stats(reference_stats_all(P.site_table(spark, sf_dir), _METRICS))
+
+
+@register("series_with_bands", _series_sql("biotopePoints", 0, 15, """,
+ case when biotopePoints >= 0 and biotopePoints <= 8.5 then 'red'
+      when biotopePoints > 8.5 and biotopePoints <= 11.5 then 'green'
+      when biotopePoints > 11.5 and biotopePoints <= 15 then 'green3' end as band"""))
+def series_with_bands(spark, sf_dir):
+    """M5 + C23: biotope-points series with the chart band per point."""
+    from sward.operators.mapview import series_with_bands as bands
+    return bands(P.site_table(spark, sf_dir), _all_plots(spark, sf_dir))
+
+
+@register("series_all_plots", O.with_views(["v_site", "v_plots"], """
+select location, plot, surveyYear, speciesRichness as y, biotopeType,
+ (speciesRichness >= 0 and speciesRichness <= 50) as in_range,
+ concat(coalesce(replace(replace(replace(location, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'NA'), '. ID: ',
+        coalesce(replace(replace(replace(plot, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'NA')) as title,
+ s.mean, s.upper, s.lower, s.x_min, s.x_max
+from v_site join s on s.metric = 'speciesRichness' where plot in (select plot from v_plots)""",
+    extra=[("s", _stats_sql(["speciesRichness"]))]))
+def series_all_plots(spark, sf_dir):
+    """M6 + J8: every plot's series with the global reference lines attached."""
+    from sward.operators.mapview import series_with_reference
+    return _round_stats(series_with_reference(P.site_table(spark, sf_dir), "speciesRichness",
+                                              _all_plots(spark, sf_dir)))
+
+
+# --------------------------------------------------------------- geo
+@register("location_centroid", O.with_views(["v_plots"], """
+select concat(upper(substr(location, 1, 3)), '-', cast(constructionYear as varchar)) as locationYear,
+ round(avg(lon), 6) as longitude_center, round(avg(lat), 6) as latitude_center, count(*) as n_plots
+from v_plots group by 1"""))
+def location_centroid(spark, sf_dir):
+    """Centroid of the plots of each location-year."""
+    from sward.operators.geo import centroids
+    from sward.sources import standin
+    p = standin.plots(spark, sf_dir).withColumn(
+        "locationYear", P.location_year(F.col("location"), F.col("constructionYear")))
+    c = centroids(p, "locationYear")
+    return c.select("locationYear", F.round("longitude_center", 6).alias("longitude_center"),
+                    F.round("latitude_center", 6).alias("latitude_center"), "n_plots")
+
+
+@register("path_length", O.with_views(["v_vertices"], """
+select line_id, round(sum(2 * 6371.0088e0 * asin(sqrt(power(sin(radians(lat - plat) / 2), 2)
+ + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2)))), 6) as km
+from (select line_id, lon, lat, lag(lon) over w as plon, lag(lat) over w as plat from v_vertices
+      window w as (partition by line_id order by s1, s2, s3)) e
+where plon is not null group by line_id"""))
+def path_length(spark, sf_dir):
+    """M7: great-circle length of every line (skew-safe consecutive pairs)."""
+    from sward.operators.geo import path_lengths
+    from sward.sources import standin
+    r = path_lengths(standin.vertices(spark, sf_dir), "line_id", ["s1", "s2", "s3"])
+    return r.select("line_id", F.round("km", 6).alias("km"))
+
+
+@register("ring_area", O.with_views(["v_vertices"], """
+select line_id, round(abs(sum(radians(nlon - lon) * (2 + sin(radians(lat)) + sin(radians(nlat)))))
+ * 6371.0088e0 * 6371.0088e0 / 2, 4) as km2
+from (select line_id, lon, lat, coalesce(lead(lon) over w, first_value(lon) over w) as nlon,
+             coalesce(lead(lat) over w, first_value(lat) over w) as nlat from v_vertices
+      window w as (partition by line_id order by s1, s2, s3)) e
+group by line_id having count(*) >= 3"""))
+def ring_area(spark, sf_dir):
+    """M8: spherical area of every ring with at least three vertices."""
+    from sward.operators.geo import ring_areas
+    from sward.sources import standin
+    r = ring_areas(standin.vertices(spark, sf_dir), "line_id", ["s1", "s2", "s3"])
+    return r.select("line_id", F.round("km2", 4).alias("km2"))
+
+
+# --------------------------------------------------------------- reshape
+def _sheet_sql() -> str:
+    cols = []
+    for y in (1996, 1997, 1998):
+        iy = f"year(l_shipdate) = {y}"
+        cols += [
+            f"sum(case when {iy} then l_quantity end) / 25e0 as vegetationCov_{y}",
+            f"max(case when {iy} then l_quantity end) as vegetationHeight_{y}",
+            f"cast(count(case when {iy} and l_returnflag = 'R' then 1 end) as double) as opensoilCov_{y}",
+            f"min(case when {iy} then l_quantity end) as mossCov_{y}",
+            f"cast(count(case when {iy} then 1 end) as double) / 4e0 as litterCov_{y}",
+            f"min(case when {iy} then l_linestatus end) as botanist_{y}",
+        ]
+    return ("select lpad(cast(l_suppkey as varchar), 5, '0') as plot, " + ", ".join(cols)
+            + " from lineitem group by l_suppkey")
+
+
+_SHEET_MEASURES = ("vegetationCov", "vegetationHeight", "opensoilCov", "mossCov", "litterCov", "botanist")
+
+
+def _long_sheet_sql() -> str:
+    parts = []
+    for y in (1996, 1997, 1998):
+        for m in _SHEET_MEASURES:
+            parts.append(f"select plot, '{m}' as x, '{y}' as surveyYear, cast({m}_{y} as varchar) as n from sheet")
+    return " union all ".join(parts)
+
+
+@register("unpivot_measures", O.with_views([], "select * from (" + _long_sheet_sql() + ") u",
+                                          extra=[("sheet", _sheet_sql())]))
+def unpivot_measures(spark, sf_dir):
+    """R1 + P3 + P8: measure-year columns of the plot sheet -> (plot, measure, year, value as text)."""
+    from sward.operators.reshape import unpivot_measures as unpivot
+    from sward.sources.layers import plot_sheet
+    return unpivot(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES)
+
+
+@register("pivot_measures", O.with_views([], " union all ".join(
+    f"select plot, cast({y} as integer) as surveyYear, vegetationCov_{y} as vegetationCov, "
+    f"vegetationHeight_{y} as vegetationHeight, opensoilCov_{y} as opensoilCov, mossCov_{y} as mossCov, "
+    f"litterCov_{y} as litterCov, botanist_{y} as botanist from sheet" for y in (1996, 1997, 1998)),
+    extra=[("sheet", _sheet_sql())]))
+def pivot_measures(spark, sf_dir):
+    """R2 + R3: one row per (plot, year) with typed measure columns (narrow explode, no shuffle)."""
+    from sward.operators.reshape import wide_to_visits
+    from sward.sources.layers import SHEET_NUMERIC, plot_sheet
+    from sward.sources.standin import CHANGE_YEARS
+    return wide_to_visits(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES, CHANGE_YEARS,
+                          numeric=SHEET_NUMERIC)
+
+
+_GRAM = "('Poaceae','Cyperaceae','Juncaceae')"
+
+
+@register("spread_types", O.with_views(["v_cover", "v_traits"], f"""
+select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id,
+ sum(case when family in {_GRAM} then q end) / 25e0 as graminoidCov,
+ sum(case when family not in {_GRAM} then q end) / 25e0 as herbCov
+from v_cover left join v_traits using (name) group by plot_key, surveyYear"""))
+def spread_types(spark, sf_dir):
+    """A1 two-level form + R6: per (visit, type) sums spread to columns; a missing type stays NULL."""
+    from sward.operators.metrics import GRAMINOID_FAMILIES
+    from sward.operators.reshape import spread_sum
+    from sward.sources import standin
+    fam = F.col("family")
+    typed = (standin.cover(spark, sf_dir)
+             .join(standin.traits(spark, sf_dir).select("name", "family"), "name", "left")
+             .withColumn("type", r_if(fam.isin(*GRAMINOID_FAMILIES), "graminoidCov", "herbCov"))
+             .withColumn("id", standin.visit_id("plot_key", "surveyYear")))
+    return spread_sum(typed, ["id"], "type", ["graminoidCov", "herbCov"], "q", standin.COVER_SCALE)
+
+
+@register("cover_long", O.with_views(["v_cover", "v_flags"], """
+select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id,
+ name, q / 25e0 as n, family, target, targetHerb from v_cover left join v_flags using (name)"""))
+def cover_long(spark, sf_dir):
+    """R4 + J2 + P1 P2 P6 P7: long cover table joined to the species traits."""
+    from sward.sources import standin
+    tr = P.species_traits(spark, sf_dir).select("name", "family", "target", "targetHerb", "latin")
+    c = (standin.cover(spark, sf_dir).join(tr, "name", "left")
+         .withColumnsRenamed({"q": "n_raw"})
+         .withColumns({"n": F.col("n_raw") / F.lit(standin.COVER_SCALE),
+                       "id": standin.visit_id("plot_key", "surveyYear")})
+         .drop("n_raw", "latin"))
+    return c.select("id", "name", "n", "family", "target", "targetHerb")
+
+
+_FAMILIES = ("Poaceae", "Cyperaceae", "Juncaceae", "Fabaceae", "Asteraceae", "Rosaceae")
+
+
+@register("cover_wide", O.with_views(["v_cover", "v_traits"], """
+select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id, """
+    + ", ".join(f"sum(case when family = '{f}' then q end) / 25e0 as {f}" for f in _FAMILIES) + """
+from v_cover left join v_traits using (name) group by plot_key, surveyYear"""))
+def cover_wide(spark, sf_dir):
+    """Visit x family cover matrix (explicit pivot values: no extra job, bounded width)."""
+    from sward.operators.reshape import spread_sum
+    from sward.sources import standin
+    c = (standin.cover(spark, sf_dir)
+         .join(standin.traits(spark, sf_dir).select("name", "family"), "name", "left")
+         .withColumn("id", standin.visit_id("plot_key", "surveyYear")))
+    return spread_sum(c, ["id"], "family", _FAMILIES, "q", standin.COVER_SCALE)
+
+
+# --------------------------------------------------------------- CSV ingest and sinks
+@register("csv_null_tokens", """
+select o_orderkey,
+ case when o_orderstatus in ('F', 'P') then null else o_orderstatus end as status,
+ case when o_orderkey % 10 in (0, 1) then null else o_totalprice end as price,
+ case when o_orderkey % 10 in (0, 1) then 0e0 else o_totalprice end as price0,
+ (o_orderkey % 10 in (0, 1)) as price_missing,
+ case when o_orderkey % 7 = 0 then null else cast(o_orderdate as date) end as orderdate,
+ case when o_orderkey % 5 = 0 then null else o_orderpriority end as priority
+from orders""")
+def csv_null_tokens(spark, sf_dir):
+    """Write orders as CSV text with NA tokens and bad numbers, read it back typed."""
+    from sward.functions.rsem import fill_zero
+    from sward.session import shared_path
+    from sward.sources.csv import read_typed_csv, write_csv
+    from sward.sources.tables import table
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = o.select(
+        k.cast("string").alias("o_orderkey"),
+        F.when(F.col("o_orderstatus") == "F", "na").when(F.col("o_orderstatus") == "P", "NA")
+         .otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(k % 10 == 0, F.concat(F.lit("x"), F.col("o_totalprice").cast("string")))
+         .when(k % 10 == 1, F.lit(""))
+         .otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(k % 7 == 0, "NA").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("orderdate"),
+        F.when(k % 5 == 0, "na").otherwise(F.col("o_orderpriority")).alias("priority"),
+    )
+    path = write_csv(text, shared_path(spark, "csv-null-tokens"))
+    typed = read_typed_csv(spark, path, {"o_orderkey": "bigint", "status": "string", "price": "double",
+                                         "orderdate": "date:yyyy-MM-dd", "priority": "string"})
+    typed = typed.withColumns({"price_missing": F.col("price").isNull(), "price0": F.col("price")})
+    typed = fill_zero(typed, ["price0"])
+    return typed.select("o_orderkey", "status", "price", "price0", "price_missing", "orderdate", "priority")
+
+
+@register("species_list_sink", O.with_views(["v_cover"], """
+select cast(name as varchar) as name, cast(count(case when q <> 0 then 1 end) as bigint) as frequency
+from v_cover group by name"""))
+def species_list_sink(spark, sf_dir):
+    """S8 + W6: species frequency list written sorted by name as CSV, read back."""
+    from sward.operators.species import species_frequency as freq
+    from sward.session import shared_path
+    from sward.sources.csv import read_typed_csv, write_csv
+    from sward.sources import standin
+    lst = freq(standin.cover(spark, sf_dir), value="q").orderBy("name")
+    path = write_csv(lst, shared_path(spark, "species-list"))
+    return read_typed_csv(spark, path, {"name": "string", "frequency": "bigint"})
+
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

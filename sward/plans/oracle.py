@@ -33,7 +33,9 @@ select s_suppkey as plot_key, lpad(cast(s_suppkey as varchar), 5, '0') as plot,
  cast(1990 + n_nationkey % 12 as integer) as constructionYear,
  cast(2280 + (s_suppkey * 7) % 50 as integer) as riverkm,
  s_acctbal / 10e0 as distanceRiver,
- 12e0 + (s_suppkey % 97) / 100e0 as lon, 48e0 + (s_suppkey % 89) / 100e0 as lat
+ 12e0 + (s_suppkey % 97) / 100e0 as lon, 48e0 + (s_suppkey % 89) / 100e0 as lat,
+ cast(5 + s_suppkey % 20 as double) as finematerialDepth, 1e0 + (s_suppkey % 7) / 10e0 as finematerialDensity,
+ (s_suppkey % 13) / 100e0 as NtotalPerc
 from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 """
 
@@ -151,6 +153,18 @@ select *,
 from v_types
 """
 
+VIEWS["v_site"] = f"""
+select t.id, t.plot, p.block, p.location,
+ concat(upper(substr(p.location, 1, 3)), '-', cast(p.constructionYear as varchar)) as locationYear,
+ p.riverkm, {sql_r_round("p.distanceRiver", 1)} as distanceRiver, t.surveyYear, p.exposition, p.side,
+ {sql_r_round("t.accumulatedCov", 1)} as accumulatedCov, t.speciesRichness, t.rlgRichness, t.biotopeType, t.ffh,
+ t.biotopePoints,
+ case when (t.plot_key + t.surveyYear) % 7 = 0 then null
+      else concat('botanist_', cast((t.plot_key + t.surveyYear) % 3 as varchar)) end as botanist
+from v_points t left join v_plots p on t.plot_key = p.plot_key
+where {sql_r_round("t.accumulatedCov", 1)} > 0
+"""
+
 VIEWS["v_vertices"] = """
 select distinct l_orderkey as line_id, l_linenumber as s1, l_partkey as s2, l_suppkey as s3,
  12e0 + (l_partkey % 1000) / 1000e0 as lon, 48e0 + (l_suppkey % 100) / 100e0 as lat
@@ -159,13 +173,14 @@ from lineitem
 
 # dependency order of the views
 ORDER = ["v_plots", "v_cover", "v_traits", "v_flags", "v_metrics", "v_visits", "v_types", "v_points",
-         "v_vertices"]
+         "v_site", "v_vertices"]
 DEPS = {
     "v_flags": ["v_traits"],
     "v_metrics": ["v_cover", "v_flags"],
     "v_visits": ["v_metrics"],
     "v_types": ["v_visits"],
     "v_points": ["v_types"],
+    "v_site": ["v_points", "v_plots"],
 }
 
 

@@ -61,6 +61,9 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (F.col("s_acctbal") / F.lit(10.0)).alias("distanceRiver"),
                 (F.lit(12.0) + (k % 97) / F.lit(100.0)).alias("lon"),
                 (F.lit(48.0) + (k % 89) / F.lit(100.0)).alias("lat"),
+                (F.lit(5) + k % 20).cast("double").alias("finematerialDepth"),
+                (F.lit(1.0) + (k % 7) / F.lit(10.0)).alias("finematerialDensity"),
+                ((k % 13) / F.lit(100.0)).alias("NtotalPerc"),
             ))
 
 
