@@ -50,6 +50,50 @@ def r_round(x: ColumnOrName, digits: int = 0) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.signum(x) * rounded)
 
 
+# ---- the same rules as Spark SQL text -------------------------------------
+# Compound rules are generated as SQL text and parsed once by Catalyst
+# (``F.expr`` / ``selectExpr``): the resulting expressions are identical to the
+# Column-API forms above, but building them costs one call instead of dozens.
+
+
+def sql_double(x: float) -> str:
+    """A DOUBLE literal (a bare ``12.5`` is a DECIMAL in Spark SQL)."""
+    return f"{float(x)!r}D"
+
+
+def r_if_sql(cond: str, yes: str, no: str) -> str:
+    return f"(CASE WHEN {cond} THEN {yes} WHEN NOT ({cond}) THEN {no} END)"
+
+
+def r_round_sql(x: str, digits: int = 0) -> str:
+    """SQL text of :func:`r_round`."""
+    p = sql_double(10 ** digits)
+    v = f"CAST(({x}) AS DOUBLE)"
+    ax = f"abs({v})"
+    lo_i = f"floor({ax} * {p})"
+    lo = f"({lo_i} / {p})"
+    hi = f"(ceil({ax} * {p}) / {p})"
+    pick = (f"CASE WHEN ({hi} - {ax}) < ({ax} - {lo}) THEN {hi} "
+            f"WHEN ({ax} - {lo}) < ({hi} - {ax}) THEN {lo} "
+            f"WHEN {lo_i} % 2 = 1 THEN {hi} ELSE {lo} END")
+    return (f"(CASE WHEN {v} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"ELSE signum({v}) * (CASE WHEN {ax} * {p} >= 1.0E15D THEN {ax} ELSE {pick} END) END)")
+
+
+def paste0_sql(*parts: str) -> str:
+    return "concat(" + ", ".join(f"coalesce(CAST({p} AS STRING), 'NA')" for p in parts) + ")"
+
+
+def replace_first_sql(x: str, literal: str, replacement: str = "") -> str:
+    pat = "(?s)^(.*?)" + _regex_quote(literal)
+    repl = "$1" + replacement.replace("\\", "\\\\").replace("$", "\\$")
+    return f"regexp_replace({x}, '{pat}', '{repl}')"
+
+
+def str_match_sql(x: str, pattern: str) -> str:
+    return f"nullif(regexp_extract({x}, '({pattern})', 1), '')"
+
+
 def r_div(a: ColumnOrName, b: ColumnOrName) -> Column:
     """R division for ratios; x/0 (NaN or Inf in R) becomes NULL (ANSI-safe)."""
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))

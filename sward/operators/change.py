@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sward.functions.rsem import r_if
+from sward.functions.rsem import r_if_sql
 
 # ---- fixed values of the reference ----
 NON_FFH = "non-FFH"
@@ -51,24 +51,30 @@ def pivot_years(sites: DataFrame, years: Sequence[int], value: str = "ffh",
     return wide.select(key, *[F.col(f"`{y}`").alias(n) for y, n in zip(years, year_columns(years))])
 
 
-def change_type(a: Column, b: Column, c: Column) -> Column:
+def change_type_sql(a: str, b: str, c: str) -> str:
     """C22 on three consecutive years of the FFH class (nested ifelse, NULL -> NULL)."""
-    n = F.lit(NON_FFH)
-    is_n = [x == n for x in (a, b, c)]
-    not_n = [x != n for x in (a, b, c)]
-    better = is_n[0] & not_n[1] & not_n[2]
-    change = ((not_n[0] & is_n[1] & not_n[2]) | (is_n[0] & not_n[1] & is_n[2])
-              | (is_n[0] & is_n[1] & not_n[2]) | (not_n[0] & not_n[1] & is_n[2]))
-    all_n = is_n[0] & is_n[1] & is_n[2]
-    all_6510 = (a == "6510") & (b == "6510") & (c == "6510")
-    all_6210 = (a == "6210") & (b == "6210") & (c == "6210")
-    any_ffh = not_n[0] & not_n[1] & not_n[2]
-    return r_if(better, "better",
-                r_if(change, "change",
-                     r_if(all_n, "non-FFH",
-                          r_if(all_6510, "FFH6510",
-                               r_if(all_6210, "FFH6210",
-                                    r_if(any_ffh, "any-FFH", "worse"))))))
+    n = f"'{NON_FFH}'"
+    x = (a, b, c)
+    is_n = [f"{v} = {n}" for v in x]
+    not_n = [f"{v} <> {n}" for v in x]
+
+    def all_of(*conds: str) -> str:
+        return "(" + " AND ".join(conds) + ")"
+
+    better = all_of(is_n[0], not_n[1], not_n[2])
+    change = ("(" + " OR ".join([all_of(not_n[0], is_n[1], not_n[2]), all_of(is_n[0], not_n[1], is_n[2]),
+                                 all_of(is_n[0], is_n[1], not_n[2]), all_of(not_n[0], not_n[1], is_n[2])]) + ")")
+    all_n = all_of(*is_n)
+    all_6510 = all_of(*[f"{v} = '6510'" for v in x])
+    all_6210 = all_of(*[f"{v} = '6210'" for v in x])
+    any_ffh = all_of(*not_n)
+    return r_if_sql(better, "'better'", r_if_sql(change, "'change'", r_if_sql(all_n, "'non-FFH'", r_if_sql(
+        all_6510, "'FFH6510'", r_if_sql(all_6210, "'FFH6210'", r_if_sql(any_ffh, "'any-FFH'", "'worse'"))))))
+
+
+def change_type(a: str, b: str, c: str) -> Column:
+    """C22 over the three year columns named ``a``, ``b``, ``c``."""
+    return F.expr(change_type_sql(a, b, c))
 
 
 def change_classes(sites: DataFrame, years: Sequence[int], key: str = "plot") -> DataFrame:
@@ -76,5 +82,4 @@ def change_classes(sites: DataFrame, years: Sequence[int], key: str = "plot") ->
     if len(years) != 3:
         raise ValueError("the change rules are defined on exactly three survey years")
     wide = pivot_years(group_size(sites.select(key, "surveyYear", "ffh"), key), years, key=key)
-    x = [F.col(n) for n in year_columns(years)]
-    return wide.withColumn("changeType", change_type(*x))
+    return wide.withColumn("changeType", F.expr(change_type_sql(*year_columns(years))))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.operators.sequence import consecutive_pairs, group_ends
+from sward.operators.sequence import consecutive_pairs, group_ends, ordered_layout, pairs_in_layout
 
 # ---- fixed values ----
 EARTH_RADIUS_KM = 6371.0088
@@ -37,24 +37,31 @@ def _shoelace_term(lon: Column, lat: Column, nlon: Column, nlat: Column) -> Colu
 
 
 def path_lengths(vertices: DataFrame, line: str, order: Sequence[str],
-                 lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Great-circle length in km of each path (M7); single-vertex paths have no row."""
-    pairs = consecutive_pairs(vertices, line, order, [lon, lat])
+                 lon: str = "lon", lat: str = "lat", distinct: bool = False) -> DataFrame:
+    """Great-circle length in km of each path (M7); single-vertex paths have no row.
+
+    ``distinct=True`` drops repeated vertex rows inside the same range shuffle.
+    """
+    pairs = consecutive_pairs(vertices, line, order, [lon, lat], distinct=distinct)
     seg = haversine_km(F.col(f"p_{lon}"), F.col(f"p_{lat}"), F.col(lon), F.col(lat))
     return pairs.groupBy(line).agg(F.sum(seg).alias("km"))
 
 
 def ring_areas(vertices: DataFrame, line: str, order: Sequence[str],
-               lon: str = "lon", lat: str = "lat", min_vertices: int = 3) -> DataFrame:
-    """Area in km^2 of each ring closed from its last vertex back to the first (M8)."""
-    pairs = consecutive_pairs(vertices, line, order, [lon, lat])
-    inner = (pairs.select(line, _shoelace_term(F.col(f"p_{lon}"), F.col(f"p_{lat}"),
-                                               F.col(lon), F.col(lat)).alias("t"))
+               lon: str = "lon", lat: str = "lat", min_vertices: int = 3, distinct: bool = False) -> DataFrame:
+    """Area in km^2 of each ring closed from its last vertex back to the first (M8).
+
+    Edge terms of consecutive vertices and the closing edge (last -> first,
+    from a per-ring partial aggregate) are summed per ring.
+    """
+    layout = ordered_layout(vertices, line, order, [lon, lat], distinct=distinct)
+    pairs = pairs_in_layout(layout, line, order, [lon, lat])
+    terms = pairs.select(line, _shoelace_term(F.col(f"p_{lon}"), F.col(f"p_{lat}"),
+                                              F.col(lon), F.col(lat)).alias("t"))
+    ends = group_ends(layout, line, order, [lon, lat]).filter(F.col("n") >= min_vertices)
+    wrap = ends.select(line, _shoelace_term(F.col(f"last_{lon}"), F.col(f"last_{lat}"),
+                                            F.col(f"first_{lon}"), F.col(f"first_{lat}")).alias("t"))
+    total = (terms.join(ends.select(line), line, "left_semi").unionByName(wrap)
              .groupBy(line).agg(F.sum("t").alias("t")))
-    ends = group_ends(vertices, line, order, [lon, lat])
-    wrap = _shoelace_term(F.col(f"last_{lon}"), F.col(f"last_{lat}"), F.col(f"first_{lon}"), F.col(f"first_{lat}"))
-    rings = ends.filter(F.col("n") >= min_vertices).select(line, wrap.alias("w"))
-    total = F.coalesce(F.col("t"), F.lit(0.0)) + F.col("w")
-    return (rings.join(inner, line, "left")
-            .select(line, (F.abs(total) * F.lit(EARTH_RADIUS_KM) * F.lit(EARTH_RADIUS_KM) / F.lit(2.0))
-                    .alias("km2")))
+    return total.select(line, (F.abs(F.col("t")) * F.lit(EARTH_RADIUS_KM) * F.lit(EARTH_RADIUS_KM) / F.lit(2.0))
+                        .alias("km2"))

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sward.functions.rsem import r_round
+from sward.functions.rsem import r_round_sql, sql_double
 
 # ---- fixed values of the reference (must stay equal for equal results) ----
 GRAMINOID_FAMILIES = ("Poaceae", "Cyperaceae", "Juncaceae")
@@ -25,40 +25,40 @@ TABLE33_COVER_CLASSES = ("2", "3", "4")
 # ---------------------------------------------------------------------------
 
 
-def _yes(c: str) -> Column:
-    return F.col(c) == F.lit("yes")
+def _in(col: str, values) -> str:
+    return f"{col} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def cover_predicates() -> dict[str, Column]:
-    """Cover sums (rounded to 1 digit in the reference), name -> species predicate."""
+def cover_predicates() -> dict[str, str]:
+    """Cover sums (rounded to 1 digit in the reference): name -> species predicate (SQL)."""
     return {
-        "targetCov": _yes("target"),
-        "targetHerbCov": _yes("targetHerb"),
-        "arrhCov": _yes("targetArrhenatherion"),
-        "leanCov": _yes("leanIndicator"),
-        "nitrogenCov": _yes("nitrogenIndicator"),
-        "ruderalCov": _yes("ruderalIndicator"),
-        "table33Cov": F.col("table33").isin(*TABLE33_COVER_CLASSES),
+        "targetCov": "target = 'yes'",
+        "targetHerbCov": "targetHerb = 'yes'",
+        "arrhCov": "targetArrhenatherion = 'yes'",
+        "leanCov": "leanIndicator = 'yes'",
+        "nitrogenCov": "nitrogenIndicator = 'yes'",
+        "ruderalCov": "ruderalIndicator = 'yes'",
+        "table33Cov": _in("table33", TABLE33_COVER_CLASSES),
     }
 
 
-def richness_predicates() -> dict[str, Column]:
-    """Richness counts (species with cover > 0), name -> species predicate."""
+def richness_predicates() -> dict[str, str]:
+    """Richness counts (species with cover > 0): name -> species predicate (SQL)."""
     return {
-        "speciesRichness": F.lit(True),
-        "rlgRichness": F.col("rlg").isin(*RED_LIST_CATEGORIES),
-        "rlbRichness": F.col("rlb").isin(*RED_LIST_CATEGORIES),
-        "targetRichness": _yes("target"),
-        "targetHerbRichness": _yes("targetHerb"),
-        "arrhRichness": _yes("targetArrhenatherion"),
-        "ffh6510Richness": _yes("ffh6510"),
-        "ffh6210Richness": _yes("ffh6210"),
-        "leanIndicatorRichness": _yes("leanIndicator"),
-        "table33_2Richness": F.col("table33") == "2",
-        "table33_3Richness": F.col("table33") == "3",
-        "table33_4Richness": F.col("table33") == "4",
-        "table34_2Richness": F.col("table34") == "2",
-        "table34_3Richness": F.col("table34") == "3",
+        "speciesRichness": "true",
+        "rlgRichness": _in("rlg", RED_LIST_CATEGORIES),
+        "rlbRichness": _in("rlb", RED_LIST_CATEGORIES),
+        "targetRichness": "target = 'yes'",
+        "targetHerbRichness": "targetHerb = 'yes'",
+        "arrhRichness": "targetArrhenatherion = 'yes'",
+        "ffh6510Richness": "ffh6510 = 'yes'",
+        "ffh6210Richness": "ffh6210 = 'yes'",
+        "leanIndicatorRichness": "leanIndicator = 'yes'",
+        "table33_2Richness": "table33 = '2'",
+        "table33_3Richness": "table33 = '3'",
+        "table33_4Richness": "table33 = '4'",
+        "table34_2Richness": "table34 = '2'",
+        "table34_3Richness": "table34 = '3'",
     }
 
 
@@ -81,6 +81,29 @@ def species_cover(cover: DataFrame, traits: DataFrame, value: str = "n") -> Data
     return cover.join(traits, "name", "left")
 
 
+def metric_aggregates(value: str = "n", scale: float = 1.0) -> list[str]:
+    """The fused aggregate list as Spark SQL text (one expression per metric)."""
+    v = f"`{value}`"
+    sc = sql_double(scale)
+
+    def scaled_sum(pred: str) -> str:
+        # R: sum(na.rm = TRUE) of nothing is 0
+        return f"(CAST(coalesce(sum(CASE WHEN {pred} THEN {v} END), 0) AS DOUBLE) / {sc})"
+
+    gram = _in("family", GRAMINOID_FAMILIES)
+    aggs = [f"{scaled_sum(gram)} AS graminoidCov",
+            # a NULL family satisfies neither side: its cover stays out of both groups
+            f"{scaled_sum(f'NOT ({gram})')} AS herbCov"]
+    aggs += [f"{r_round_sql(scaled_sum(p), 1)} AS {name}" for name, p in cover_predicates().items()]
+    aggs += [f"CAST(count_if({v} > 0 AND coalesce({p}, false)) AS INT) AS {name}"
+             for name, p in richness_predicates().items()]
+    # Shannon: H = ln S - sum(n ln n) / S over cells with n > 0 (p = n / S is scale free)
+    total = f"sum(CASE WHEN {v} > 0 THEN CAST({v} AS DOUBLE) END)"
+    nlogn = f"sum(CASE WHEN {v} > 0 THEN CAST({v} AS DOUBLE) * ln(CAST({v} AS DOUBLE)) END)"
+    aggs.append(f"CASE WHEN coalesce({total}, 0D) = 0D THEN 0D ELSE ln({total}) - {nlogn} / {total} END AS shannon")
+    return aggs
+
+
 def fused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
                   scale: float = 1.0) -> DataFrame:
     """All visit metrics in one conditional aggregate.
@@ -92,28 +115,29 @@ def fused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
     Output per visit: graminoidCov, herbCov, accumulatedCov (unrounded), the
     seven rounded cover sums, fourteen richness counts and Shannon's H.
     """
-    n = F.col(value)
-    present = n > 0
-    fam = F.col("family")
+    aggs = [F.expr(a) for a in metric_aggregates(value, scale)]
+    return (joined.groupBy(*keys).agg(*aggs)
+            .withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov")))
 
-    def scaled_sum(pred: Column) -> Column:
-        # R: sum(na.rm = TRUE) of nothing is 0
-        return F.coalesce(F.sum(F.when(pred, n)), F.lit(0)).cast("double") / F.lit(float(scale))
 
-    aggs: list[Column] = [
-        scaled_sum(fam.isin(*GRAMINOID_FAMILIES)).alias("graminoidCov"),
-        # NULL family satisfies neither side (its cover stays out of both groups)
-        scaled_sum(~fam.isin(*GRAMINOID_FAMILIES)).alias("herbCov"),
-    ]
+def unfused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
+                    scale: float = 1.0) -> DataFrame:
+    """The reference's form: one filtered aggregate per metric, joined back on the keys.
+
+    Kept for the equivalence test and the fused-vs-unfused benchmark only.
+    """
+    v = f"`{value}`"
+    sc = sql_double(scale)
+    gram = _in("family", GRAMINOID_FAMILIES)
+    out = (joined.groupBy(*keys)
+           .agg(F.expr(f"CAST(coalesce(sum(CASE WHEN {gram} THEN {v} END), 0) AS DOUBLE) / {sc}").alias("graminoidCov"),
+                F.expr(f"CAST(coalesce(sum(CASE WHEN NOT ({gram}) THEN {v} END), 0) AS DOUBLE) / {sc}").alias("herbCov")))
     for name, pred in cover_predicates().items():
-        aggs.append(r_round(scaled_sum(pred), 1).alias(name))
+        part = (joined.filter(F.expr(pred)).groupBy(*keys)
+                .agg(F.expr(r_round_sql(f"CAST(coalesce(sum({v}), 0) AS DOUBLE) / {sc}", 1)).alias(name)))
+        out = out.join(part, list(keys), "left").fillna(0.0, subset=[name])
     for name, pred in richness_predicates().items():
-        aggs.append(F.count_if(present & F.coalesce(pred, F.lit(False))).cast("int").alias(name))
-    # Shannon: H = ln S - sum(n ln n) / S over cells with n > 0 (p = n / S is scale free)
-    total = F.sum(F.when(present, n)).cast("double")
-    nlogn = F.sum(F.when(present, n.cast("double") * F.ln(n.cast("double"))))
-    aggs.append(F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(0.0))
-                .otherwise(F.ln(total) - nlogn / total).alias("shannon"))
-
-    return (joined.groupBy(*keys).agg(*aggs)
-            .withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov")))
+        part = (joined.filter(F.expr(f"{v} > 0 AND {pred}")).groupBy(*keys)
+                .agg(F.count(F.lit(1)).cast("int").alias(name)))
+        out = out.join(part, list(keys), "left").fillna(0, subset=[name])
+    return out.withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov"))

@@ -25,10 +25,19 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None, distinct: bool = False) -> DataFrame:
+    """Range-partition on ``order``, optionally drop duplicate rows, sort each partition.
+
+    The de-duplication needs no exchange of its own: range partitioning on a
+    subset of the row's columns already clusters equal rows.  An explicit
+    partition count keeps AQE from coalescing, so partition ids are stable
+    across the branches that read this layout.
+    """
     n = partitions or _num_partitions(df)
-    return (df.repartitionByRange(n, *order)
-            .sortWithinPartitions(*order)
+    r = df.repartitionByRange(n, *order)
+    if distinct:
+        r = r.dropDuplicates()
+    return (r.sortWithinPartitions(*order)
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_local", F.monotonically_increasing_id()
                         - F.shiftleft(F.col("_pid").cast("bigint"), _LOCAL_BITS)))
@@ -53,17 +62,22 @@ def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
             .drop("_pid", "_local", "_off"))
 
 
-def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
-                      partitions: int | None = None) -> DataFrame:
+def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
+                   partitions: int | None = None, distinct: bool = False) -> DataFrame:
+    """The range-partitioned, sorted layout that :func:`pairs_in_layout` reads."""
+    return _ranged(df.select(group, *order, *values), [group, *order], partitions, distinct)
+
+
+def pairs_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """All (previous, current) pairs of consecutive rows within each ``group``.
 
     Output columns: ``group``, ``p_<v>`` and ``<v>`` for each value column.
     A group with one row yields no pair.  Pairs inside a partition come from a
     ``lag`` over (partition, group); pairs across a partition boundary come
-    from the last row of one partition and the first row of the next.
+    from the last row of one partition and the first row of the next (a
+    summary of one row per partition, so its window is bounded).
     """
     keys = [group, *order]
-    r = _ranged(df.select(*keys, *values), keys, partitions)
     w = Window.partitionBy("_pid", group).orderBy(*order)
     inner = r.select(group, *[F.lag(v).over(w).alias(f"p_{v}") for v in values], *values,
                      F.lag(F.lit(1)).over(w).alias("_has_prev"))
@@ -80,6 +94,12 @@ def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: S
     return inner.unionByName(edges)
 
 
+def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
+                      partitions: int | None = None, distinct: bool = False) -> DataFrame:
+    """:func:`pairs_in_layout` over a fresh :func:`ordered_layout`."""
+    return pairs_in_layout(ordered_layout(df, group, order, values, partitions, distinct), group, order, values)
+
+
 def group_ends(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """First and last row (by ``order``) and the row count per group, as one partial aggregate."""
     row: Column = F.struct(*[F.col(c) for c in [*order, *values]])

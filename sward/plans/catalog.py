@@ -490,7 +490,8 @@ def path_length(spark, sf_dir):
     """M7: great-circle length of every line (skew-safe consecutive pairs)."""
     from sward.operators.geo import path_lengths
     from sward.sources import standin
-    r = path_lengths(standin.vertices(spark, sf_dir), "line_id", ["s1", "s2", "s3"])
+    r = path_lengths(standin.vertices(spark, sf_dir, distinct=False), "line_id", ["s1", "s2", "s3"],
+                     distinct=True)
     return r.select("line_id", F.round("km", 6).alias("km"))
 
 
@@ -505,7 +506,8 @@ def ring_area(spark, sf_dir):
     """M8: spherical area of every ring with at least three vertices."""
     from sward.operators.geo import ring_areas
     from sward.sources import standin
-    r = ring_areas(standin.vertices(spark, sf_dir), "line_id", ["s1", "s2", "s3"])
+    r = ring_areas(standin.vertices(spark, sf_dir, distinct=False), "line_id", ["s1", "s2", "s3"],
+                   distinct=True)
     return r.select("line_id", F.round("km2", 4).alias("km2"))
 
 

@@ -44,26 +44,25 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation and region have a fixed size (25 / 5 rows) -> broadcast is bounded
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    k = F.col("s_suppkey")
     return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
             .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
-            .select(
-                k.alias("plot_key"),
-                plot_code(k).alias("plot"),
-                F.col("n_name").alias("location"),
-                F.col("n_regionkey").cast("int").alias("block"),
-                F.col("r_name").alias("blockRegion"),
-                F.when(k % 4 == 0, "south").when(k % 4 == 1, "north")
-                 .when(k % 4 == 2, "east").otherwise("west").alias("exposition"),
-                F.when(k % 2 == 0, "water").otherwise("land").alias("side"),
-                (F.lit(1990) + F.col("n_nationkey") % 12).cast("int").alias("constructionYear"),
-                (F.lit(2280) + (k * 7) % 50).cast("int").alias("riverkm"),
-                (F.col("s_acctbal") / F.lit(10.0)).alias("distanceRiver"),
-                (F.lit(12.0) + (k % 97) / F.lit(100.0)).alias("lon"),
-                (F.lit(48.0) + (k % 89) / F.lit(100.0)).alias("lat"),
-                (F.lit(5) + k % 20).cast("double").alias("finematerialDepth"),
-                (F.lit(1.0) + (k % 7) / F.lit(10.0)).alias("finematerialDensity"),
-                ((k % 13) / F.lit(100.0)).alias("NtotalPerc"),
+            .selectExpr(
+                "s_suppkey AS plot_key",
+                "lpad(CAST(s_suppkey AS STRING), 5, '0') AS plot",
+                "n_name AS location",
+                "CAST(n_regionkey AS INT) AS block",
+                "r_name AS blockRegion",
+                "CASE s_suppkey % 4 WHEN 0 THEN 'south' WHEN 1 THEN 'north' WHEN 2 THEN 'east' ELSE 'west' END"
+                " AS exposition",
+                "CASE WHEN s_suppkey % 2 = 0 THEN 'water' ELSE 'land' END AS side",
+                "CAST(1990 + n_nationkey % 12 AS INT) AS constructionYear",
+                "CAST(2280 + (s_suppkey * 7) % 50 AS INT) AS riverkm",
+                "s_acctbal / 10.0D AS distanceRiver",
+                "12.0D + (s_suppkey % 97) / 100.0D AS lon",
+                "48.0D + (s_suppkey % 89) / 100.0D AS lat",
+                "CAST(5 + s_suppkey % 20 AS DOUBLE) AS finematerialDepth",
+                "1.0D + (s_suppkey % 7) / 10.0D AS finematerialDensity",
+                "(s_suppkey % 13) / 100.0D AS NtotalPerc",
             ))
 
 
@@ -83,46 +82,45 @@ def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw species traits, one row per species (``name``)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    size, brand, ptype = F.col("p_size"), F.col("p_brand"), F.col("p_type")
-
-    def yes_no(cond: Column) -> Column:
-        return F.when(cond, "yes").otherwise("no")
-
-    def brand_map(pairs: dict[str, str]) -> Column:
-        expr = None
-        for b, v in pairs.items():
-            expr = (F.when(brand == b, v) if expr is None else expr.when(brand == b, v))
-        return expr
-
-    return p.select(
-        F.col("p_partkey").alias("name"),
-        F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")),
-                 F.when(size % 5 == 0, F.concat(F.lit("_ssp_"), F.lower(ptype))).otherwise(F.lit(""))
-                 ).alias("latin"),
-        F.when(ptype == "SMALL", "Poaceae").when(ptype == "MEDIUM", "Cyperaceae")
-         .when(ptype == "LARGE", "Fabaceae").when(ptype == "ECONOMY", "Asteraceae")
-         .when(ptype == "STANDARD", "Rosaceae").alias("family"),
-        F.when(size < 50, F.lit(3000) + size * 65).cast("double").alias("sociology"),
-        F.when(size % 3 == 0, "yes").when(size % 3 == 1, "no").alias("targetHerb"),
-        yes_no(size % 11 == 0).alias("targetGrass"),
-        yes_no(brand == "Brand#7").alias("targetArrhenatherion"),
-        yes_no(size % 4 == 1).alias("nitrogenIndicator"),
-        yes_no(size % 7 == 2).alias("ruderalIndicator"),
-        yes_no(size % 6 == 0).alias("ffh6510"),
-        yes_no(size % 9 == 0).alias("ffh6210"),
-        brand_map({"Brand#1": "1", "Brand#2": "2", "Brand#3": "3", "Brand#4": "V", "Brand#6": "*"}).alias("rlg"),
-        brand_map({"Brand#8": "1", "Brand#9": "2", "Brand#10": "3", "Brand#14": "V"}).alias("rlb"),
-        F.when(brand == "Brand#5", "1").alias("table30"),
-        F.when(size % 10 == 1, "2").when(size % 10 == 3, "3").when(size % 10 == 5, "4").alias("table33"),
-        brand_map({"Brand#11": "2", "Brand#13": "3"}).alias("table34"),
+
+    def yes_no(cond: str) -> str:
+        return f"CASE WHEN {cond} THEN 'yes' ELSE 'no' END"
+
+    def brand_map(pairs: dict[str, str]) -> str:
+        return "CASE p_brand " + " ".join(f"WHEN '{b}' THEN '{v}'" for b, v in pairs.items()) + " END"
+
+    return p.selectExpr(
+        "p_partkey AS name",
+        "concat(replace(p_name, ' ', '_'),"
+        " CASE WHEN p_size % 5 = 0 THEN concat('_ssp_', lower(p_type)) ELSE '' END) AS latin",
+        "CASE p_type WHEN 'SMALL' THEN 'Poaceae' WHEN 'MEDIUM' THEN 'Cyperaceae' WHEN 'LARGE' THEN 'Fabaceae'"
+        " WHEN 'ECONOMY' THEN 'Asteraceae' WHEN 'STANDARD' THEN 'Rosaceae' END AS family",
+        "CAST(CASE WHEN p_size < 50 THEN 3000 + p_size * 65 END AS DOUBLE) AS sociology",
+        "CASE WHEN p_size % 3 = 0 THEN 'yes' WHEN p_size % 3 = 1 THEN 'no' END AS targetHerb",
+        f"{yes_no('p_size % 11 = 0')} AS targetGrass",
+        f"{yes_no(chr(39).join(['p_brand = ', 'Brand#7', '']))} AS targetArrhenatherion",
+        f"{yes_no('p_size % 4 = 1')} AS nitrogenIndicator",
+        f"{yes_no('p_size % 7 = 2')} AS ruderalIndicator",
+        f"{yes_no('p_size % 6 = 0')} AS ffh6510",
+        f"{yes_no('p_size % 9 = 0')} AS ffh6210",
+        f"{brand_map({'Brand#1': '1', 'Brand#2': '2', 'Brand#3': '3', 'Brand#4': 'V', 'Brand#6': '*'})} AS rlg",
+        f"{brand_map({'Brand#8': '1', 'Brand#9': '2', 'Brand#10': '3', 'Brand#14': 'V'})} AS rlb",
+        "CASE WHEN p_brand = 'Brand#5' THEN '1' END AS table30",
+        "CASE p_size % 10 WHEN 1 THEN '2' WHEN 3 THEN '3' WHEN 5 THEN '4' END AS table33",
+        f"{brand_map({'Brand#11': '2', 'Brand#13': '3'})} AS table34",
     )
 
 
-def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertex table of the line layer: (line_id, s1, s2, s3, lon, lat), ordered by (s1, s2, s3)."""
+def vertices(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Vertex table of the line layer: (line_id, s1, s2, s3, lon, lat), ordered by (s1, s2, s3).
+
+    Lineitem repeats some (order, line, part, supplier) rows, so vertices are
+    distinct rows; ``distinct=False`` leaves the de-duplication to the caller
+    (the geo operators fold it into their range shuffle).
+    """
     li = table(spark, sf_dir, "lineitem")
-    return (li.select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("s1"),
+    v = (li.select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("s1"),
                       F.col("l_partkey").alias("s2"), F.col("l_suppkey").alias("s3"),
                       (F.lit(12.0) + (F.col("l_partkey") % 1000) / F.lit(1000.0)).alias("lon"),
-                      (F.lit(48.0) + (F.col("l_suppkey") % 100) / F.lit(100.0)).alias("lat"))
-            .distinct())
+                      (F.lit(48.0) + (F.col("l_suppkey") % 100) / F.lit(100.0)).alias("lat")))
+    return v.distinct() if distinct else v

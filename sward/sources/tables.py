@@ -18,7 +18,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy Parquet scan of one driver table.
+
+    The DataFrame is memoised per session and file version, so a query that
+    mentions a table several times lists its files and reads its footers once.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    try:
+        version = os.stat(path).st_mtime_ns
+    except OSError:  # not a local path (object store): no memo
+        return spark.read.parquet(path)
+    key = (id(spark), spark.sparkContext.applicationId, path, version)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
