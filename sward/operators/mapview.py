@@ -117,14 +117,18 @@ def reference_stats(sites: DataFrame, metric: str) -> DataFrame:
 
 
 def series_with_reference(sites: DataFrame, metric: str, ids: Iterable[str] | DataFrame | None) -> DataFrame:
-    """Series rows with the one-row global statistics attached.
+    """Series rows with the global statistics attached.
 
-    The statistics are one row per metric, so they are broadcast and joined on
-    the metric name (an equi join, no cross product).
+    The statistics are one struct-valued scalar subquery (one aggregate job,
+    reused for every field), evaluated once and inlined into the projection:
+    no join and no cross product.
     """
     stats = reference_stats(sites, metric)
-    series = plot_series(sites, metric, ids).withColumn("metric", F.lit(resolve_metric(metric)))
-    return series.join(F.broadcast(stats), "metric").drop("metric")
+    fields = ["mean", "upper", "lower", "x_min", "x_max"]
+    scalar = stats.select(F.struct(*fields).alias("s")).scalar()
+    series = plot_series(sites, metric, ids)
+    return (series.withColumn("_ref", scalar)
+            .select(*series.columns, *[F.col(f"_ref.{f}").alias(f) for f in fields]))
 
 
 def series_with_bands(sites: DataFrame, ids: Iterable[str] | DataFrame | None) -> DataFrame:

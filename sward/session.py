@@ -64,3 +64,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def local_path(uri: str) -> str:
+    """Plain path of a ``file:`` URI (for tests that write fixture files with Python)."""
+    return uri[len("file:"):] if uri.startswith("file:") else uri
