@@ -65,7 +65,8 @@ def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
 def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
                    partitions: int | None = None, distinct: bool = False) -> DataFrame:
     """The range-partitioned, sorted layout that :func:`pairs_in_layout` reads."""
-    return _ranged(df.select(group, *order, *values), [group, *order], partitions, distinct)
+    cols = list(dict.fromkeys([group, *order, *values]))
+    return _ranged(df.select(*cols), [group, *order], partitions, distinct)
 
 
 def pairs_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -83,7 +84,7 @@ def pairs_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequ
                      F.lag(F.lit(1)).over(w).alias("_has_prev"))
     inner = inner.filter(F.col("_has_prev").isNotNull()).drop("_has_prev")
 
-    row = F.struct(*[F.col(c) for c in keys + list(values)])
+    row = F.struct(*[F.col(c) for c in dict.fromkeys(keys + list(values))])
     ends = r.groupBy("_pid").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
     prev_last = F.lag("_last").over(Window.orderBy("_pid"))
     edges = (ends.select("_first", prev_last.alias("_prev"))
@@ -102,7 +103,7 @@ def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: S
 
 def group_ends(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """First and last row (by ``order``) and the row count per group, as one partial aggregate."""
-    row: Column = F.struct(*[F.col(c) for c in [*order, *values]])
+    row: Column = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *values])])
     return (df.groupBy(group)
             .agg(F.min(row).alias("_first"), F.max(row).alias("_last"), F.count(F.lit(1)).alias("n"))
             .select(group, "n", *[F.col(f"_first.{v}").alias(f"first_{v}") for v in values],
