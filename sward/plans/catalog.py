@@ -290,14 +290,12 @@ select t.id, t.plot, t.surveyYear,
 from v_points t left join v_plots p on t.plot_key = p.plot_key"""))
 def site_ratios(spark, sf_dir):
     """Cover and richness ratios (R-rounded to 3 digits), N concentration, plot age."""
-    from sward.functions.rsem import r_round
+    from sward.functions.rsem import r_round_sql
     s = P.sites(spark, sf_dir)
-    conc = (F.col("finematerialDepth") * F.col("finematerialDensity") * F.lit(10.0) * F.col("NtotalPerc")
-            / F.lit(100.0))
-    return s.select(*KEYS, r_round("targetCovratio", 3).alias("targetCovratio"),
-                    r_round("graminoidCovratio", 3).alias("graminoidCovratio"),
-                    r_round("targetRichratio", 3).alias("targetRichratio"),
-                    F.round(conc, 6).alias("NtotalConc"), F.col("plotAge").cast("int").alias("plotAge"))
+    return s.selectExpr(*KEYS, *[f"{r_round_sql(c, 3)} AS {c}"
+                                 for c in ("targetCovratio", "graminoidCovratio", "targetRichratio")],
+                        "round(finematerialDepth * finematerialDensity * 10.0D * NtotalPerc / 100.0D, 6) AS NtotalConc",
+                        "CAST(plotAge AS INT) AS plotAge")
 
 
 @register("visit_sequence", O.with_views(["v_visits"], """

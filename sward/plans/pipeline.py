@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sward.functions.rsem import r_div, r_round, str_c, str_sub
+from sward.functions.rsem import r_round_sql, str_c, str_sub
 from sward.operators.biotope import Thresholds, classify
 from sward.operators.change import change_classes
 from sward.operators.metrics import fused_metrics, species_cover
@@ -54,13 +54,6 @@ def location_year(location, construction_year):
     return str_c(F.upper(str_sub(location, 1, 3)), construction_year, sep="-")
 
 
-def botanist(plot_key, year):
-    """Stand-in surveyor per visit (NULL for some visits, as in the reference data)."""
-    k = (plot_key + year) % 7
-    return F.when(k == 0, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("botanist_"), ((plot_key + year) % 3).cast("string")))
-
-
 def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
           change_years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
     """Every computed visit column (T12: built, projected late)."""
@@ -69,22 +62,35 @@ def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(
     s = typed.join(plots, "plot_key", "left")
     change = change_classes(s.select("plot", "surveyYear", "ffh"), change_years).select("plot", "changeType")
     s = s.join(change, "plot", "left")
-    return s.withColumns({
-        "locationYear": location_year(F.col("location"), F.col("constructionYear")),
-        "botanist": botanist(F.col("plot_key"), F.col("surveyYear")),
-        "plotAge": F.col("surveyYear") - F.col("constructionYear"),
-        "targetCovratio": r_div("targetCov", "accumulatedCov"),
-        "graminoidCovratio": r_div("graminoidCov", "accumulatedCov"),
-        "targetRichratio": r_div("targetRichness", "speciesRichness"),
-        "eveness": F.try_divide(F.col("shannon"), F.ln(F.col("speciesRichness").cast("double"))),
-    })
+    return s.selectExpr(
+        "*",
+        "concat(upper(substring(location, 1, 3)), '-', CAST(constructionYear AS STRING)) AS locationYear",
+        "CASE WHEN (plot_key + surveyYear) % 7 = 0 THEN CAST(NULL AS STRING)"
+        " ELSE concat('botanist_', CAST((plot_key + surveyYear) % 3 AS STRING)) END AS botanist",
+        "surveyYear - constructionYear AS plotAge",
+        # R's x/0 (NaN, Inf) becomes NULL
+        "try_divide(CAST(targetCov AS DOUBLE), CAST(accumulatedCov AS DOUBLE)) AS targetCovratio",
+        "try_divide(CAST(graminoidCov AS DOUBLE), CAST(accumulatedCov AS DOUBLE)) AS graminoidCovratio",
+        "try_divide(CAST(targetRichness AS DOUBLE), CAST(speciesRichness AS DOUBLE)) AS targetRichratio",
+        "try_divide(shannon, ln(CAST(speciesRichness AS DOUBLE))) AS eveness",
+    )
 
 
 def site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Finalisation: R rounding, ``accumulatedCov > 0``, the 17-column contract."""
     s = sites(spark, sf_dir, thresholds)
     s = s.withColumns({
-        "distanceRiver": r_round("distanceRiver", 1),
-        "accumulatedCov": r_round("accumulatedCov", 1),
+        "distanceRiver": F.expr(r_round_sql("distanceRiver", 1)),
+        "accumulatedCov": F.expr(r_round_sql("accumulatedCov", 1)),
     })
     return s.filter(F.col("accumulatedCov") > 0).select(*SITE_COLUMNS)
+
+
+def write_site_table(spark: SparkSession, sf_dir: str, path: str, csv_path: str | None = None) -> str:
+    """E1 sinks: Parquet partitioned by survey year (pruned by year filters), optional CSV."""
+    from sward.sources.csv import write_csv, write_parquet
+    st = site_table(spark, sf_dir)
+    write_parquet(st, path, partition_by=("surveyYear",))
+    if csv_path:
+        write_csv(spark.read.parquet(path).select(*SITE_COLUMNS), csv_path)
+    return path

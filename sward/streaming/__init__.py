@@ -1,0 +1 @@
+"""Structured Streaming entry points (the dashboard's click -> series loop)."""
