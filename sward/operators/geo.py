@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.operators.sequence import consecutive_pairs, group_ends, ordered_layout, pairs_in_layout
+from sward.operators.sequence import (consecutive_pairs, ends_from_segments, ordered_layout, pairs_and_segments,
+                                     segments_in_layout)
 
 # ---- fixed values ----
 EARTH_RADIUS_KM = 6371.0088
@@ -51,17 +52,21 @@ def ring_areas(vertices: DataFrame, line: str, order: Sequence[str],
                lon: str = "lon", lat: str = "lat", min_vertices: int = 3, distinct: bool = False) -> DataFrame:
     """Area in km^2 of each ring closed from its last vertex back to the first (M8).
 
-    Edge terms of consecutive vertices and the closing edge (last -> first,
-    from a per-ring partial aggregate) are summed per ring.
+    Edge terms of consecutive vertices and the closing edge (last -> first)
+    are summed per ring; every input comes from one window pass over one
+    range-partitioned layout.
     """
-    layout = ordered_layout(vertices, line, order, [lon, lat], distinct=distinct)
-    pairs = pairs_in_layout(layout, line, order, [lon, lat])
+    vals = [lon, lat]
+    layout = ordered_layout(vertices, line, order, vals, distinct=distinct)
+    pairs, segs = pairs_and_segments(segments_in_layout(layout, line, order, vals), line, vals)
     terms = pairs.select(line, _shoelace_term(F.col(f"p_{lon}"), F.col(f"p_{lat}"),
-                                              F.col(lon), F.col(lat)).alias("t"))
-    ends = group_ends(layout, line, order, [lon, lat]).filter(F.col("n") >= min_vertices)
+                                              F.col(lon), F.col(lat)).alias("t"), F.lit(0).alias("ring"))
+    ends = ends_from_segments(segs, line, vals).filter(F.col("n") >= min_vertices)
     wrap = ends.select(line, _shoelace_term(F.col(f"last_{lon}"), F.col(f"last_{lat}"),
-                                            F.col(f"first_{lon}"), F.col(f"first_{lat}")).alias("t"))
-    total = (terms.join(ends.select(line), line, "left_semi").unionByName(wrap)
-             .groupBy(line).agg(F.sum("t").alias("t")))
+                                            F.col(f"first_{lon}"), F.col(f"first_{lat}")).alias("t"),
+                       F.lit(1).alias("ring"))
+    total = (terms.unionByName(wrap).groupBy(line)
+             .agg(F.sum("t").alias("t"), F.max("ring").alias("ring"))
+             .filter(F.col("ring") == 1))
     return total.select(line, (F.abs(F.col("t")) * F.lit(EARTH_RADIUS_KM) * F.lit(EARTH_RADIUS_KM) / F.lit(2.0))
                         .alias("km2"))

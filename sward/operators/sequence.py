@@ -69,30 +69,58 @@ def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequ
     return _ranged(df.select(*cols), [group, *order], partitions, distinct)
 
 
+def segments_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One window pass over the layout: every row with its predecessor inside the
+    (partition, group) segment, plus the segment's first / last values and size.
+
+    A segment is the part of a group that fell into one range partition; a
+    group spans several segments only when it is large (hot).
+    """
+    w = Window.partitionBy("_pid", group).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return r.select(
+        group, "_pid", *values,
+        *[F.lag(v).over(w).alias(f"p_{v}") for v in values],
+        F.row_number().over(w).alias("_rn"),
+        F.count(F.lit(1)).over(whole).alias("_seg_n"),
+        *[F.first(v).over(whole).alias(f"_f_{v}") for v in values],
+        *[F.last(v).over(whole).alias(f"_l_{v}") for v in values])
+
+
+def pairs_and_segments(x: DataFrame, group: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Consecutive pairs ``(group, p_<v>..., <v>...)`` and the segment table.
+
+    Pairs across a partition boundary link the last row of one segment to the
+    first row of the group's next segment; that window runs over segments,
+    at most one per partition and group.
+    """
+    inner = x.filter(F.col("_rn") > 1).select(group, *[f"p_{v}" for v in values], *values)
+    segs = x.filter(F.col("_rn") == 1).select(group, "_pid", "_seg_n", *[f"_f_{v}" for v in values],
+                                              *[f"_l_{v}" for v in values])
+    ws = Window.partitionBy(group).orderBy("_pid")
+    cross = (segs.select(group, *[F.lag(f"_l_{v}").over(ws).alias(f"p_{v}") for v in values],
+                         *[F.col(f"_f_{v}").alias(v) for v in values],
+                         F.lag(F.lit(1)).over(ws).alias("_has_prev"))
+             .filter(F.col("_has_prev").isNotNull()).drop("_has_prev"))
+    return inner.unionByName(cross), segs
+
+
 def pairs_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """All (previous, current) pairs of consecutive rows within each ``group``.
 
     Output columns: ``group``, ``p_<v>`` and ``<v>`` for each value column.
-    A group with one row yields no pair.  Pairs inside a partition come from a
-    ``lag`` over (partition, group); pairs across a partition boundary come
-    from the last row of one partition and the first row of the next (a
-    summary of one row per partition, so its window is bounded).
+    A group with one row yields no pair.
     """
-    keys = [group, *order]
-    w = Window.partitionBy("_pid", group).orderBy(*order)
-    inner = r.select(group, *[F.lag(v).over(w).alias(f"p_{v}") for v in values], *values,
-                     F.lag(F.lit(1)).over(w).alias("_has_prev"))
-    inner = inner.filter(F.col("_has_prev").isNotNull()).drop("_has_prev")
-
-    row = F.struct(*[F.col(c) for c in dict.fromkeys(keys + list(values))])
-    ends = r.groupBy("_pid").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
-    prev_last = F.lag("_last").over(Window.orderBy("_pid"))
-    edges = (ends.select("_first", prev_last.alias("_prev"))
-             .filter(F.col("_prev").isNotNull() & (F.col(f"_prev.{group}") == F.col(f"_first.{group}")))
-             .select(F.col(f"_first.{group}").alias(group),
-                     *[F.col(f"_prev.{v}").alias(f"p_{v}") for v in values],
-                     *[F.col(f"_first.{v}").alias(v) for v in values]))
-    return inner.unionByName(edges)
+    pairs, _ = pairs_and_segments(segments_in_layout(r, group, order, values), group, values)
+    return pairs
+
+
+def ends_from_segments(segs: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
+    """First / last values and row count per group from its segments (hash-aggregable)."""
+    return segs.groupBy(group).agg(
+        F.sum("_seg_n").alias("n"),
+        *[F.min_by(f"_f_{v}", "_pid").alias(f"first_{v}") for v in values],
+        *[F.max_by(f"_l_{v}", "_pid").alias(f"last_{v}") for v in values])
 
 
 def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
