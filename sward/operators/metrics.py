@@ -81,22 +81,51 @@ def species_cover(cover: DataFrame, traits: DataFrame, value: str = "n") -> Data
     return cover.join(traits, "name", "left")
 
 
-def metric_aggregates(value: str = "n", scale: float = 1.0) -> list[str]:
-    """The fused aggregate list as Spark SQL text (one expression per metric)."""
+def predicate_bits() -> dict[str, str]:
+    """Every species predicate the metrics test, in a fixed bit order.
+
+    Traits are per species (the small side); encoding their predicates as one
+    int keeps the joined visit x species rows compact: (visit, value, mask).
+    """
+    gram = _in("family", GRAMINOID_FAMILIES)
+    bits = {"graminoid": gram, "herb": f"NOT ({gram})"}
+    bits.update({f"cov:{k}": v for k, v in cover_predicates().items()})
+    bits.update({f"rich:{k}": v for k, v in richness_predicates().items() if v != "true"})
+    return bits
+
+
+def mask_sql() -> str:
+    """SQL of the trait bitmask; a NULL predicate counts as false (R's filter drops NA)."""
+    return " | ".join(f"(CASE WHEN coalesce({p}, false) THEN {1 << i} ELSE 0 END)"
+                      for i, p in enumerate(predicate_bits().values()))
+
+
+def trait_masks(traits: DataFrame) -> DataFrame:
+    """(name, _mask): one int per species."""
+    return traits.select("name", F.expr(mask_sql()).cast("int").alias("_mask"))
+
+
+def metric_aggregates(value: str = "n", scale: float = 1.0, mask: str = "_mask") -> list[str]:
+    """The fused aggregate list as Spark SQL text over (value, trait bitmask)."""
     v = f"`{value}`"
     sc = sql_double(scale)
+    bit = {name: 1 << i for i, name in enumerate(predicate_bits())}
+    m = f"coalesce(`{mask}`, 0)"   # species without a trait record: no predicate holds
+
+    def has(name: str) -> str:
+        return f"({m} & {bit[name]}) != 0"
 
-    def scaled_sum(pred: str) -> str:
+    def scaled_sum(name: str) -> str:
         # R: sum(na.rm = TRUE) of nothing is 0
-        return f"(CAST(coalesce(sum(CASE WHEN {pred} THEN {v} END), 0) AS DOUBLE) / {sc})"
+        return f"(CAST(coalesce(sum(CASE WHEN {has(name)} THEN {v} END), 0) AS DOUBLE) / {sc})"
 
-    gram = _in("family", GRAMINOID_FAMILIES)
-    aggs = [f"{scaled_sum(gram)} AS graminoidCov",
+    aggs = [f"{scaled_sum('graminoid')} AS graminoidCov",
             # a NULL family satisfies neither side: its cover stays out of both groups
-            f"{scaled_sum(f'NOT ({gram})')} AS herbCov"]
-    aggs += [f"{r_round_sql(scaled_sum(p), 1)} AS {name}" for name, p in cover_predicates().items()]
-    aggs += [f"CAST(count_if({v} > 0 AND coalesce({p}, false)) AS INT) AS {name}"
-             for name, p in richness_predicates().items()]
+            f"{scaled_sum('herb')} AS herbCov"]
+    aggs += [f"{r_round_sql(scaled_sum('cov:' + name), 1)} AS {name}" for name in cover_predicates()]
+    for name, p in richness_predicates().items():
+        cond = f"{v} > 0" if p == "true" else f"{v} > 0 AND {has('rich:' + name)}"
+        aggs.append(f"CAST(count_if({cond}) AS INT) AS {name}")
     # Shannon: H = ln S - sum(n ln n) / S over cells with n > 0 (p = n / S is scale free)
     total = f"sum(CASE WHEN {v} > 0 THEN CAST({v} AS DOUBLE) END)"
     nlogn = f"sum(CASE WHEN {v} > 0 THEN CAST({v} AS DOUBLE) * ln(CAST({v} AS DOUBLE)) END)"
@@ -108,23 +137,54 @@ def fused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
                   scale: float = 1.0) -> DataFrame:
     """All visit metrics in one conditional aggregate.
 
-    ``value`` is the cover of a species in a visit (one row per visit and
-    species).  Sums are taken on ``value`` exactly and divided by ``scale``
-    only afterwards, so threshold comparisons do not depend on summation order.
+    ``joined`` has one row per visit and species with the cover ``value`` and
+    either the trait columns or their ``_mask`` (see :func:`trait_masks`).
+    Sums are taken on ``value`` exactly and divided by ``scale`` only
+    afterwards, so threshold comparisons do not depend on summation order.
 
     Output per visit: graminoidCov, herbCov, accumulatedCov (unrounded), the
     seven rounded cover sums, fourteen richness counts and Shannon's H.
     """
+    if "_mask" not in joined.columns:
+        joined = joined.withColumn("_mask", F.expr(mask_sql()).cast("int"))
     aggs = [F.expr(a) for a in metric_aggregates(value, scale)]
     return (joined.groupBy(*keys).agg(*aggs)
             .withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov")))
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], support: float) -> DataFrame:
+    """Keys holding more than ``support`` of all rows (a superset: false positives possible).
+
+    One pass with ``freqItems`` (bounded counters per task, no shuffle); the
+    result has at most ``1 / support`` rows, which bounds its broadcast.
+    """
+    items = rows.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support)
+    return items.select(F.explode("_k_freqItems").alias("_k")).select(*[F.col(f"_k.{k}").alias(k) for k in keys])
+
+
+def cluster_by_visit(joined: DataFrame, keys: Sequence[str], hot: DataFrame | None, split_by: str,
+                     buckets: int) -> DataFrame:
+    """Co-locate the rows of each visit so the metric aggregate is complete per task.
+
+    A hot visit is spread over ``buckets`` sub-partitions by a hash of
+    ``split_by`` (the species): every (visit, species) row stays whole in one
+    bucket, so richness counts stay exact, and the final merge receives at
+    most ``buckets`` partial rows per hot visit.
+    """
+    if hot is not None:
+        flagged = joined.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(split_by), F.lit(buckets))).otherwise(F.lit(0))
+        joined = flagged.withColumn("_salt", salt).drop("_hot")
+    else:
+        joined = joined.withColumn("_salt", F.lit(0))
+    return joined.repartition(*keys, "_salt")
+
+
 def unfused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
                     scale: float = 1.0) -> DataFrame:
     """The reference's form: one filtered aggregate per metric, joined back on the keys.
 
-    Kept for the equivalence test and the fused-vs-unfused benchmark only.
+    Works on the trait columns.  Kept for the equivalence test only.
     """
     v = f"`{value}`"
     sc = sql_double(scale)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sward.functions.rsem import r_round_sql, str_c, str_sub
 from sward.operators.biotope import Thresholds, classify
 from sward.operators.change import change_classes
-from sward.operators.metrics import fused_metrics, species_cover
+from sward.operators.metrics import cluster_by_visit, fused_metrics, hot_keys, species_cover, trait_masks
 from sward.operators.traits import trait_flags
 from sward.sources import standin
 
@@ -35,18 +35,63 @@ def species_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trait_flags(standin.traits(spark, sf_dir))
 
 
-def visit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused A1-A21 per visit, with the visit id and plot code."""
+VISIT_KEYS = ("plot_key", "surveyYear")
+
+
+def hot_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits holding more than half of one task's fair share of the input rows."""
+    from sward.sources.tables import table
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("plot_key"),
+                                                 F.year("l_shipdate").alias("surveyYear"))
+    return hot_keys(li, VISIT_KEYS, support=1.0 / (2 * max(parts, 2)))
+
+
+def metrics_strategy(spark: SparkSession, sf_dir: str) -> str:
+    """Pick the physical shape of the metric aggregate from the input size (no job).
+
+    ``clustered`` pays one extra exchange of compact rows so that the final
+    exchange carries about one partial row per visit; it only pays off when
+    the input spans many more splits than there are shuffle partitions
+    (i.e. when a visit's species are spread over many map tasks).
+    """
+    from sward.sources.tables import table
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    splits = table(spark, sf_dir, "lineitem").select("l_suppkey").rdd.getNumPartitions()
+    return "clustered" if splits >= 2 * parts else "partial"
+
+
+def visit_metrics(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
+    """Fused A1-A21 per visit, with the visit id and plot code.
+
+    ``partial``: (visit, species) exchange with map-side combine, broadcast or
+    shuffle join with the trait bitmasks, partial aggregate per visit before
+    the per-visit exchange.  Skew-safe; its last exchange carries one partial
+    row per (visit, map task).
+
+    ``clustered``: the same first exchange (it also collapses a hot
+    (visit, species) pair), then compact (visit, cover, mask) rows clustered
+    by visit - hot visits, found by ``freqItems``, salted by species - and a
+    final merge of about one partial row per visit.
+    """
+    if strategy == "auto":
+        strategy = metrics_strategy(spark, sf_dir)
     cov = standin.cover(spark, sf_dir)
-    tr = species_traits(spark, sf_dir).select(*TRAIT_COLUMNS)
-    m = fused_metrics(species_cover(cov, tr, value="q"), ["plot_key", "surveyYear"],
-                      value="q", scale=standin.COVER_SCALE)
+    joined = species_cover(cov, trait_masks(species_traits(spark, sf_dir)), value="q")
+    if strategy == "clustered":
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        joined = cluster_by_visit(joined.select(*VISIT_KEYS, "name", "q", "_mask"), VISIT_KEYS,
+                                  hot_visits(spark, sf_dir), split_by="name", buckets=parts)
+    elif strategy != "partial":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    m = fused_metrics(joined, list(VISIT_KEYS), value="q", scale=standin.COVER_SCALE)
     return m.withColumns({"id": standin.visit_id("plot_key", "surveyYear"),
                           "plot": standin.plot_code("plot_key")})
 
 
-def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    return classify(visit_metrics(spark, sf_dir), thresholds)
+def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
+                strategy: str = "auto") -> DataFrame:
+    return classify(visit_metrics(spark, sf_dir, strategy), thresholds)
 
 
 def location_year(location, construction_year):

@@ -80,3 +80,33 @@ def test_visit_invariants(spark):
     # type -> (ffh, points) is functional
     assert st.groupBy("biotopeType").agg(F.countDistinct("ffh", "biotopePoints").alias("k")).filter("k > 1").count() == 0
     assert st.filter("accumulatedCov <= 0").count() == 0
+
+
+def test_strategies_agree_with_hot_visits(spark):
+    from pyspark.sql import functions as F
+    from sward.operators.metrics import cluster_by_visit, hot_keys, trait_masks
+
+    cols = ["plot_key", "surveyYear", "graminoidCov", "herbCov", *COVER_NAMES, *RICHNESS_NAMES,
+            F.round("shannon", 9).alias("shannon")]   # double sums: order-dependent last bits
+    a = P.visit_metrics(spark, SF_SMALL, strategy="partial").select(*cols)
+    b = P.visit_metrics(spark, SF_SMALL, strategy="clustered").select(*cols)
+    assert sorted(rows(a)) == sorted(rows(b))
+
+    # force many hot visits (low support) so the salted path really splits visits
+    cov = standin.cover(spark, SF_SMALL)
+    joined = species_cover(cov, trait_masks(P.species_traits(spark, SF_SMALL)), value="q")
+    hot = hot_keys(cov, ["plot_key", "surveyYear"], support=0.01)
+    assert 0 < hot.count() <= 100
+    salted = cluster_by_visit(joined.select("plot_key", "surveyYear", "name", "q", "_mask"),
+                              ["plot_key", "surveyYear"], hot, split_by="name", buckets=7)
+    assert salted.filter(F.col("_salt") > 0).count() > 0
+    c = fused_metrics(salted, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
+    assert sorted(rows(a)) == sorted(rows(c))
+
+
+def test_hot_keys_finds_a_third_of_all_rows(spark):
+    from sward.operators.metrics import hot_keys
+    data = [(1, 2000)] * 3000 + [(k, 2000 + k % 5) for k in range(2, 6002)]
+    df = spark.createDataFrame(data, "k long, y int")
+    hot = {tuple(r) for r in hot_keys(df, ["k", "y"], support=0.05).collect()}
+    assert (1, 2000) in hot and len(hot) <= 20
