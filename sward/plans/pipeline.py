@@ -89,9 +89,20 @@ def visit_metrics(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> D
                           "plot": standin.plot_code("plot_key")})
 
 
+_INPUTS = ("lineitem", "part", "supplier", "nation", "region")
+
+
+def _plan_key(spark: SparkSession, sf_dir: str, *args) -> tuple:
+    from sward.sources.tables import data_version
+    return (sf_dir, spark.conf.get("spark.sql.shuffle.partitions", "200"), *args,
+            *data_version(sf_dir, _INPUTS))
+
+
 def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
                 strategy: str = "auto") -> DataFrame:
-    return classify(visit_metrics(spark, sf_dir, strategy), thresholds)
+    from sward.sources.tables import memo_plan
+    return memo_plan(spark, _plan_key(spark, sf_dir, "visit_types", thresholds, strategy),
+                     lambda: classify(visit_metrics(spark, sf_dir, strategy), thresholds))
 
 
 def location_year(location, construction_year):
@@ -102,6 +113,12 @@ def location_year(location, construction_year):
 def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
           change_years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
     """Every computed visit column (T12: built, projected late)."""
+    from sward.sources.tables import memo_plan
+    return memo_plan(spark, _plan_key(spark, sf_dir, "sites", thresholds, tuple(change_years)),
+                     lambda: _sites(spark, sf_dir, thresholds, change_years))
+
+
+def _sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds, change_years: Sequence[int]) -> DataFrame:
     typed = visit_types(spark, sf_dir, thresholds)
     plots = standin.plots(spark, sf_dir).drop("plot")
     s = typed.join(plots, "plot_key", "left")
@@ -123,6 +140,12 @@ def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(
 
 def site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Finalisation: R rounding, ``accumulatedCov > 0``, the 17-column contract."""
+    from sward.sources.tables import memo_plan
+    return memo_plan(spark, _plan_key(spark, sf_dir, "site_table", thresholds),
+                     lambda: _site_table(spark, sf_dir, thresholds))
+
+
+def _site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds) -> DataFrame:
     s = sites(spark, sf_dir, thresholds)
     s = s.withColumns({
         "distanceRiver": F.expr(r_round_sql("distanceRiver", 1)),

@@ -39,3 +39,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if df is None:
         df = _READS[key] = spark.read.parquet(path)
     return df
+
+
+def data_version(sf_dir: str, names) -> tuple:
+    """Modification times of the given tables (None for non-local paths)."""
+    out = []
+    for n in names:
+        try:
+            out.append(os.stat(os.path.join(sf_dir, f"{n}.parquet")).st_mtime_ns)
+        except OSError:
+            return (None,)
+    return tuple(out)
+
+
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def memo_plan(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Reuse a lazily built DataFrame (its analysed plan, not data) within one session.
+
+    ``key`` must name everything the plan depends on; local inputs add their
+    file versions, so a changed table gets a fresh plan.
+    """
+    if None in key:
+        return build()
+    full = (id(spark), spark.sparkContext.applicationId, *key)
+    df = _PLANS.get(full)
+    if df is None:
+        df = _PLANS[full] = build()
+    return df
