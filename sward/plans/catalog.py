@@ -222,15 +222,17 @@ from v_plots group by location"""))
 def location_levels(spark, sf_dir):
     """Factor levels in order of first appearance after a stable sort by construction year.
 
-    One partial aggregate per value; the ranking then runs over the distinct
-    values only (bounded by the number of locations).
+    One partial aggregate per value gives its first appearance; the levels are
+    numbered with the range-partitioned ``row_sequence`` (no single-task window).
     """
-    from pyspark.sql import Window
+    from sward.operators.sequence import row_sequence
     from sward.sources import standin
     p = standin.plots(spark, sf_dir)
-    first = p.groupBy("location").agg(F.min(F.struct("constructionYear", "plot_key")).alias("_f"))
-    return first.select("location", F.col("_f.constructionYear").alias("firstConstructionYear"),
-                        F.row_number().over(Window.orderBy("_f")).cast("int").alias("level"))
+    first = (p.groupBy("location").agg(F.min(F.struct("constructionYear", "plot_key")).alias("_f"))
+             .select("location", F.col("_f.constructionYear").alias("firstConstructionYear"),
+                     F.col("_f.plot_key").alias("_first_key")))
+    levels = row_sequence(first, ["firstConstructionYear", "_first_key"], "level")
+    return levels.select("location", "firstConstructionYear", F.col("level").cast("int").alias("level"))
 
 
 # --------------------------------------------------------------- species list checks

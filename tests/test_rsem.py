@@ -73,3 +73,30 @@ def test_null_tokens_and_fill_zero(spark):
 def test_r_div_zero_is_null(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 4.0)], "a double, b double")
     assert rows(df.select(rsem.r_div("a", "b"))) == [(None,), (0.25,)]
+
+
+def _r_round_reference(x: float, d: int) -> float:
+    """Independent statement of R >= 4 rounding for the property test."""
+    import math
+    if x < 0:
+        return -_r_round_reference(-x, d)
+    p = 10.0 ** d
+    lo_i = math.floor(x * p)
+    lo, hi = lo_i / p, math.ceil(x * p) / p
+    if hi - x < x - lo:
+        return hi
+    if x - lo < hi - x:
+        return lo
+    return hi if lo_i % 2 == 1 else lo
+
+
+def test_r_round_property(spark):
+    import random
+    rnd = random.Random(11)
+    xs = ([rnd.uniform(-2000, 2000) for _ in range(300)]
+          + [round(rnd.uniform(0, 2000), 2) for _ in range(300)]       # two-decimal values (ties at 1 digit)
+          + [k / 8 for k in range(-400, 400)])                          # exact binary ties
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (0, 1, 2, 3):
+        got = [r[0] for r in df.select(F.expr(rsem.r_round_sql("x", d))).collect()]
+        assert got == [_r_round_reference(x, d) for x in xs]
