@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id in the upper bits, row index in the lower 33
@@ -127,12 +127,3 @@ def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: S
                       partitions: int | None = None, distinct: bool = False) -> DataFrame:
     """:func:`pairs_in_layout` over a fresh :func:`ordered_layout`."""
     return pairs_in_layout(ordered_layout(df, group, order, values, partitions, distinct), group, order, values)
-
-
-def group_ends(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """First and last row (by ``order``) and the row count per group, as one partial aggregate."""
-    row: Column = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *values])])
-    return (df.groupBy(group)
-            .agg(F.min(row).alias("_first"), F.max(row).alias("_last"), F.count(F.lit(1)).alias("n"))
-            .select(group, "n", *[F.col(f"_first.{v}").alias(f"first_{v}") for v in values],
-                    *[F.col(f"_last.{v}").alias(f"last_{v}") for v in values]))
