@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 # skew-join splitting, SMJ -> BHJ when a side turns out small), UI off.
 DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

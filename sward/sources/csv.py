@@ -26,19 +26,29 @@ WRITE_NA = "NA"
 
 def read_typed_csv(spark: SparkSession, path: str, columns: Mapping[str, str],
                    tokens: Sequence[str] = PIPELINE_NA, sep: str = ",", dec: str = ".",
-                   header: bool = True) -> DataFrame:
+                   header: bool = True, skip: int = 0) -> DataFrame:
     """Read a delimited file with per-column types.
 
-    ``columns`` maps each file column (in file order) to ``string``, ``int``,
+    Columns are bound by header name, as R's readers do, so their order in
+    the file does not matter; ``columns`` maps names to ``string``, ``int``,
     ``bigint``, ``double`` or ``date:<pattern>`` (e.g. ``date:yyyy-MM-dd``).
+    Columns of the file that are not listed stay text.  Without inference
+    every field is read as text (no extra pass over the data).
     """
-    text_schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    raw = (spark.read.schema(text_schema)
-           .option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-           .csv(path))
+    if skip:
+        raise NotImplementedError("skipping leading lines is not supported by the CSV source")
+    if not header:
+        text_schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+        raw = spark.read.schema(text_schema).option("header", False).option("sep", sep).csv(path)
+    else:
+        raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+        missing = [c for c in columns if c not in raw.columns]
+        if missing:
+            raise ValueError(f"columns not in {path}: {missing}")
     raw = null_tokens(raw, tokens)
     out = []
-    for name, typ in columns.items():
+    for name in raw.columns:
+        typ = columns.get(name, "string")
         c = F.col(f"`{name}`")
         if typ.startswith("date:"):
             out.append(F.try_to_date(c, typ.split(":", 1)[1]).alias(name))

@@ -48,3 +48,18 @@ def test_csv_tokens_decimal_mark_and_sink(spark):
     out = local_path(write_csv(df, shared_path(spark, "test-csv-out")))
     text = "".join(open(os.path.join(out, p)).read() for p in sorted(os.listdir(out)) if p.endswith(".csv"))
     assert "b,NA,NA,NA" in text
+
+
+def test_csv_binds_columns_by_header_name(spark):
+    folder = local_path(shared_path(spark, "test-csv-order"))
+    os.makedirs(folder, exist_ok=True)
+    src = os.path.join(folder, "in.csv")
+    with open(src, "w") as f:
+        f.write("note,cover,name,extra\n")
+        f.write("x,2.5,a,NA\n")
+    df = read_typed_csv(spark, src, {"name": "string", "cover": "double"})
+    assert rows(df.select("name", "cover", "note", "extra")) == [("a", 2.5, "x", None)]
+    with pytest.raises(ValueError):
+        read_typed_csv(spark, src, {"missing": "double"})
+    with pytest.raises(NotImplementedError):
+        read_typed_csv(spark, src, {"name": "string"}, skip=1)
