@@ -338,7 +338,7 @@ select plot, surveyYear, id, location, exposition, side from (
 def first_visit(spark, sf_dir):
     """The first visit row of every plot (file order = year, id)."""
     from sward.operators.mapview import first_visit as fv
-    return fv(P.site_table(spark, sf_dir))
+    return fv(P.analysis_table(spark, sf_dir))
 
 
 def _plot_layer_sql() -> str:
@@ -360,7 +360,7 @@ def plot_layer(spark, sf_dir):
     """M1 + J1 + S5 + F9 + F10: marker layer with first-visit attributes, popup and label."""
     from sward.operators.mapview import plot_layer as layer
     from sward.sources.layers import point_layer
-    return layer(point_layer(spark, sf_dir), P.site_table(spark, sf_dir))
+    return layer(point_layer(spark, sf_dir), P.analysis_table(spark, sf_dir))
 
 
 def _line_layer_sql() -> str:
@@ -403,14 +403,14 @@ def _all_plots(spark, sf_dir):
 def plot_series(spark, sf_dir):
     """M3 + P10: species-richness series of the plots on the map (semi join on the point layer)."""
     from sward.operators.mapview import plot_series as series
-    return series(P.site_table(spark, sf_dir), "speciesRichness", _all_plots(spark, sf_dir))
+    return series(P.analysis_table(spark, sf_dir), "speciesRichness", _all_plots(spark, sf_dir))
 
 
 @register("plot_selection", _series_sql("rlgRichness", 0, 8))
 def plot_selection(spark, sf_dir):
     """P15 default branch: an unknown metric name selects rlgRichness."""
     from sward.operators.mapview import plot_series as series
-    return series(P.site_table(spark, sf_dir), "anything-else", _all_plots(spark, sf_dir))
+    return series(P.analysis_table(spark, sf_dir), "anything-else", _all_plots(spark, sf_dir))
 
 
 def _stats_sql(metrics) -> str:
@@ -436,7 +436,7 @@ def _round_stats(df):
 def reference_lines(spark, sf_dir):
     """M4 (A26 + A27): global mean, mean +- 0.5 sd and year domain for each metric, one pass."""
     from sward.operators.mapview import reference_stats_all
-    return _round_stats(reference_stats_all(P.site_table(spark, sf_dir), _METRICS))
+    return _round_stats(reference_stats_all(P.analysis_table(spark, sf_dir), _METRICS))
 
 
 @register("series_with_bands", _series_sql("biotopePoints", 0, 15, """,
@@ -446,7 +446,7 @@ def reference_lines(spark, sf_dir):
 def series_with_bands(spark, sf_dir):
     """M5 + C23: biotope-points series with the chart band per point."""
     from sward.operators.mapview import series_with_bands as bands
-    return bands(P.site_table(spark, sf_dir), _all_plots(spark, sf_dir))
+    return bands(P.analysis_table(spark, sf_dir), _all_plots(spark, sf_dir))
 
 
 @register("series_all_plots", O.with_views(["v_site", "v_plots"], """
@@ -460,7 +460,7 @@ from v_site join s on s.metric = 'speciesRichness' where plot in (select plot fr
 def series_all_plots(spark, sf_dir):
     """M6 + J8: every plot's series with the global reference lines attached."""
     from sward.operators.mapview import series_with_reference
-    return _round_stats(series_with_reference(P.site_table(spark, sf_dir), "speciesRichness",
+    return _round_stats(series_with_reference(P.analysis_table(spark, sf_dir), "speciesRichness",
                                               _all_plots(spark, sf_dir)))
 
 

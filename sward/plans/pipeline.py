@@ -162,3 +162,23 @@ def write_site_table(spark: SparkSession, sf_dir: str, path: str, csv_path: str
     if csv_path:
         write_csv(spark.read.parquet(path).select(*SITE_COLUMNS), csv_path)
     return path
+
+
+def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis table as the dashboard reads it: written once, then scanned.
+
+    As in the reference (the app reads the pipeline's output file, it never
+    re-runs the pipeline per chart), the E1 result is written as Parquet into
+    the shared folder named by ``spark.checkpoint.dir``.  That cuts the lineage
+    - a lost executor re-reads files instead of recomputing the pipeline - and
+    every map / chart query scans it with column pruning.  One write per
+    session and input version.
+    """
+    from sward.session import shared_path
+    from sward.sources.tables import memo_plan
+
+    def build() -> DataFrame:
+        path = write_site_table(spark, sf_dir, shared_path(spark, "analysis-table"))
+        return spark.read.parquet(path).select(*SITE_COLUMNS)
+
+    return memo_plan(spark, _plan_key(spark, sf_dir, "analysis_table"), build)
