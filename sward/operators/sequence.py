@@ -25,6 +25,16 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def large_input(df: DataFrame) -> bool:
+    """True when the input spans many more splits than there are shuffle partitions.
+
+    Planning only (no job).  Below that size a whole group fits one task's
+    fair share anyway, so skew-proof layouts cannot pay for their extra
+    sampling pass and exchanges.
+    """
+    return df.rdd.getNumPartitions() >= 2 * _num_partitions(df)
+
+
 def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None, distinct: bool = False) -> DataFrame:
     """Range-partition on ``order``, optionally drop duplicate rows, sort each partition.
 
@@ -62,11 +72,32 @@ def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
             .drop("_pid", "_local", "_off"))
 
 
+def resolve_layout(df: DataFrame, layout: str = "auto") -> str:
+    if layout == "auto":
+        return "ranged" if large_input(df) else "hashed"
+    return layout
+
+
 def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
-                   partitions: int | None = None, distinct: bool = False) -> DataFrame:
-    """The range-partitioned, sorted layout that :func:`pairs_in_layout` reads."""
+                   partitions: int | None = None, distinct: bool = False, layout: str = "auto") -> DataFrame:
+    """The layout that :func:`segments_in_layout` reads.
+
+    ``ranged``: range-partitioned on (group, order) and sorted - a hot group
+    is cut over several partitions (segments).  ``hashed``: one exchange on
+    the group; de-duplication, window and per-group aggregation all reuse it
+    (one segment per group).  ``auto`` picks ``ranged`` for large inputs.
+    """
     cols = list(dict.fromkeys([group, *order, *values]))
-    return _ranged(df.select(*cols), [group, *order], partitions, distinct)
+    src = df.select(*cols)
+    layout = resolve_layout(src, layout)
+    if layout == "ranged":
+        return _ranged(src, [group, *order], partitions, distinct)
+    if layout != "hashed":
+        raise ValueError(f"unknown layout {layout!r}")
+    r = src.repartition(group)
+    if distinct:
+        r = r.dropDuplicates()
+    return r.withColumn("_pid", F.lit(0))
 
 
 def segments_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -124,6 +155,7 @@ def ends_from_segments(segs: DataFrame, group: str, values: Sequence[str]) -> Da
 
 
 def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
-                      partitions: int | None = None, distinct: bool = False) -> DataFrame:
+                      partitions: int | None = None, distinct: bool = False, layout: str = "auto") -> DataFrame:
     """:func:`pairs_in_layout` over a fresh :func:`ordered_layout`."""
-    return pairs_in_layout(ordered_layout(df, group, order, values, partitions, distinct), group, order, values)
+    r = ordered_layout(df, group, order, values, partitions, distinct, layout)
+    return pairs_in_layout(r, group, order, values)
