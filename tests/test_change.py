@@ -1,6 +1,5 @@
 import itertools
 
-import pytest
 
 from conftest import rows
 from sward.operators.change import change_classes
