@@ -182,3 +182,18 @@ def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(path).select(*SITE_COLUMNS)
 
     return memo_plan(spark, _plan_key(spark, sf_dir, "analysis_table"), build)
+
+
+# column types of the analysis table when read back from its CSV form
+SITE_CSV_TYPES = {
+    "id": "string", "plot": "string", "block": "int", "location": "string", "locationYear": "string",
+    "riverkm": "int", "distanceRiver": "double", "surveyYear": "int", "exposition": "string", "side": "string",
+    "accumulatedCov": "double", "speciesRichness": "int", "rlgRichness": "int", "biotopeType": "string",
+    "ffh": "string", "biotopePoints": "int", "botanist": "string",
+}
+
+
+def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The dashboard's reader of the analysis table CSV (NA tokens "na" / "NA", plot kept as text)."""
+    from sward.sources.csv import APP_NA, read_typed_csv
+    return read_typed_csv(spark, path, SITE_CSV_TYPES, tokens=APP_NA).select(*SITE_COLUMNS)
