@@ -110,3 +110,17 @@ def test_hot_keys_finds_a_third_of_all_rows(spark):
     df = spark.createDataFrame(data, "k long, y int")
     hot = {tuple(r) for r in hot_keys(df, ["k", "y"], support=0.05).collect()}
     assert (1, 2000) in hot and len(hot) <= 20
+
+
+def test_visit_properties(spark):
+    vt = P.visit_types(spark, SF_SMALL)
+    # Shannon's H never exceeds ln(richness) (equality only for even covers)
+    assert vt.filter("shannon > ln(CAST(speciesRichness AS DOUBLE)) + 1e-12").count() == 0
+    # every visit gets exactly one type
+    assert vt.filter("biotopeType IS NULL").count() == 0
+    assert vt.select("plot_key", "surveyYear").distinct().count() == vt.count()
+    # site attributes are constant per plot
+    st = P.site_table(spark, SF_SMALL)
+    per_plot = st.groupBy("plot").agg(F.countDistinct("location", "exposition", "side", "block", "riverkm")
+                                      .alias("k"))
+    assert per_plot.filter("k <> 1").count() == 0
