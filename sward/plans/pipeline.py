@@ -157,7 +157,9 @@ def _site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds) -> Dat
 def write_site_table(spark: SparkSession, sf_dir: str, path: str, csv_path: str | None = None) -> str:
     """E1 sinks: Parquet partitioned by survey year (pruned by year filters), optional CSV."""
     from sward.sources.csv import write_csv, write_parquet
-    st = site_table(spark, sf_dir)
+    # range layout on (year, plot), sorted: few balanced files per year, and row-group
+    # min/max statistics on plot let a pushed-down plot filter skip most of the table
+    st = site_table(spark, sf_dir).repartitionByRange("surveyYear", "plot").sortWithinPartitions("surveyYear", "plot")
     write_parquet(st, path, partition_by=("surveyYear",))
     if csv_path:
         write_csv(spark.read.parquet(path).select(*SITE_COLUMNS), csv_path)
