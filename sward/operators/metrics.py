@@ -162,21 +162,38 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], support: float) -> DataFrame:
     return items.select(F.explode("_k_freqItems").alias("_k")).select(*[F.col(f"_k.{k}").alias(k) for k in keys])
 
 
+def hot_key_buckets(rows: DataFrame, keys: Sequence[str], hot: DataFrame, partitions: int) -> DataFrame:
+    """Salt buckets per hot key, in proportion to its share of the rows.
+
+    ``ceil(rows_k * partitions / rows_total)`` (at least 1, at most
+    ``partitions``) gives each bucket about one task's fair share.  The counts
+    are a semi-join aggregate over the hot keys only (bounded by the hot list)
+    and the total is a scalar subquery, so nothing runs before the query does.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    counts = (rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_semi")
+              .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    share = F.ceil(F.col("_n") * F.lit(partitions) / total)
+    return counts.select(*keys, F.least(F.lit(partitions), F.greatest(F.lit(1), share)).cast("int").alias("_buckets"))
+
+
 def cluster_by_visit(joined: DataFrame, keys: Sequence[str], hot: DataFrame | None, split_by: str,
                      buckets: int) -> DataFrame:
     """Co-locate the rows of each visit so the metric aggregate is complete per task.
 
-    A hot visit is spread over ``buckets`` sub-partitions by a hash of
-    ``split_by`` (the species): every (visit, species) row stays whole in one
-    bucket, so richness counts stay exact, and the final merge receives at
-    most ``buckets`` partial rows per hot visit.
+    A hot visit is spread over sub-partitions by a hash of ``split_by`` (the
+    species): its own ``_buckets`` when ``hot`` carries them (see
+    :func:`hot_key_buckets`), else ``buckets``.  Every (visit, species) row
+    stays whole in one bucket, so richness counts stay exact, and the final
+    merge receives at most that many partial rows per hot visit.
     """
     if hot is not None:
-        flagged = joined.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(split_by), F.lit(buckets))).otherwise(F.lit(0))
-        joined = flagged.withColumn("_salt", salt).drop("_hot")
+        h = hot if "_buckets" in hot.columns else hot.withColumn("_buckets", F.lit(int(buckets)))
+        flagged = joined.join(F.broadcast(h.select(*keys, "_buckets")), list(keys), "left")
+        salt = F.when(F.col("_buckets").isNotNull(), F.pmod(F.xxhash64(split_by), F.col("_buckets")))
+        joined = flagged.withColumn("_salt", F.coalesce(salt, F.lit(0).cast("bigint"))).drop("_buckets")
     else:
-        joined = joined.withColumn("_salt", F.lit(0))
+        joined = joined.withColumn("_salt", F.lit(0).cast("bigint"))
     return joined.repartition(*keys, "_salt")
 
 

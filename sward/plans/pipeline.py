@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from sward.functions.rsem import r_round_sql, str_c, str_sub
 from sward.operators.biotope import Thresholds, classify
 from sward.operators.change import change_classes
-from sward.operators.metrics import cluster_by_visit, fused_metrics, hot_keys, species_cover, trait_masks
+from sward.operators.metrics import (cluster_by_visit, fused_metrics, hot_key_buckets, hot_keys, species_cover,
+                                    trait_masks)
 from sward.operators.traits import trait_flags
 from sward.sources import standin
 
@@ -39,12 +40,13 @@ VISIT_KEYS = ("plot_key", "surveyYear")
 
 
 def hot_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits holding more than half of one task's fair share of the input rows."""
+    """Visits holding more than half of one task's fair share of the input rows, with their salt buckets."""
     from sward.sources.tables import table
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("plot_key"),
                                                  F.year("l_shipdate").alias("surveyYear"))
-    return hot_keys(li, VISIT_KEYS, support=1.0 / (2 * max(parts, 2)))
+    hot = hot_keys(li, VISIT_KEYS, support=1.0 / (2 * max(parts, 2)))
+    return hot_key_buckets(li, VISIT_KEYS, hot, parts)
 
 
 def metrics_strategy(spark: SparkSession, sf_dir: str) -> str:

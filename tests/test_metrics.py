@@ -103,6 +103,20 @@ def test_strategies_agree_with_hot_visits(spark):
     c = fused_metrics(salted, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
     assert sorted(rows(a)) == sorted(rows(c))
 
+    # buckets sized by share: the hot list from lineitem rows, buckets proportional to their counts
+    from sward.operators.metrics import hot_key_buckets
+    from sward.sources.tables import table
+    li = table(spark, SF_SMALL, "lineitem").select(F.col("l_suppkey").alias("plot_key"),
+                                                   F.year("l_shipdate").alias("surveyYear"))
+    hot_li = hot_keys(li, ["plot_key", "surveyYear"], support=0.01)
+    sized = hot_key_buckets(li, ["plot_key", "surveyYear"], hot_li, partitions=50)
+    b = [r[0] for r in sized.select("_buckets").collect()]
+    assert b and all(1 <= x <= 50 for x in b)
+    salted2 = cluster_by_visit(joined.select("plot_key", "surveyYear", "name", "q", "_mask"),
+                               ["plot_key", "surveyYear"], sized, split_by="name", buckets=1)
+    d = fused_metrics(salted2, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
+    assert sorted(rows(a)) == sorted(rows(d))
+
 
 def test_hot_keys_finds_a_third_of_all_rows(spark):
     from sward.operators.metrics import hot_keys
