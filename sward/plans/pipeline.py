@@ -57,10 +57,9 @@ def metrics_strategy(spark: SparkSession, sf_dir: str) -> str:
     the input spans many more splits than there are shuffle partitions
     (i.e. when a visit's species are spread over many map tasks).
     """
+    from sward.operators.sequence import large_input
     from sward.sources.tables import table
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    splits = table(spark, sf_dir, "lineitem").select("l_suppkey").rdd.getNumPartitions()
-    return "clustered" if splits >= 2 * parts else "partial"
+    return "clustered" if large_input(table(spark, sf_dir, "lineitem").select("l_suppkey")) else "partial"
 
 
 def visit_metrics(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
