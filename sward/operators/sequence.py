@@ -30,8 +30,12 @@ def large_input(df: DataFrame) -> bool:
 
     Planning only (no job).  Below that size a whole group fits one task's
     fair share anyway, so skew-proof layouts cannot pay for their extra
-    sampling pass and exchanges.
+    sampling pass and exchanges.  ``spark.sward.largeInput`` = ``true`` /
+    ``false`` overrides the check (``auto`` by default).
     """
+    forced = df.sparkSession.conf.get("spark.sward.largeInput", "auto").lower()
+    if forced in ("true", "false"):
+        return forced == "true"
     return df.rdd.getNumPartitions() >= 2 * _num_partitions(df)
 
 

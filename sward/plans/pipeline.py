@@ -95,8 +95,8 @@ _INPUTS = ("lineitem", "part", "supplier", "nation", "region")
 
 def _plan_key(spark: SparkSession, sf_dir: str, *args) -> tuple:
     from sward.sources.tables import data_version
-    return (sf_dir, spark.conf.get("spark.sql.shuffle.partitions", "200"), *args,
-            *data_version(sf_dir, _INPUTS))
+    return (sf_dir, spark.conf.get("spark.sql.shuffle.partitions", "200"),
+            spark.conf.get("spark.sward.largeInput", "auto"), *args, *data_version(sf_dir, _INPUTS))
 
 
 def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),

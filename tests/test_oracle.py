@@ -32,3 +32,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns[:3] == ["id", "plot", "block"]
     assert df.count() > 0
+
+
+LARGE_PATH = ["cover_metrics", "richness_metrics", "diversity", "biotope_types", "site_table", "change_type",
+              "path_length", "ring_area", "line_layer", "plot_series"]
+
+
+@pytest.mark.parametrize("name", LARGE_PATH)
+def test_large_input_plans_match_oracle(spark, con, name):
+    """The skew-proof plans chosen for large inputs give the same results."""
+    spark.conf.set("spark.sward.largeInput", "true")
+    try:
+        assert compare(spark, SF_SMALL, name, E.queries()[name], E.oracle_sql()[name], con, verbose=True)
+    finally:
+        spark.conf.set("spark.sward.largeInput", "auto")
