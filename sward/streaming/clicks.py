@@ -44,7 +44,10 @@ def series_for_clicks(clicks: DataFrame, sites: DataFrame) -> DataFrame:
     c = clicks.select("plot", F.expr(resolved_metric_sql()).alias("metric"), "ts")
     s = sites.select("plot", "location", "surveyYear", "speciesRichness", "biotopePoints", "rlgRichness",
                      "biotopeType")
-    j = c.join(s, "plot")
+    # A micro-batch has no size statistics, so without a hint Spark would shuffle the whole
+    # analysis table for every batch.  The click side is bounded by the source's
+    # maxFilesPerTrigger (and a UI emits one small event per click): broadcast it.
+    j = F.broadcast(c).join(s, "plot")
     j = j.withColumn("y", F.expr(metric_value_sql()))
     return j.select(
         "ts", "metric", "location", "plot", "surveyYear", "y", "biotopeType",
