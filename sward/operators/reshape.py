@@ -67,17 +67,19 @@ def pivot_measures(long: DataFrame, ids: Sequence[str], measures: Sequence[str],
 
 def wide_to_visits(wide: DataFrame, ids: Sequence[str], measures: Sequence[str], years: Sequence[int],
                    numeric: Iterable[str] = (), sep: str = "_") -> DataFrame:
-    """R1 + R2 + R3 without a shuffle: explode one struct per year."""
+    """R1 + R2 + R3 without a shuffle: explode one struct per year (generated as SQL)."""
     numeric = set(numeric)
 
-    def cell(m: str, y: int):
+    def cell(m: str, y: int) -> str:
         name = f"{m}{sep}{y}"
-        c = F.col(f"`{name}`").cast("string") if name in wide.columns else F.lit(None).cast("string")
-        return (c.try_cast("double") if m in numeric else c).alias(m)
-
-    per_year = F.array(*[F.struct(F.lit(int(y)).alias("surveyYear"), *[cell(m, y) for m in measures])
-                         for y in years])
-    return (wide.select(*ids, F.explode(per_year).alias("_v"))
+        c = f"CAST(`{name}` AS STRING)" if name in wide.columns else "CAST(NULL AS STRING)"
+        return f"{'try_cast(' + c + ' AS DOUBLE)' if m in numeric else c} AS `{m}`"
+
+    per_year = "explode(array(" + ", ".join(
+        "named_struct(" + ", ".join([f"'surveyYear', {int(y)}"]
+                                    + [f"'{m}', {cell(m, y).rsplit(' AS ', 1)[0]}" for m in measures]) + ")"
+        for y in years) + ")) AS _v"
+    return (wide.selectExpr(*[f"`{i}`" for i in ids], per_year)
             .select(*ids, "_v.surveyYear", *[f"_v.{m}" for m in measures]))
 
 

@@ -578,9 +578,10 @@ def spread_types(spark, sf_dir):
     fam = F.col("family")
     typed = (standin.cover(spark, sf_dir)
              .join(standin.traits(spark, sf_dir).select("name", "family"), "name", "left")
-             .withColumn("type", r_if(fam.isin(*GRAMINOID_FAMILIES), "graminoidCov", "herbCov"))
-             .withColumn("id", standin.visit_id("plot_key", "surveyYear")))
-    return spread_sum(typed, ["id"], "type", ["graminoidCov", "herbCov"], "q", standin.COVER_SCALE)
+             .withColumn("type", r_if(fam.isin(*GRAMINOID_FAMILIES), "graminoidCov", "herbCov")))
+    wide = spread_sum(typed, ["plot_key", "surveyYear"], "type", ["graminoidCov", "herbCov"], "q",
+                      standin.COVER_SCALE)
+    return wide.select(standin.visit_id("plot_key", "surveyYear").alias("id"), "graminoidCov", "herbCov")
 
 
 @register("cover_long", O.with_views(["v_cover", "v_flags"], """
@@ -610,9 +611,9 @@ def cover_wide(spark, sf_dir):
     from sward.operators.reshape import spread_sum
     from sward.sources import standin
     c = (standin.cover(spark, sf_dir)
-         .join(standin.traits(spark, sf_dir).select("name", "family"), "name", "left")
-         .withColumn("id", standin.visit_id("plot_key", "surveyYear")))
-    return spread_sum(c, ["id"], "family", _FAMILIES, "q", standin.COVER_SCALE)
+         .join(standin.traits(spark, sf_dir).select("name", "family"), "name", "left"))
+    wide = spread_sum(c, ["plot_key", "surveyYear"], "family", _FAMILIES, "q", standin.COVER_SCALE)
+    return wide.select(standin.visit_id("plot_key", "surveyYear").alias("id"), *_FAMILIES)
 
 
 # --------------------------------------------------------------- CSV ingest and sinks

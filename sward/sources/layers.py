@@ -60,17 +60,16 @@ def line_layer_with_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plot_sheet(spark: SparkSession, sf_dir: str, years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
     """Wide plot sheet: one row per plot, ``<measure>_<year>`` columns (one partial aggregate)."""
     li = table(spark, sf_dir, "lineitem")
-    yr = F.year("l_shipdate")
     aggs = []
     for y in years:
-        inyear = yr == y
+        iy = f"year(l_shipdate) = {int(y)}"
         aggs += [
-            (F.sum(F.when(inyear, F.col("l_quantity"))) / F.lit(standin.COVER_SCALE)).alias(f"vegetationCov_{y}"),
-            F.max(F.when(inyear, F.col("l_quantity"))).alias(f"vegetationHeight_{y}"),
-            F.count_if(inyear & (F.col("l_returnflag") == "R")).cast("double").alias(f"opensoilCov_{y}"),
-            F.min(F.when(inyear, F.col("l_quantity"))).alias(f"mossCov_{y}"),
-            (F.count_if(inyear).cast("double") / F.lit(4.0)).alias(f"litterCov_{y}"),
-            F.min(F.when(inyear, F.col("l_linestatus"))).alias(f"botanist_{y}"),
+            f"sum(CASE WHEN {iy} THEN l_quantity END) / {standin.COVER_SCALE!r}D AS vegetationCov_{y}",
+            f"max(CASE WHEN {iy} THEN l_quantity END) AS vegetationHeight_{y}",
+            f"CAST(count_if({iy} AND l_returnflag = 'R') AS DOUBLE) AS opensoilCov_{y}",
+            f"min(CASE WHEN {iy} THEN l_quantity END) AS mossCov_{y}",
+            f"CAST(count_if({iy}) AS DOUBLE) / 4.0D AS litterCov_{y}",
+            f"min(CASE WHEN {iy} THEN l_linestatus END) AS botanist_{y}",
         ]
-    return (li.groupBy(F.col("l_suppkey").alias("plot_key")).agg(*aggs)
+    return (li.groupBy(F.col("l_suppkey").alias("plot_key")).agg(*[F.expr(a) for a in aggs])
             .withColumn("plot", standin.plot_code("plot_key")).drop("plot_key"))
