@@ -33,7 +33,7 @@ from sward.llm import common as C
 #: Words with a place in the broadcast table; two-byte codes, 0 is left for all others.
 HOT = 65_535
 #: Tokens per column block of a mapper and per pair partition: bound a task's memory.
-BLOCK_TOKENS, PARTITION_TOKENS = 1_500_000, 2_000_000
+BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 1_000_000
 KATZ_K = 5
 SPLIT, HELD_OUT = 7, 2
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
@@ -250,10 +250,10 @@ def _score_pairs(box):
         blocks, model = item
         hot = box.value["w"]
         if model:
-            h, w, gain = (np.array(x) for x in zip(*model))
-            key = pair_key(h.astype(np.int64).view(np.uint64), w.astype(np.int64).view(np.uint64))
+            h, w, gain = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in model], axis=1)
+            key = pair_key(h, w)
             order = np.argsort(key)
-            key, gain = key[order], gain[order].astype(np.float64)
+            key, gain = key[order], gain[order].view(np.float64)
         for _, (run_id, block) in blocks:
             if block[:1] == b"D":
                 ids, th = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
@@ -394,17 +394,20 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gain = model.join(hist, "h").select(
         "h", "w", (F.log10("p") - F.col("la") - F.log10("p1")).alias("gain"))
 
-    def keyed(batch_rows):
-        held = list(batch_rows)
-        if not held:
-            return
-        h = np.array([r[0] for r in held], dtype=np.int64).view(np.uint64)
-        w = np.array([r[1] for r in held], dtype=np.int64).view(np.uint64)
-        p = ((pair_key(h, w) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        for k, r in zip(p.tolist(), held):
-            yield (k, (r[0], r[1], r[2]))
-
-    slices = gain.rdd.mapPartitions(keyed).partitionBy(parts, lambda k: k)
+    def keyed(batches):
+        for b in batches:
+            h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
+            g = b.column("gain").to_numpy()
+            p = ((pair_key(h, w) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(p, kind="stable")
+            edge = np.searchsorted(p[order], np.arange(parts + 1))
+            out = [(k, np.stack([h[o], w[o], g[o].view(np.uint64)]).tobytes())
+                   for k in range(parts) if len(o := order[edge[k]:edge[k + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())],
+                                             ["part", "model"])
+
+    slices = (gain.mapInArrow(keyed, "part int, model binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+              .partitionBy(parts, lambda k: k))
     together = (blocks.mapPartitions(lambda it: [list(it)])
                 .zip(slices.mapPartitions(lambda it: [[v for _, v in it]])))
     gains = spark.createDataFrame(together.flatMap(_score_pairs(box)),
