@@ -30,7 +30,7 @@ MAX_PIECE = 512
 #: Pieces per block: bounds the memory of a task (pieces x windows small integers) and its time.
 BLOCK_PIECES = 4000
 #: Entries of a worker's chunk cache; it is emptied when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_200_000
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
