@@ -70,7 +70,7 @@ def _count_words(batches):
     for b in C.slices(batches):
         held.append(token_arrays(b.column("text"))[0])
         size += len(held[-1])
-        if size > 2 * BLOCK_TOKENS:
+        if size > 5 * BLOCK_TOKENS:
             yield flush()
             held, size = [], 0
     if held:
@@ -391,7 +391,15 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     table = sc.broadcast({"w": hot_w, "c": hot_c, "la": la, "begin": float(first[0]) if first else 0.0})
 
     # what the model's pairs add: looked up partition by partition, next to the occurrence blocks
-    gain = model.join(hist, "h").select(
+    def hot_alpha_of(batches):
+        for b in batches:
+            i, ok = _lookup(b.column("h").to_numpy().view(np.uint64), hot_w)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(la[i] if len(la) else np.zeros(len(i)), pa.float64(), mask=~ok)],
+                                             ["h", "w", "p", "p1", "la"])
+
+    near = model.mapInArrow(hot_alpha_of, "h long, w long, p double, p1 double, la double")
+    rare = near.where("la is null").drop("la").join(hist, "h")
+    gain = near.where("la is not null").unionByName(rare).select(
         "h", "w", (F.log10("p") - F.col("la") - F.log10("p1")).alias("gain"))
 
     def keyed(batches):
@@ -414,7 +422,7 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
                                   "run long, place long, doc_id long, th long, gain double", verifySchema=False)
     gains = gains.groupBy("run", "place").agg(F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), F.sum("gain").alias("gain"))
 
-    parts_of = scratch.save(rows.select("doc_id", "th", "text").mapInArrow(_word_sums(table, uni), _WORD_SCHEMA), "wordsums")
+    parts_of = rows.select("doc_id", "th", "text").mapInArrow(_word_sums(table, uni), _WORD_SCHEMA)
     zero = F.lit(0).cast("long")
     cold = (parts_of.where("w is not null").join(words, "w", "left")
             .join(hist.select(F.col("h").alias("w"), "la"), "w", "left")
