@@ -2,17 +2,19 @@
 
 Works on *classes*: distinct sets, named by the 16-byte digest of the set, so
 exact copies cost one row however many there are.  A bucket is a group of
-classes that share a band.  Within a bucket no pairs are enumerated up front:
+classes that share a band.  Within a
+bucket no pairs are enumerated up front:
 
-1. one hub per bucket is compared with every member (linear);
+1. some classes are hubs; a hub is compared with all its bucket mates (linear);
 2. confirmed links are merged into components;
-3. members outside the first hub's component become hubs of the next round,
-   8 times as many per round, and are compared with every member of another
-   component.  A bucket is finished when every member outside the first hub's
-   component has been a hub: then each pair of members is either in one
-   component or was compared, so no link between components is lost.
-
-The cost is (members x hubs needed) and the number of rounds is logarithmic.
+3. in buckets that still hold classes outside the component of the bucket's first
+   hub, some of these become hubs of the next round, 8 times as many per round;
+   classes that are already in the hub's component, or were hubs, are passed over.
+
+A class is a hub in all its buckets at once, so no pair is compared twice, and never
+more pairs than banding has candidates.  The search ends when every class outside
+its bucket's first component has been a hub: then any two bucket mates are in one
+component or were compared, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -69,26 +71,27 @@ def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float
     """
     pct = round(threshold * 100)
     weight = buckets.groupBy("set_id").agg(F.count("*").alias("w"))
-    # the first hub of a bucket: the member found in most buckets, ties to the smaller digest
+    # the first hub of a bucket: the member found in most buckets, ties to the larger digest
     first = (buckets.join(weight, "set_id").groupBy("key")
              .agg(F.max_by("set_id", F.struct("w", "set_id")).alias("hub0")))
-    state = scratch.save(buckets.join(first, "key"), "buckets", files)
-    hubs = first.select("key", F.col("hub0").alias("hub"))
-    done = None
+    state = scratch.save(buckets.join(first, "key").join(sets.select("set_id", "n"), "set_id"), "buckets", files)
+    hubs = scratch.save(first.select(F.col("hub0").alias("set_id")).distinct(), "hubs", files)
+    done = None  # hubs of earlier rounds
     labels = None
     per_bucket = 1
     a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     while True:
-        pairs = state.join(hubs, "key").where("hub <> set_id")
-        if labels is not None:
-            lab = labels.select(F.col("set_id").alias("hub"), F.col("comp").alias("hc"))
-            pairs = (pairs.join(labels, "set_id", "left").join(lab, "hub", "left")
-                     .where(F.coalesce("comp", "set_id") != F.coalesce("hc", "hub")))
-        pairs = pairs.select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-        good = (pairs.join(a, "a").join(b.select("b", "nb"), "b")
-                .where(f"100 * least(na, nb) >= {pct} * greatest(na, nb)").drop("nb")
-                .join(b, "b").where(similar(threshold)).select("a", "b"))
+        now = state if labels is None else state.join(labels, "set_id", "left")
+        now = now.withColumn("c", F.coalesce("comp", "set_id") if labels is not None else F.col("set_id"))
+        left = now.join(hubs, "set_id", "left_semi").select(
+            "key", F.col("set_id").alias("hub"), F.col("n").alias("hn"), F.col("c").alias("hc"))
+        right = now if done is None else now.join(done, "set_id", "left_anti")
+        meet = ((left["key"] == right["key"]) & (left["hc"] != right["c"])
+                & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * pct))
+        pairs = (left.join(right, meet)
+                 .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct())
+        good = pairs.join(a, "a").join(b, "b").where(similar(threshold)).select("a", "b")
         links = scratch.save(good, "links", files)
         if labels is None:
             edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -97,7 +100,7 @@ def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float
             lb = labels.select(F.col("set_id").alias("b"), F.col("comp").alias("cb"))
             edges = (links.join(la, "a", "left").join(lb, "b", "left")
                      .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-        if not edges.isEmpty():
+        if not links.isEmpty():
             merged = components(scratch, edges, files)
             if labels is None:
                 new = merged.select(F.col("node").alias("set_id"), "comp")
@@ -108,18 +111,17 @@ def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float
                        .unionByName(merged.join(labels.select(F.col("comp").alias("node")), "node", "left_anti")
                                     .select(F.col("node").alias("set_id"), "comp")))
             labels = scratch.save(new, "labels", files)
-        tried = hubs.select("key", F.col("hub").alias("set_id"))
-        done = tried if done is None else done.unionByName(tried)
+        done = scratch.save(hubs if done is None else done.unionByName(hubs), "done", files)
         per_bucket *= HUB_GROWTH
         open_ = state
         if labels is not None:
             l0 = labels.select(F.col("set_id").alias("hub0"), F.col("comp").alias("c0"))
             open_ = (state.join(labels, "set_id", "left").join(l0, "hub0", "left")
                      .where(F.coalesce("comp", "set_id") != F.coalesce("c0", "hub0")))
-        w = Window.partitionBy("key").orderBy("set_id")
-        nxt = (open_.join(done, ["key", "set_id"], "left_anti")
-               .select("key", "set_id", F.row_number().over(w).alias("r")).where(F.col("r") <= per_bucket)
-               .select("key", F.col("set_id").alias("hub")))
+        w = Window.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id")
+        nxt = (open_.join(done, "set_id", "left_anti")
+               .select("set_id", F.row_number().over(w).alias("r")).where(F.col("r") <= per_bucket)
+               .select("set_id").distinct())
         hubs = scratch.save(nxt, "hubs", files)
         if hubs.isEmpty():
             break
