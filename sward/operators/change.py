@@ -15,7 +15,7 @@ NON_FFH = "non-FFH"
 
 
 def group_size(sites: DataFrame, key: str = "plot") -> DataFrame:
-    """``group_by(plot) %>% mutate(count = n()) %>% filter(count == max(count))``.
+    """Number of visits per plot on every row, kept where it is the largest of its plot.
 
     The filter runs inside the group, where ``count`` is constant, so it keeps
     every row (T3) - reproduced as is.  A plot has at most one row per survey

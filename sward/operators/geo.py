@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.operators.sequence import (consecutive_pairs, ends_from_segments, ordered_layout, pairs_and_segments,
-                                     resolve_layout, segments_in_layout)
+                                     segments_in_layout)
 
 # ---- fixed values ----
 EARTH_RADIUS_KM = 6371.0088
@@ -38,22 +38,13 @@ def _shoelace_term(lon: Column, lat: Column, nlon: Column, nlat: Column) -> Colu
 
 
 def path_lengths(vertices: DataFrame, line: str, order: Sequence[str],
-                 lon: str = "lon", lat: str = "lat", distinct: bool = False, layout: str = "auto") -> DataFrame:
+                 lon: str = "lon", lat: str = "lat", distinct: bool = False) -> DataFrame:
     """Great-circle length in km of each path (M7); single-vertex paths have no row.
 
     ``distinct=True`` drops repeated vertex rows inside the layout's exchange.
-    With the hashed layout (one segment per path) this is one exchange, one
-    window pass and one aggregate on the same partitioning.
     """
     vals = [lon, lat]
-    layout = resolve_layout(vertices, layout)
-    if layout == "hashed":
-        x = segments_in_layout(ordered_layout(vertices, line, order, vals, distinct=distinct, layout=layout),
-                               line, order, vals)
-        seg = F.when(F.col("_rn") > 1, haversine_km(F.col(f"p_{lon}"), F.col(f"p_{lat}"), F.col(lon), F.col(lat)))
-        return (x.groupBy(line).agg(F.sum(seg).alias("km"), F.max("_seg_n").alias("_n"))
-                .filter(F.col("_n") > 1).select(line, "km"))
-    pairs = consecutive_pairs(vertices, line, order, vals, distinct=distinct, layout=layout)
+    pairs = consecutive_pairs(vertices, line, order, vals, distinct=distinct)
     seg = haversine_km(F.col(f"p_{lon}"), F.col(f"p_{lat}"), F.col(lon), F.col(lat))
     return pairs.groupBy(line).agg(F.sum(seg).alias("km"))
 
@@ -63,25 +54,15 @@ def _ring_km2(t: Column) -> Column:
 
 
 def ring_areas(vertices: DataFrame, line: str, order: Sequence[str],
-               lon: str = "lon", lat: str = "lat", min_vertices: int = 3, distinct: bool = False,
-               layout: str = "auto") -> DataFrame:
+               lon: str = "lon", lat: str = "lat", min_vertices: int = 3, distinct: bool = False) -> DataFrame:
     """Area in km^2 of each ring closed from its last vertex back to the first (M8).
 
     Edge terms of consecutive vertices and the closing edge (last -> first)
-    are summed per ring, all derived from one window pass over one layout.
+    are summed per ring; all branches read one written layout.
     """
     vals = [lon, lat]
-    layout = resolve_layout(vertices, layout)
-    x = segments_in_layout(ordered_layout(vertices, line, order, vals, distinct=distinct, layout=layout),
+    x = segments_in_layout(ordered_layout(vertices, line, order, vals, distinct=distinct),
                            line, order, vals)
-    if layout == "hashed":
-        # one segment per ring: its first / last values are the ring's, on every row
-        edge = F.when(F.col("_rn") > 1, _shoelace_term(F.col(f"p_{lon}"), F.col(f"p_{lat}"),
-                                                       F.col(lon), F.col(lat))).otherwise(F.lit(0.0))
-        close = F.when(F.col("_rn") == 1, _shoelace_term(F.col(f"_l_{lon}"), F.col(f"_l_{lat}"),
-                                                         F.col(f"_f_{lon}"), F.col(f"_f_{lat}"))).otherwise(F.lit(0.0))
-        return (x.groupBy(line).agg(F.sum(edge + close).alias("t"), F.max("_seg_n").alias("_n"))
-                .filter(F.col("_n") >= min_vertices).select(line, _ring_km2(F.col("t")).alias("km2")))
     pairs, segs = pairs_and_segments(x, line, vals)
     terms = pairs.select(line, _shoelace_term(F.col(f"p_{lon}"), F.col(f"p_{lat}"),
                                               F.col(lon), F.col(lat)).alias("t"), F.lit(0).alias("ring"))

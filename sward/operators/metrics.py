@@ -150,71 +150,3 @@ def fused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
     aggs = [F.expr(a) for a in metric_aggregates(value, scale)]
     return (joined.groupBy(*keys).agg(*aggs)
             .withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov")))
-
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], support: float) -> DataFrame:
-    """Keys holding more than ``support`` of all rows (a superset: false positives possible).
-
-    One pass with ``freqItems`` (bounded counters per task, no shuffle); the
-    result has at most ``1 / support`` rows, which bounds its broadcast.
-    """
-    items = rows.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support)
-    return items.select(F.explode("_k_freqItems").alias("_k")).select(*[F.col(f"_k.{k}").alias(k) for k in keys])
-
-
-def hot_key_buckets(rows: DataFrame, keys: Sequence[str], hot: DataFrame, partitions: int) -> DataFrame:
-    """Salt buckets per hot key, in proportion to its share of the rows.
-
-    ``ceil(rows_k * partitions / rows_total)`` (at least 1, at most
-    ``partitions``) gives each bucket about one task's fair share.  The counts
-    are a semi-join aggregate over the hot keys only (bounded by the hot list)
-    and the total is a scalar subquery, so nothing runs before the query does.
-    """
-    total = rows.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    counts = (rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_semi")
-              .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    share = F.ceil(F.col("_n") * F.lit(partitions) / total)
-    return counts.select(*keys, F.least(F.lit(partitions), F.greatest(F.lit(1), share)).cast("int").alias("_buckets"))
-
-
-def cluster_by_visit(joined: DataFrame, keys: Sequence[str], hot: DataFrame | None, split_by: str,
-                     buckets: int) -> DataFrame:
-    """Co-locate the rows of each visit so the metric aggregate is complete per task.
-
-    A hot visit is spread over sub-partitions by a hash of ``split_by`` (the
-    species): its own ``_buckets`` when ``hot`` carries them (see
-    :func:`hot_key_buckets`), else ``buckets``.  Every (visit, species) row
-    stays whole in one bucket, so richness counts stay exact, and the final
-    merge receives at most that many partial rows per hot visit.
-    """
-    if hot is not None:
-        h = hot if "_buckets" in hot.columns else hot.withColumn("_buckets", F.lit(int(buckets)))
-        flagged = joined.join(F.broadcast(h.select(*keys, "_buckets")), list(keys), "left")
-        salt = F.when(F.col("_buckets").isNotNull(), F.pmod(F.xxhash64(split_by), F.col("_buckets")))
-        joined = flagged.withColumn("_salt", F.coalesce(salt, F.lit(0).cast("bigint"))).drop("_buckets")
-    else:
-        joined = joined.withColumn("_salt", F.lit(0).cast("bigint"))
-    return joined.repartition(*keys, "_salt")
-
-
-def unfused_metrics(joined: DataFrame, keys: Sequence[str], value: str = "n",
-                    scale: float = 1.0) -> DataFrame:
-    """The reference's form: one filtered aggregate per metric, joined back on the keys.
-
-    Works on the trait columns.  Kept for the equivalence test only.
-    """
-    v = f"`{value}`"
-    sc = sql_double(scale)
-    gram = _in("family", GRAMINOID_FAMILIES)
-    out = (joined.groupBy(*keys)
-           .agg(F.expr(f"CAST(coalesce(sum(CASE WHEN {gram} THEN {v} END), 0) AS DOUBLE) / {sc}").alias("graminoidCov"),
-                F.expr(f"CAST(coalesce(sum(CASE WHEN NOT ({gram}) THEN {v} END), 0) AS DOUBLE) / {sc}").alias("herbCov")))
-    for name, pred in cover_predicates().items():
-        part = (joined.filter(F.expr(pred)).groupBy(*keys)
-                .agg(F.expr(r_round_sql(f"CAST(coalesce(sum({v}), 0) AS DOUBLE) / {sc}", 1)).alias(name)))
-        out = out.join(part, list(keys), "left").fillna(0.0, subset=[name])
-    for name, pred in richness_predicates().items():
-        part = (joined.filter(F.expr(f"{v} > 0 AND {pred}")).groupBy(*keys)
-                .agg(F.count(F.lit(1)).cast("int").alias(name)))
-        out = out.join(part, list(keys), "left").fillna(0, subset=[name])
-    return out.withColumn("accumulatedCov", F.col("graminoidCov") + F.col("herbCov"))

@@ -25,36 +25,28 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def large_input(df: DataFrame) -> bool:
-    """True when the input spans many more splits than there are shuffle partitions.
-
-    Planning only (no job).  Below that size a whole group fits one task's
-    fair share anyway, so skew-proof layouts cannot pay for their extra
-    sampling pass and exchanges.  ``spark.sward.largeInput`` = ``true`` /
-    ``false`` overrides the check (``auto`` by default).
-    """
-    forced = df.sparkSession.conf.get("spark.sward.largeInput", "auto").lower()
-    if forced in ("true", "false"):
-        return forced == "true"
-    return df.rdd.getNumPartitions() >= 2 * _num_partitions(df)
-
-
 def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None, distinct: bool = False) -> DataFrame:
     """Range-partition on ``order``, optionally drop duplicate rows, sort each partition.
 
     The de-duplication needs no exchange of its own: range partitioning on a
-    subset of the row's columns already clusters equal rows.  An explicit
-    partition count keeps AQE from coalescing, so partition ids are stable
-    across the branches that read this layout.
+    subset of the row's columns already clusters equal rows.
+
+    Range bounds are sampled, so two executions may cut differently.  The layout
+    is therefore written once to the shared folder, and every branch of a plan
+    reads that table: results do not depend on exchange reuse.
     """
+    from sward.session import shared_path
     n = partitions or _num_partitions(df)
     r = df.repartitionByRange(n, *order)
     if distinct:
         r = r.dropDuplicates()
-    return (r.sortWithinPartitions(*order)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_local", F.monotonically_increasing_id()
-                        - F.shiftleft(F.col("_pid").cast("bigint"), _LOCAL_BITS)))
+    r = (r.sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id()
+                     - F.shiftleft(F.col("_pid").cast("bigint"), _LOCAL_BITS)))
+    path = shared_path(df.sparkSession, "range-layout")
+    r.write.parquet(path)
+    return df.sparkSession.read.schema(r.schema).parquet(path)
 
 
 def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
@@ -76,32 +68,14 @@ def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
             .drop("_pid", "_local", "_off"))
 
 
-def resolve_layout(df: DataFrame, layout: str = "auto") -> str:
-    if layout == "auto":
-        return "ranged" if large_input(df) else "hashed"
-    return layout
-
-
 def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
-                   partitions: int | None = None, distinct: bool = False, layout: str = "auto") -> DataFrame:
-    """The layout that :func:`segments_in_layout` reads.
-
-    ``ranged``: range-partitioned on (group, order) and sorted - a hot group
-    is cut over several partitions (segments).  ``hashed``: one exchange on
-    the group; de-duplication, window and per-group aggregation all reuse it
-    (one segment per group).  ``auto`` picks ``ranged`` for large inputs.
+                   partitions: int | None = None, distinct: bool = False) -> DataFrame:
+    """The layout that :func:`segments_in_layout` reads: range-partitioned on (group, order),
+    sorted and written, so a hot group is cut over several partitions (segments).
     """
     cols = list(dict.fromkeys([group, *order, *values]))
     src = df.select(*cols)
-    layout = resolve_layout(src, layout)
-    if layout == "ranged":
-        return _ranged(src, [group, *order], partitions, distinct)
-    if layout != "hashed":
-        raise ValueError(f"unknown layout {layout!r}")
-    r = src.repartition(group)
-    if distinct:
-        r = r.dropDuplicates()
-    return r.withColumn("_pid", F.lit(0))
+    return _ranged(src, [group, *order], partitions, distinct)
 
 
 def segments_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -159,7 +133,7 @@ def ends_from_segments(segs: DataFrame, group: str, values: Sequence[str]) -> Da
 
 
 def consecutive_pairs(df: DataFrame, group: str, order: Sequence[str], values: Sequence[str],
-                      partitions: int | None = None, distinct: bool = False, layout: str = "auto") -> DataFrame:
+                      partitions: int | None = None, distinct: bool = False) -> DataFrame:
     """:func:`pairs_in_layout` over a fresh :func:`ordered_layout`."""
-    r = ordered_layout(df, group, order, values, partitions, distinct, layout)
+    r = ordered_layout(df, group, order, values, partitions, distinct)
     return pairs_in_layout(r, group, order, values)

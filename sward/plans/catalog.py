@@ -130,18 +130,18 @@ def _na(x: str) -> str:
 
 
 @register("visit_key_codec", O.with_views(["v_plots"], """
-select id, substr(id, 2, 5) as plot, substr(id, 8, 1) as position,
- cast(cast(substr(id, 2, 5) as bigint) as varchar) as plot_display, surveyYear,
+select id, regexp_extract(id, '^X([0-9]+)_', 1) as plot, split_part(id, '_', 2) as position,
+ cast(plot_key as varchar) as plot_display, surveyYear,
  cast(surveyYear as varchar) as surveyYearF, cast(surveyYear - 1 as varchar) as surveyYearFminus,
  cast(constructionYear as varchar) as constructionYearF, cast(constructionYear + 1 as varchar) as constructionYearFplus,
  cast(surveyYear - constructionYear as integer) as plotAge
-from (select concat('X', concat(lpad(cast(v.plot_key as varchar), 5, '0'), '_m'), '_', cast(v.surveyYear as varchar)) as id,
-             v.surveyYear, p.constructionYear
+from (select concat('X', concat(printf('%05d', v.plot_key), '_m'), '_', cast(v.surveyYear as varchar)) as id,
+             v.plot_key, v.surveyYear, p.constructionYear
       from (select distinct l_suppkey as plot_key, cast(year(l_shipdate) as integer) as surveyYear from lineitem) v
       left join v_plots p on v.plot_key = p.plot_key) k"""))
 def visit_key_codec(spark, sf_dir):
     """Build the visit id, decode plot / position, display id, year categories."""
-    from sward.functions.rsem import str_c, str_sub, strip_number_text
+    from sward.functions.rsem import str_c, strip_number_text
     from sward.sources import standin
     from sward.sources.tables import table
     li = table(spark, sf_dir, "lineitem")
@@ -150,9 +150,11 @@ def visit_key_codec(spark, sf_dir):
     v = visits.join(plots, "plot_key", "left")
     raw_id = F.concat(standin.plot_code("plot_key"), F.lit("_m"))
     v = v.withColumn("id", F.concat(F.lit("X"), str_c(raw_id, F.col("surveyYear"), sep="_")))
+    parts = F.split("id", "_")  # X<plot>_<position>_<year>: the plot has five digits or more
+    plot = F.expr("substring(split(id, '_')[0], 2)")
     return v.select(
-        "id", str_sub("id", 2, 6).alias("plot"), str_sub("id", 8, 8).alias("position"),
-        strip_number_text(str_sub("id", 2, 6)).alias("plot_display"), "surveyYear",
+        "id", plot.alias("plot"), F.get(parts, 1).alias("position"),
+        strip_number_text(plot).alias("plot_display"), "surveyYear",
         F.col("surveyYear").cast("string").alias("surveyYearF"),
         (F.col("surveyYear") - 1).cast("string").alias("surveyYearFminus"),
         F.col("constructionYear").cast("string").alias("constructionYearF"),
@@ -514,7 +516,7 @@ def ring_area(spark, sf_dir):
 # --------------------------------------------------------------- reshape
 def _sheet_sql() -> str:
     cols = []
-    for y in (1996, 1997, 1998):
+    for y in range(1995, 2002):
         iy = f"year(l_shipdate) = {y}"
         cols += [
             f"sum(case when {iy} then l_quantity end) / 25e0 as vegetationCov_{y}",
@@ -524,7 +526,7 @@ def _sheet_sql() -> str:
             f"cast(count(case when {iy} then 1 end) as double) / 4e0 as litterCov_{y}",
             f"min(case when {iy} then l_linestatus end) as botanist_{y}",
         ]
-    return ("select lpad(cast(l_suppkey as varchar), 5, '0') as plot, " + ", ".join(cols)
+    return ("select printf('%05d', l_suppkey) as plot, " + ", ".join(cols)
             + " from lineitem group by l_suppkey")
 
 
@@ -533,7 +535,7 @@ _SHEET_MEASURES = ("vegetationCov", "vegetationHeight", "opensoilCov", "mossCov"
 
 def _long_sheet_sql() -> str:
     parts = []
-    for y in (1996, 1997, 1998):
+    for y in range(1995, 2002):
         for m in _SHEET_MEASURES:
             parts.append(f"select plot, '{m}' as x, '{y}' as surveyYear, cast({m}_{y} as varchar) as n from sheet")
     return " union all ".join(parts)
@@ -551,14 +553,14 @@ def unpivot_measures(spark, sf_dir):
 @register("pivot_measures", O.with_views([], " union all ".join(
     f"select plot, cast({y} as integer) as surveyYear, vegetationCov_{y} as vegetationCov, "
     f"vegetationHeight_{y} as vegetationHeight, opensoilCov_{y} as opensoilCov, mossCov_{y} as mossCov, "
-    f"litterCov_{y} as litterCov, botanist_{y} as botanist from sheet" for y in (1996, 1997, 1998)),
+    f"litterCov_{y} as litterCov, botanist_{y} as botanist from sheet" for y in range(1995, 2002)),
     extra=[("sheet", _sheet_sql())]))
 def pivot_measures(spark, sf_dir):
     """R2 + R3: one row per (plot, year) with typed measure columns (narrow explode, no shuffle)."""
     from sward.operators.reshape import wide_to_visits
     from sward.sources.layers import SHEET_NUMERIC, plot_sheet
-    from sward.sources.standin import CHANGE_YEARS
-    return wide_to_visits(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES, CHANGE_YEARS,
+    from sward.sources.standin import SURVEY_YEARS
+    return wide_to_visits(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES, SURVEY_YEARS,
                           numeric=SHEET_NUMERIC)
 
 
@@ -566,7 +568,7 @@ _GRAM = "('Poaceae','Cyperaceae','Juncaceae')"
 
 
 @register("spread_types", O.with_views(["v_cover", "v_traits"], f"""
-select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id,
+select concat('X', printf('%05d', plot_key), '_m_', cast(surveyYear as varchar)) as id,
  sum(case when family in {_GRAM} then q end) / 25e0 as graminoidCov,
  sum(case when family not in {_GRAM} then q end) / 25e0 as herbCov
 from v_cover left join v_traits using (name) group by plot_key, surveyYear"""))
@@ -585,7 +587,7 @@ def spread_types(spark, sf_dir):
 
 
 @register("cover_long", O.with_views(["v_cover", "v_flags"], """
-select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id,
+select concat('X', printf('%05d', plot_key), '_m_', cast(surveyYear as varchar)) as id,
  name, q / 25e0 as n, family, target, targetHerb from v_cover left join v_flags using (name)"""))
 def cover_long(spark, sf_dir):
     """R4 + J2 + P1 P2 P6 P7: long cover table joined to the species traits."""
@@ -603,7 +605,7 @@ _FAMILIES = ("Poaceae", "Cyperaceae", "Juncaceae", "Fabaceae", "Asteraceae", "Ro
 
 
 @register("cover_wide", O.with_views(["v_cover", "v_traits"], """
-select concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id, """
+select concat('X', printf('%05d', plot_key), '_m_', cast(surveyYear as varchar)) as id, """
     + ", ".join(f"sum(case when family = '{f}' then q end) / 25e0 as {f}" for f in _FAMILIES) + """
 from v_cover left join v_traits using (name) group by plot_key, surveyYear"""))
 def cover_wide(spark, sf_dir):

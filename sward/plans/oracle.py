@@ -26,7 +26,7 @@ def sql_r_round(expr: str, digits: int) -> str:
 VIEWS: dict[str, str] = {}
 
 VIEWS["v_plots"] = """
-select s_suppkey as plot_key, lpad(cast(s_suppkey as varchar), 5, '0') as plot, n_name as location,
+select s_suppkey as plot_key, printf('%05d', s_suppkey) as plot, n_name as location,
  cast(n_regionkey as integer) as block, r_name as blockRegion,
  case s_suppkey % 4 when 0 then 'south' when 1 then 'north' when 2 then 'east' else 'west' end as exposition,
  case when s_suppkey % 2 = 0 then 'water' else 'land' end as side,
@@ -121,8 +121,8 @@ group by plot_key, surveyYear
 """
 
 VIEWS["v_visits"] = """
-select *, concat('X', lpad(cast(plot_key as varchar), 5, '0'), '_m_', cast(surveyYear as varchar)) as id,
- lpad(cast(plot_key as varchar), 5, '0') as plot, graminoidCov + herbCov as accumulatedCov
+select *, concat('X', printf('%05d', plot_key), '_m_', cast(surveyYear as varchar)) as id,
+ printf('%05d', plot_key) as plot, graminoidCov + herbCov as accumulatedCov
 from v_metrics
 """
 

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from sward.functions.rsem import r_round_sql, str_c, str_sub
 from sward.operators.biotope import Thresholds, classify
 from sward.operators.change import change_classes
-from sward.operators.metrics import (cluster_by_visit, fused_metrics, hot_key_buckets, hot_keys, species_cover,
-                                    trait_masks)
+from sward.operators.metrics import fused_metrics, species_cover, trait_masks
 from sward.operators.traits import trait_flags
 from sward.sources import standin
 
@@ -39,71 +38,25 @@ def species_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISIT_KEYS = ("plot_key", "surveyYear")
 
 
-def hot_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits holding more than half of one task's fair share of the input rows, with their salt buckets."""
-    from sward.sources.tables import table
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("plot_key"),
-                                                 F.year("l_shipdate").alias("surveyYear"))
-    hot = hot_keys(li, VISIT_KEYS, support=1.0 / (2 * max(parts, 2)))
-    return hot_key_buckets(li, VISIT_KEYS, hot, parts)
-
-
-def metrics_strategy(spark: SparkSession, sf_dir: str) -> str:
-    """Pick the physical shape of the metric aggregate from the input size (no job).
-
-    ``clustered`` pays one extra exchange of compact rows so that the final
-    exchange carries about one partial row per visit; it only pays off when
-    the input spans many more splits than there are shuffle partitions
-    (i.e. when a visit's species are spread over many map tasks).
-    """
-    from sward.operators.sequence import large_input
-    from sward.sources.tables import table
-    return "clustered" if large_input(table(spark, sf_dir, "lineitem").select("l_suppkey")) else "partial"
-
-
-def visit_metrics(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
+def visit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused A1-A21 per visit, with the visit id and plot code.
 
-    ``partial``: (visit, species) exchange with map-side combine, broadcast or
-    shuffle join with the trait bitmasks, partial aggregate per visit before
-    the per-visit exchange.  Skew-safe; its last exchange carries one partial
-    row per (visit, map task).
-
-    ``clustered``: the same first exchange (it also collapses a hot
-    (visit, species) pair), then compact (visit, cover, mask) rows clustered
-    by visit - hot visits, found by ``freqItems``, salted by species - and a
-    final merge of about one partial row per visit.
+    One plan for every size: (visit, species) exchange with map-side combine, join
+    with the trait bitmasks, partial aggregate per visit before the per-visit
+    exchange.  A hot visit's species are spread by the first exchange, and the last
+    one carries one partial row per (visit, task).
     """
-    if strategy == "auto":
-        strategy = metrics_strategy(spark, sf_dir)
     cov = standin.cover(spark, sf_dir)
     joined = species_cover(cov, trait_masks(species_traits(spark, sf_dir)), value="q")
-    if strategy == "clustered":
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        joined = cluster_by_visit(joined.select(*VISIT_KEYS, "name", "q", "_mask"), VISIT_KEYS,
-                                  hot_visits(spark, sf_dir), split_by="name", buckets=parts)
-    elif strategy != "partial":
-        raise ValueError(f"unknown strategy {strategy!r}")
     m = fused_metrics(joined, list(VISIT_KEYS), value="q", scale=standin.COVER_SCALE)
     return m.withColumns({"id": standin.visit_id("plot_key", "surveyYear"),
                           "plot": standin.plot_code("plot_key")})
 
 
-_INPUTS = ("lineitem", "part", "supplier", "nation", "region")
-
 
-def _plan_key(spark: SparkSession, sf_dir: str, *args) -> tuple:
-    from sward.sources.tables import data_version
-    return (sf_dir, spark.conf.get("spark.sql.shuffle.partitions", "200"),
-            spark.conf.get("spark.sward.largeInput", "auto"), *args, *data_version(sf_dir, _INPUTS))
 
-
-def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
-                strategy: str = "auto") -> DataFrame:
-    from sward.sources.tables import memo_plan
-    return memo_plan(spark, _plan_key(spark, sf_dir, "visit_types", thresholds, strategy),
-                     lambda: classify(visit_metrics(spark, sf_dir, strategy), thresholds))
+def visit_types(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    return classify(visit_metrics(spark, sf_dir), thresholds)
 
 
 def location_year(location, construction_year):
@@ -114,12 +67,6 @@ def location_year(location, construction_year):
 def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
           change_years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
     """Every computed visit column (T12: built, projected late)."""
-    from sward.sources.tables import memo_plan
-    return memo_plan(spark, _plan_key(spark, sf_dir, "sites", thresholds, tuple(change_years)),
-                     lambda: _sites(spark, sf_dir, thresholds, change_years))
-
-
-def _sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds, change_years: Sequence[int]) -> DataFrame:
     typed = visit_types(spark, sf_dir, thresholds)
     plots = standin.plots(spark, sf_dir).drop("plot")
     s = typed.join(plots, "plot_key", "left")
@@ -141,12 +88,6 @@ def _sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds, change_year
 
 def site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Finalisation: R rounding, ``accumulatedCov > 0``, the 17-column contract."""
-    from sward.sources.tables import memo_plan
-    return memo_plan(spark, _plan_key(spark, sf_dir, "site_table", thresholds),
-                     lambda: _site_table(spark, sf_dir, thresholds))
-
-
-def _site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds) -> DataFrame:
     s = sites(spark, sf_dir, thresholds)
     s = s.withColumns({
         "distanceRiver": F.expr(r_round_sql("distanceRiver", 1)),
@@ -167,24 +108,16 @@ def write_site_table(spark: SparkSession, sf_dir: str, path: str, csv_path: str
     return path
 
 
-def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysis table as the dashboard reads it: written once, then scanned.
+def analysis_table(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The analysis table as the dashboard reads it.
 
-    As in the reference (the app reads the pipeline's output file, it never
-    re-runs the pipeline per chart), the E1 result is written as Parquet into
-    the shared folder named by ``spark.checkpoint.dir``.  That cuts the lineage
-    - a lost executor re-reads files instead of recomputing the pipeline - and
-    every map / chart query scans it with column pruning.  One write per
-    session and input version.
+    ``path``: a table that :func:`write_site_table` wrote; the map and chart queries
+    then scan it with column pruning.  Without it the pipeline is composed lazily
+    into the query; nothing is written or kept between queries.
     """
-    from sward.session import shared_path
-    from sward.sources.tables import memo_plan
-
-    def build() -> DataFrame:
-        path = write_site_table(spark, sf_dir, shared_path(spark, "analysis-table"))
+    if path:
         return spark.read.parquet(path).select(*SITE_COLUMNS)
-
-    return memo_plan(spark, _plan_key(spark, sf_dir, "analysis_table"), build)
+    return site_table(spark, sf_dir)
 
 
 # column types of the analysis table when read back from its CSV form

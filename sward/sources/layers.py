@@ -42,22 +42,15 @@ def line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_layer_with_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes joined to the vertex count of each line.
 
-    Large inputs: distinct vertices (hash on the whole row) and a partial count
-    per line, so a line with a third of all vertices is spread over many tasks.
-    Small inputs: one exchange on the line serves the de-duplication, the count
-    and the join with the attributes.
+    Distinct vertices (hash on the whole row), then a partial count per line, so a
+    line with a third of all vertices is spread over many tasks.
     """
-    from sward.operators.sequence import large_input
     v = standin.vertices(spark, sf_dir, distinct=False)
-    if large_input(v):
-        counts = v.distinct().groupBy("line_id").agg(F.count(F.lit(1)).alias("n_vertices"))
-    else:
-        counts = (v.repartition("line_id").dropDuplicates()
-                  .groupBy("line_id").agg(F.count(F.lit(1)).alias("n_vertices")))
+    counts = v.distinct().groupBy("line_id").agg(F.count(F.lit(1)).alias("n_vertices"))
     return line_attributes(spark, sf_dir).join(counts, "line_id", "left")
 
 
-def plot_sheet(spark: SparkSession, sf_dir: str, years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
+def plot_sheet(spark: SparkSession, sf_dir: str, years: Sequence[int] = standin.SURVEY_YEARS) -> DataFrame:
     """Wide plot sheet: one row per plot, ``<measure>_<year>`` columns (one partial aggregate)."""
     li = table(spark, sf_dir, "lineitem")
     aggs = []

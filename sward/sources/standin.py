@@ -4,7 +4,7 @@ The raw survey tables of the reference are not published, so the ecological
 entities are mapped onto the test tables (SURVEY §7.3 / FIXTURES §C):
 
 * visit   = (supplier, year(l_shipdate))  -> ``plot_key``, ``surveyYear``
-* plot    = supplier, zero-padded to 5 characters
+* plot    = supplier, zero-padded to at least 5 characters, never cut
 * species = part (``name`` = p_partkey)
 * cover   = sum(l_quantity) per (visit, species); divided by 25 only after every sum
 * traits  = functions of the part columns
@@ -25,11 +25,14 @@ from sward.sources.tables import table
 COVER_SCALE = 25.0
 # Survey years used by the change classification on the stand-in data.
 CHANGE_YEARS = (1996, 1997, 1998)
+# All survey years of the stand-in data (the columns of the wide plot sheet).
+SURVEY_YEARS = tuple(range(1995, 2002))
 
 
 def plot_code(key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.lpad(key.cast("string"), 5, "0")
+    text = key.cast("string")
+    return F.when(F.length(text) >= 5, text).otherwise(F.lpad(text, 5, "0"))
 
 
 def visit_id(plot_key: Column | str, year: Column | str) -> Column:
@@ -48,7 +51,8 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
             .selectExpr(
                 "s_suppkey AS plot_key",
-                "lpad(CAST(s_suppkey AS STRING), 5, '0') AS plot",
+                "CASE WHEN length(CAST(s_suppkey AS STRING)) >= 5 THEN CAST(s_suppkey AS STRING)"
+                " ELSE lpad(CAST(s_suppkey AS STRING), 5, '0') END AS plot",
                 "n_name AS location",
                 "CAST(n_regionkey AS INT) AS block",
                 "r_name AS blockRegion",
@@ -98,7 +102,7 @@ def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(CASE WHEN p_size < 50 THEN 3000 + p_size * 65 END AS DOUBLE) AS sociology",
         "CASE WHEN p_size % 3 = 0 THEN 'yes' WHEN p_size % 3 = 1 THEN 'no' END AS targetHerb",
         f"{yes_no('p_size % 11 = 0')} AS targetGrass",
-        f"{yes_no(chr(39).join(['p_brand = ', 'Brand#7', '']))} AS targetArrhenatherion",
+        "CASE WHEN p_brand = 'Brand#7' THEN 'yes' ELSE 'no' END AS targetArrhenatherion",
         f"{yes_no('p_size % 4 = 1')} AS nitrogenIndicator",
         f"{yes_no('p_size % 7 = 2')} AS ruderalIndicator",
         f"{yes_no('p_size % 6 = 0')} AS ffh6510",

@@ -6,8 +6,6 @@ downstream reach the scan (``ReadSchema`` / ``PushedFilters``).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -18,53 +16,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
 
-_READS: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan of one driver table.
-
-    The DataFrame is memoised per session and file version, so a query that
-    mentions a table several times lists its files and reads its footers once.
-    """
+    """Lazy Parquet scan of one driver table, the same for every kind of path."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    try:
-        version = os.stat(path).st_mtime_ns
-    except OSError:  # not a local path (object store): no memo
-        return spark.read.parquet(path)
-    key = (id(spark), spark.sparkContext.applicationId, path, version)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
-
-
-def data_version(sf_dir: str, names) -> tuple:
-    """Modification times of the given tables (None for non-local paths)."""
-    out = []
-    for n in names:
-        try:
-            out.append(os.stat(os.path.join(sf_dir, f"{n}.parquet")).st_mtime_ns)
-        except OSError:
-            return (None,)
-    return tuple(out)
-
-
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def memo_plan(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Reuse a lazily built DataFrame (its analysed plan, not data) within one session.
-
-    ``key`` must name everything the plan depends on; local inputs add their
-    file versions, so a changed table gets a fresh plan.
-    """
-    if None in key:
-        return build()
-    full = (id(spark), spark.sparkContext.applicationId, *key)
-    df = _PLANS.get(full)
-    if df is None:
-        df = _PLANS[full] = build()
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

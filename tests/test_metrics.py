@@ -2,9 +2,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
-from sward.operators.metrics import (COVER_NAMES, RICHNESS_NAMES, fused_metrics, species_cover,
-                                    unfused_metrics)
+import os
+import sys
+
+from conftest import ROOT, SF_SMALL, rows
+from sward.operators.metrics import COVER_NAMES, RICHNESS_NAMES, fused_metrics, species_cover
 from sward.plans import pipeline as P
 from sward.sources import standin
 
@@ -66,6 +68,8 @@ def test_fused_equals_unfused(spark):
     j = species_cover(cov, tr, value="q")
     cols = ["plot_key", "surveyYear", "graminoidCov", "herbCov", "accumulatedCov", *COVER_NAMES, *RICHNESS_NAMES]
     fused = fused_metrics(j, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
+    sys.path.insert(0, os.path.join(ROOT, "tools"))
+    from unfused import unfused_metrics
     unfused = unfused_metrics(j, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
     a, b = sorted(rows(fused)), sorted(rows(unfused))
     assert len(a) > 0 and a == b
@@ -82,50 +86,6 @@ def test_visit_invariants(spark):
     assert st.filter("accumulatedCov <= 0").count() == 0
 
 
-def test_strategies_agree_with_hot_visits(spark):
-    from pyspark.sql import functions as F
-    from sward.operators.metrics import cluster_by_visit, hot_keys, trait_masks
-
-    cols = ["plot_key", "surveyYear", "graminoidCov", "herbCov", *COVER_NAMES, *RICHNESS_NAMES,
-            F.round("shannon", 9).alias("shannon")]   # double sums: order-dependent last bits
-    a = P.visit_metrics(spark, SF_SMALL, strategy="partial").select(*cols)
-    b = P.visit_metrics(spark, SF_SMALL, strategy="clustered").select(*cols)
-    assert sorted(rows(a)) == sorted(rows(b))
-
-    # force many hot visits (low support) so the salted path really splits visits
-    cov = standin.cover(spark, SF_SMALL)
-    joined = species_cover(cov, trait_masks(P.species_traits(spark, SF_SMALL)), value="q")
-    hot = hot_keys(cov, ["plot_key", "surveyYear"], support=0.01)
-    assert 0 < hot.count() <= 100
-    salted = cluster_by_visit(joined.select("plot_key", "surveyYear", "name", "q", "_mask"),
-                              ["plot_key", "surveyYear"], hot, split_by="name", buckets=7)
-    assert salted.filter(F.col("_salt") > 0).count() > 0
-    c = fused_metrics(salted, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
-    assert sorted(rows(a)) == sorted(rows(c))
-
-    # buckets sized by share: the hot list from lineitem rows, buckets proportional to their counts
-    from sward.operators.metrics import hot_key_buckets
-    from sward.sources.tables import table
-    li = table(spark, SF_SMALL, "lineitem").select(F.col("l_suppkey").alias("plot_key"),
-                                                   F.year("l_shipdate").alias("surveyYear"))
-    hot_li = hot_keys(li, ["plot_key", "surveyYear"], support=0.01)
-    sized = hot_key_buckets(li, ["plot_key", "surveyYear"], hot_li, partitions=50)
-    b = [r[0] for r in sized.select("_buckets").collect()]
-    assert b and all(1 <= x <= 50 for x in b)
-    salted2 = cluster_by_visit(joined.select("plot_key", "surveyYear", "name", "q", "_mask"),
-                               ["plot_key", "surveyYear"], sized, split_by="name", buckets=1)
-    d = fused_metrics(salted2, ["plot_key", "surveyYear"], value="q", scale=25.0).select(*cols)
-    assert sorted(rows(a)) == sorted(rows(d))
-
-
-def test_hot_keys_finds_a_third_of_all_rows(spark):
-    from sward.operators.metrics import hot_keys
-    data = [(1, 2000)] * 3000 + [(k, 2000 + k % 5) for k in range(2, 6002)]
-    df = spark.createDataFrame(data, "k long, y int")
-    hot = {tuple(r) for r in hot_keys(df, ["k", "y"], support=0.05).collect()}
-    assert (1, 2000) in hot and len(hot) <= 20
-
-
 def test_visit_properties(spark):
     vt = P.visit_types(spark, SF_SMALL)
     # Shannon's H never exceeds ln(richness) (equality only for even covers)

@@ -1,8 +1,6 @@
 import math
 import random
 
-import pytest
-
 from conftest import rows
 from sward.operators.geo import path_lengths, ring_areas
 from sward.operators.sequence import consecutive_pairs, row_sequence
@@ -36,10 +34,9 @@ def test_row_sequence_matches_sorted_order(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("layout", ["ranged", "hashed"])
-def test_pairs_with_hot_group_across_partitions(spark, layout):
+def test_pairs_with_hot_group_across_partitions(spark):
     data, df = _skewed_vertices(spark)
-    got = sorted(rows(consecutive_pairs(df, "line_id", ["s"], ["s"], partitions=16, layout=layout),
+    got = sorted(rows(consecutive_pairs(df, "line_id", ["s"], ["s"], partitions=16),
                       "line_id", "p_s", "s"))
     want = sorted((line, a[0], b[0]) for line, v in _by_line(data).items() for a, b in zip(v, v[1:]))
     assert got == want
@@ -52,16 +49,15 @@ def _hav(a, b):
     return 2 * 6371.0088 * math.asin(math.sqrt(h))
 
 
-@pytest.mark.parametrize("layout", ["ranged", "hashed"])
-def test_lengths_and_areas_match_brute_force(spark, layout):
+def test_lengths_and_areas_match_brute_force(spark):
     data, df = _skewed_vertices(spark)
     lines = _by_line(data)
-    km = dict(rows(path_lengths(df, "line_id", ["s"], layout=layout), "line_id", "km"))
+    km = dict(rows(path_lengths(df, "line_id", ["s"]), "line_id", "km"))
     want_km = {k: sum(_hav(a[1:], b[1:]) for a, b in zip(v, v[1:])) for k, v in lines.items() if len(v) > 1}
     assert set(km) == set(want_km)
     assert all(abs(km[k] - want_km[k]) < 1e-6 for k in km)
 
-    km2 = dict(rows(ring_areas(df, "line_id", ["s"], layout=layout), "line_id", "km2"))
+    km2 = dict(rows(ring_areas(df, "line_id", ["s"]), "line_id", "km2"))
     want = {}
     for k, v in lines.items():
         if len(v) >= 3:
@@ -73,11 +69,22 @@ def test_lengths_and_areas_match_brute_force(spark, layout):
     assert all(abs(km2[k] - want[k]) < 1e-6 * max(1.0, want[k]) for k in km2)
 
 
-@pytest.mark.parametrize("layout", ["ranged", "hashed"])
-def test_distinct_inside_layout_shuffle(spark, layout):
+def test_distinct_inside_layout_shuffle(spark):
     data, df = _skewed_vertices(spark)
     dup = df.unionByName(df)
-    a = sorted(rows(path_lengths(dup, "line_id", ["s"], distinct=True, layout=layout)))
-    b = sorted(rows(path_lengths(df, "line_id", ["s"], layout="ranged")))
+    a = sorted(rows(path_lengths(dup, "line_id", ["s"], distinct=True)))
+    b = sorted(rows(path_lengths(df, "line_id", ["s"])))
     assert [x[0] for x in a] == [x[0] for x in b]
     assert all(abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b))
+
+
+def test_row_sequence_with_payload_does_not_depend_on_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(2_000_000).select(F.xxhash64("id").alias("k"), F.concat(F.lit("p"), "id").alias("payload"))
+        n, low, high = (row_sequence(df, ["k"], partitions=16)
+                        .agg(F.countDistinct("seq"), F.min("seq"), F.max("seq")).first())
+        assert (n, low, high) == (2_000_000, 1, 2_000_000)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
