@@ -19,7 +19,7 @@ def test_unpivot_then_pivot_equals_explode(spark):
     b = wide_to_visits(wide, ["plot"], SHEET_MEASURES, years, numeric=SHEET_NUMERIC)
     cols = ["plot", "surveyYear", *SHEET_MEASURES]
     ra, rb = sorted(rows(a.select(*cols)), key=str), sorted(rows(b.select(*cols)), key=str)
-    assert len(ra) == wide.count() * 3 and ra == rb
+    assert len(ra) == wide.count() * 7 and ra == rb
 
 
 def test_pattern_projection(spark):
