@@ -108,7 +108,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     buckets = shared_buckets(scratch, classes)
     candidates = buckets.select("set_id").distinct().join(
         named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    wanted = scratch.save(candidates, "wanted", 8)
+    wanted = scratch.save(candidates, "wanted")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(shingle_words), "set_id binary, n long, s array<long>")
     sets = scratch.save(sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
@@ -129,5 +129,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **params) -> DataFrame:
     """``docs`` without documents that are near copies of a document with a smaller id."""
     gone = near_duplicates(spark, docs, **params).where("not kept").select("doc_id").distinct()
-    gone = C.Scratch(spark, "minhash-gone").save(gone, "gone", 8)
+    gone = C.Scratch(spark, "minhash-gone").save(gone, "gone")
     return docs.join(gone, "doc_id", "left_anti")

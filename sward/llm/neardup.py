@@ -5,16 +5,17 @@ exact copies cost one row however many there are.  A bucket is a group of
 classes that share a band.  Within a
 bucket no pairs are enumerated up front:
 
-1. some classes are hubs; a hub is compared with all its bucket mates (linear);
-2. confirmed links are merged into components;
-3. in buckets that still hold classes outside the component of the bucket's first
-   hub, some of these become hubs of the next round, 8 times as many per round;
-   classes that are already in the hub's component, or were hubs, are passed over.
-
-A class is a hub in all its buckets at once, so no pair is compared twice, and never
-more pairs than banding has candidates.  The search ends when every class outside
-its bucket's first component has been a hub: then any two bucket mates are in one
-component or were compared, so no link between components is lost.
+1. one class of a bucket is its hub and is compared with all its mates (linear);
+2. confirmed links are merged into components; the classes of a bucket outside its
+   hub's component get a second hub of their own (linear);
+3. what is left are classes unlike the hub, in a large group of loose copies nearly
+   all of them unlike each other too.  They are compared by what sets them apart
+   from the hub: a similar pair must share one of the rarest differences
+   (``_delta_candidates``), and only such pairs are tested on the full sets.
+
+Two mates that both are like the hub are in its component; of any other similar pair
+at least one is unlike the hub and found in step 3, so no link between components
+is lost among bucket mates.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sward.llm.common import Scratch
 
-HUB_GROWTH = 8
+def control_files(spark) -> int:
+    """Files (and last tasks) of the narrow link and label tables: they grow with the shuffle partitions."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
 
 
 def components(scratch: Scratch, edges: DataFrame, files: int = 8) -> DataFrame:
@@ -62,7 +65,62 @@ def similar(threshold: float):
     return inter * 100 >= (F.col("na") + F.col("nb") - inter) * pct
 
 
-def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float, files: int = 8) -> DataFrame:
+def _merge(scratch: Scratch, labels: DataFrame | None, links: DataFrame, files: int) -> DataFrame:
+    """Labels (set_id, comp) after the links (a, b) between classes."""
+    if labels is None:
+        merged = components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v")), files)
+        return scratch.save(merged.select(F.col("node").alias("set_id"), "comp"), "labels", files)
+    la = labels.select(F.col("set_id").alias("a"), F.col("comp").alias("ca"))
+    lb = labels.select(F.col("set_id").alias("b"), F.col("comp").alias("cb"))
+    edges = (links.join(la, "a", "left").join(lb, "b", "left")
+             .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
+    merged = components(scratch, edges, files)
+    moved = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    new = (labels.join(moved, "comp", "left")
+           .select("set_id", F.coalesce("to", "comp").alias("comp"))
+           .unionByName(merged.join(labels.select(F.col("comp").alias("node")), "node", "left_anti")
+                        .select(F.col("node").alias("set_id"), "comp")))
+    return scratch.save(new, "labels", files)
+
+
+def _labelled(df: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with the component of column ``of`` as ``name`` (a class without links is its own)."""
+    mine = labels.select(F.col("set_id").alias(of), F.col("comp").alias("_c"))
+    return df.join(mine, of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
+
+
+def _delta_candidates(scratch: Scratch, met: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) in different components that may be similar, out of the classes met by one hub.
+
+    met: (hub, set_id, n, hn, delta), delta = symmetric difference of the class and the hub.
+
+    Let x be unlike the hub.  If x and y are similar, twice the size of the overlap of
+    their deltas exceeds |delta y| - (n y - n hub) * (100 - pct) / (100 + pct).  So x has
+    at least one of any |delta y| - floor(half of that) elements of delta y; the rarest
+    of the hub's classes are taken, which are mostly y's own.
+    """
+    met = _labelled(_labelled(met, labels, "hub", "hc"), labels, "set_id", "c")
+    met = scratch.save(met, "met-labelled")
+    probing = met.where("c <> hc")
+    rows = (met.join(probing.select("hub").distinct(), "hub", "left_semi")
+            .withColumn("dn", F.size("delta")).withColumn("e", F.explode("delta")).drop("delta"))
+    shared = scratch.save(rows.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1"), "delta-shared")
+    rows = rows.join(shared, ["hub", "e"])
+    # elements of no other class come first in rarity and can meet nothing: only their number counts
+    w = Window.partitionBy("hub", "set_id").orderBy("f", "e")
+    own = F.col("dn") - F.count("*").over(Window.partitionBy("hub", "set_id"))
+    need = F.floor((F.col("dn") * (100 + pct) - (F.col("n") - F.col("hn")) * (100 - pct)) / (2 * (100 + pct)))
+    ranked = rows.withColumn("r", own + F.row_number().over(w)).withColumn("need", need)
+    ranked = scratch.save(ranked.select("hub", "e", "set_id", "n", "c", (F.col("c") != F.col("hc")).alias("probe"),
+                                        (F.col("r") <= F.col("dn") - F.col("need")).alias("post")), "delta")
+    x = ranked.where("probe").select("hub", "e", F.col("set_id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
+    y = ranked.where("post").select("hub", "e", F.col("set_id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
+    meet = ((x["hub"] == y["hub"]) & (x["e"] == y["e"]) & (x["xc"] != y["yc"])
+            & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * pct))
+    return x.join(y, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float, files: int | None = None) -> DataFrame:
     """Components of classes under ``similar`` among bucket mates.
 
     buckets: (key, set_id), only keys with at least two classes;
@@ -70,64 +128,41 @@ def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float
     Returns (set_id, comp) for classes that are linked to another one.
     """
     pct = round(threshold * 100)
+    files = files or control_files(scratch.spark)
     weight = buckets.groupBy("set_id").agg(F.count("*").alias("w"))
-    # the first hub of a bucket: the member found in most buckets, ties to the larger digest
-    first = (buckets.join(weight, "set_id").groupBy("key")
-             .agg(F.max_by("set_id", F.struct("w", "set_id")).alias("hub0")))
-    state = scratch.save(buckets.join(first, "key").join(sets.select("set_id", "n"), "set_id"), "buckets", files)
-    hubs = scratch.save(first.select(F.col("hub0").alias("set_id")).distinct(), "hubs", files)
-    done = None  # hubs of earlier rounds
-    labels = None
-    per_bucket = 1
+    weighted = buckets.join(weight, "set_id")
+    # the hub of a bucket: the member found in most buckets, ties to the larger digest
+    best = F.max_by("set_id", F.struct("w", "set_id"))
+    first = weighted.groupBy("key").agg(best.alias("hub"))
+    state = scratch.save(weighted.join(first, "key"), "buckets")
+    hub = sets.select(F.col("set_id").alias("hub"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    met = state.where("hub <> set_id").select("hub", "set_id").distinct().join(sets, "set_id").join(hub, "hub")
+    inter = F.size(F.array_intersect("s", "hs"))
+    met = scratch.save(met.select("hub", "set_id", "n", "hn",
+                                  (inter * 100 >= (F.col("n") + F.col("hn") - inter) * pct).alias("like"),
+                                  F.concat(F.array_except("s", "hs"), F.array_except("hs", "s")).alias("delta")), "met")
+    labels = _merge(scratch, None, met.where("like").select(F.col("hub").alias("a"), F.col("set_id").alias("b")), files)
+
     a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    while True:
-        now = state if labels is None else state.join(labels, "set_id", "left")
-        now = now.withColumn("c", F.coalesce("comp", "set_id") if labels is not None else F.col("set_id"))
-        left = now.join(hubs, "set_id", "left_semi").select(
-            "key", F.col("set_id").alias("hub"), F.col("n").alias("hn"), F.col("c").alias("hc"))
-        right = now if done is None else now.join(done, "set_id", "left_anti")
-        meet = ((left["key"] == right["key"]) & (left["hc"] != right["c"])
-                & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * pct))
-        pairs = (left.join(right, meet)
-                 .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct())
-        good = pairs.join(a, "a").join(b, "b").where(similar(threshold)).select("a", "b")
-        links = scratch.save(good, "links", files)
-        if labels is None:
-            edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        else:
-            la = labels.select(F.col("set_id").alias("a"), F.col("comp").alias("ca"))
-            lb = labels.select(F.col("set_id").alias("b"), F.col("comp").alias("cb"))
-            edges = (links.join(la, "a", "left").join(lb, "b", "left")
-                     .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
-        if not links.isEmpty():
-            merged = components(scratch, edges, files)
-            if labels is None:
-                new = merged.select(F.col("node").alias("set_id"), "comp")
-            else:
-                moved = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-                new = (labels.join(moved, "comp", "left")
-                       .select("set_id", F.coalesce("to", "comp").alias("comp"))
-                       .unionByName(merged.join(labels.select(F.col("comp").alias("node")), "node", "left_anti")
-                                    .select(F.col("node").alias("set_id"), "comp")))
-            labels = scratch.save(new, "labels", files)
-        done = scratch.save(hubs if done is None else done.unionByName(hubs), "done", files)
-        per_bucket *= HUB_GROWTH
-        open_ = state
-        if labels is not None:
-            l0 = labels.select(F.col("set_id").alias("hub0"), F.col("comp").alias("c0"))
-            open_ = (state.join(labels, "set_id", "left").join(l0, "hub0", "left")
-                     .where(F.coalesce("comp", "set_id") != F.coalesce("c0", "hub0")))
-        w = Window.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id")
-        nxt = (open_.join(done, "set_id", "left_anti")
-               .select("set_id", F.row_number().over(w).alias("r")).where(F.col("r") <= per_bucket)
-               .select("set_id").distinct())
-        hubs = scratch.save(nxt, "hubs", files)
-        if hubs.isEmpty():
-            break
-    if labels is None:
-        labels = scratch.save(state.select("set_id", F.col("set_id").alias("comp")).limit(0), "labels", files)
-    scratch.drop(state)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return scratch.save(pairs.join(a, "a").join(b, "b").where(similar(threshold)).select("a", "b"), "links")
+
+    # a second hub for the classes of a bucket that are not yet with the first one
+    rest = _labelled(_labelled(state, labels, "hub", "hc"), labels, "set_id", "c").where("c <> hc").drop("hub", "hc")
+    rest = scratch.save(rest, "rest")
+    second = rest.groupBy("key").agg(F.max_by(F.struct("set_id", "c"), F.struct("w", "set_id")).alias("h"))
+    pairs = rest.join(second, "key").where("c <> h.c").select(
+        F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
+    links = confirmed(pairs)
+    if not links.isEmpty():
+        labels = _merge(scratch, labels, links, files)
+    scratch.drop(state, rest)
+
+    links = confirmed(_delta_candidates(scratch, met.drop("like"), labels, pct))
+    if not links.isEmpty():
+        labels = _merge(scratch, labels, links, files)
     return labels
 
 

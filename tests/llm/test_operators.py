@@ -308,3 +308,33 @@ def test_pipeline_brute_force(spark):
     assert ids <= kept and len(ids) >= 0.8 * len(kept)
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontaminate", "packing"]
     assert good.columns == docs.columns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_link_finds_every_linked_bucket_mate(spark, seed):
+    """One bucket of loose copies around two centres: the hub is unlike many classes, links among these are kept."""
+    import random
+    from sward.llm.common import Scratch
+    from sward.llm.neardup import link
+    rng = random.Random(seed)
+    centre = list(range(100))
+    other = centre[:72] + list(range(200, 228))
+    sets = []
+    for i in range(70):
+        base = list(other if i % 3 == 0 else centre)
+        for at in rng.sample(range(100), rng.choice([2, 6, 10, 13])):
+            base[at] = rng.randrange(1000, 1200)
+        sets.append(set(base[:rng.choice([100, 100, 92])]))
+    names = [bytes([i]) for i in range(len(sets))]
+    got = link(Scratch(spark, "t"), spark.createDataFrame([(1, n) for n in names], "key long, set_id binary"),
+               spark.createDataFrame([(n, len(s), sorted(s)) for n, s in zip(names, sets)],
+                                     "set_id binary, n long, s array<long>"), 0.8)
+    got = {bytes(r["set_id"]): bytes(r["comp"]) for r in got.collect()}
+    low = {n: n for n in names}
+    for _ in names:
+        for n, s in zip(names, sets):
+            for m, t in zip(names, sets):
+                if len(s & t) * 100 >= len(s | t) * 80:
+                    low[n] = low[m] = min(low[n], low[m])
+    assert {n: got.get(n, n) for n in names} == low
+    assert len(set(low.values())) > 2
