@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sward.llm.common import Scratch
 
+#: Differences that a pair must have in common in both prefixes.
+PREFIX_MATCHES = 3
+
+
 def control_files(spark) -> int:
     """Files (and last tasks) of the narrow link and label tables: they grow with the shuffle partitions."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
@@ -94,30 +98,41 @@ def _delta_candidates(scratch: Scratch, met: DataFrame, labels: DataFrame, pct:
 
     met: (hub, set_id, n, hn, delta), delta = symmetric difference of the class and the hub.
 
-    Let x be unlike the hub.  If x and y are similar, twice the size of the overlap of
-    their deltas exceeds |delta y| - (n y - n hub) * (100 - pct) / (100 + pct).  So x has
-    at least one of any |delta y| - floor(half of that) elements of delta y; the rarest
-    of the hub's classes are taken, which are mostly y's own.
+    Similar x and y have deltas that overlap in at least o = (|delta x| + |delta y| -
+    (n x + n y) * (100 - pct) / (100 + pct)) / 2 elements, and 2 o > |delta y| - (n y - n hub) *
+    (100 - pct) / (100 + pct) where x is unlike the hub.  Ordered from the rarest of the hub's
+    classes on, the first |delta| - o + m elements of both deltas then have at least m in
+    common (m = ``PREFIX_MATCHES``, or o if less).  Each prefix is mostly the class's own.
     """
     met = _labelled(_labelled(met, labels, "hub", "hc"), labels, "set_id", "c")
     met = scratch.save(met, "met-labelled")
-    probing = met.where("c <> hc")
-    rows = (met.join(probing.select("hub").distinct(), "hub", "left_semi")
-            .withColumn("dn", F.size("delta")).withColumn("e", F.explode("delta")).drop("delta"))
-    shared = scratch.save(rows.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1"), "delta-shared")
-    rows = rows.join(shared, ["hub", "e"])
-    # elements of no other class come first in rarity and can meet nothing: only their number counts
-    w = Window.partitionBy("hub", "set_id").orderBy("f", "e")
-    own = F.col("dn") - F.count("*").over(Window.partitionBy("hub", "set_id"))
-    need = F.floor((F.col("dn") * (100 + pct) - (F.col("n") - F.col("hn")) * (100 - pct)) / (2 * (100 + pct)))
-    ranked = rows.withColumn("r", own + F.row_number().over(w)).withColumn("need", need)
-    ranked = scratch.save(ranked.select("hub", "e", "set_id", "n", "c", (F.col("c") != F.col("hc")).alias("probe"),
-                                        (F.col("r") <= F.col("dn") - F.col("need")).alias("post")), "delta")
-    x = ranked.where("probe").select("hub", "e", F.col("set_id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-    y = ranked.where("post").select("hub", "e", F.col("set_id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-    meet = ((x["hub"] == y["hub"]) & (x["e"] == y["e"]) & (x["xc"] != y["yc"])
-            & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * pct))
-    return x.join(y, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = met.withColumn("dn", F.size("delta")).withColumn("e", F.explode("delta")).drop("delta")
+    shared = (rows.groupBy("hub", "e").agg(F.count("*").alias("f"), F.max(F.col("c") != F.col("hc")).alias("probed"))
+              .where("f > 1 and probed").drop("probed"))
+    shared = scratch.save(shared, "delta-shared")
+    # an element left out can meet nothing; it counts as one of the rarest, in every class of the hub
+    of_class = Window.partitionBy("hub", "set_id")
+    rank = F.col("dn") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("f", "e"))
+    ranked = rows.join(shared, ["hub", "e"]).withColumn("r", rank)
+    # no x needs more of y than this
+    need = F.floor((F.col("dn") * (100 + pct) - (F.col("n") - F.col("hn")) * (100 - pct)) / (2 * (100 + pct))) + 1
+    post = F.col("r") <= F.col("dn") - need + PREFIX_MATCHES
+    ranked = scratch.save(ranked.select("hub", "e", "set_id", "n", "c", "dn", "r", (F.col("c") != F.col("hc")).alias("probe"),
+                                        post.alias("post")), "delta")
+
+    def side(flag: str, s: str) -> DataFrame:
+        return ranked.where(flag).select("hub", "e", *[F.col(k).alias(s + k) for k in ("set_id", "n", "c", "dn", "r")])
+
+    x, y = side("probe", "x"), side("post", "y")
+    both = F.col("xdn") + F.col("ydn")
+    o = F.greatest(F.lit(1), F.ceil((both * (100 + pct) - (F.col("xn") + F.col("yn")) * (100 - pct)) / (2 * (100 + pct))))
+    m = F.least(F.lit(PREFIX_MATCHES), o)
+    meet = ((x["hub"] == y["hub"]) & (x["e"] == y["e"]) & (F.col("xc") != F.col("yc"))
+            & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * pct)
+            & (F.col("xr") <= F.col("xdn") - o + m) & (F.col("yr") <= F.col("ydn") - o + m))
+    return (x.join(y, meet).groupBy(x["hub"], "xset_id", "yset_id").agg(F.count("*").alias("k"), F.first(m).alias("m"))
+            .where("k >= m").select(F.least("xset_id", "yset_id").alias("a"), F.greatest("xset_id", "yset_id").alias("b"))
+            .distinct())
 
 
 def link(scratch: Scratch, buckets: DataFrame, sets: DataFrame, threshold: float, files: int | None = None) -> DataFrame:
