@@ -88,15 +88,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     if not many:
         return None
     langs = sorted(r["lang"] for r in many)
+    # a bound on the id hash lets about twice the wanted ids of a language into its window, however many it has
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * sample_docs / r["count"])) for r in many],
+                                              "lang string, share double")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (seen.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(w))
+    ids = (seen.join(F.broadcast(share), "lang").where(low).withColumn("r", F.row_number().over(w))
            .where(F.col("r") <= sample_docs).select("doc_id", "lang").distinct())
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("text is not null")
               .join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text"))
-    counts = sample.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
+    scratch = C.Scratch(docs.sparkSession, "langid")
+    counts = scratch.save(sample.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g")
+                          .agg(F.sum("n").alias("n")), "grams")
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # MAX_LANGS rows at most
     # at most 1 / MIN_SHARE n-grams per language come to the driver
-    kept = counts.withColumn("s", share).where(F.col("s") >= MIN_SHARE).select("lang", "g").toArrow()
+    kept = (counts.join(F.broadcast(total), "lang").where(F.col("n") / F.col("total") >= MIN_SHARE)
+            .select("lang", "g").toArrow())
+    scratch.drop(counts)
     words = -(-len(langs) // 8)
     table = np.zeros((1 << ROW_BITS, words), dtype=np.uint8)
     name = np.array(kept.column("lang").to_pylist(), dtype=object)
