@@ -34,6 +34,8 @@ from sward.llm import common as C
 HOT = 65_535
 #: Tokens per column block of a mapper and per pair partition: bound a task's memory.
 BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 1_000_000
+#: Text hashed at once; the arrays of a pass take about 35 times as much.
+SLICE_BYTES = 1 << 20
 KATZ_K = 5
 SPLIT, HELD_OUT = 7, 2
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
@@ -67,7 +69,7 @@ def _count_words(batches):
         w, c = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([_signed(w), pa.array(c, pa.int64())], ["w", "c"])
 
-    for b in C.slices(batches):
+    for b in C.slices(batches, data_bytes=SLICE_BYTES):
         held.append(token_arrays(b.column("text"))[0])
         size += len(held[-1])
         if size > 5 * BLOCK_TOKENS:
@@ -183,7 +185,7 @@ def _blocks(parts: int, box):
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([run_id] * len(out), pa.int64()),
                  pa.array([x[1] for x in out], pa.binary())], ["part", "run", "block"])
 
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             tok, hist, row = token_arrays(b.column("text"))
             held.append((tok, hist, row + rows, b.column("train").to_numpy(zero_copy_only=False),
                          b.column("th").to_numpy(), b.column("doc_id").to_pylist()))
@@ -278,7 +280,7 @@ def _word_sums(box, uni: Unigrams):
         t = box.value
         base, score = uni.base(t["c"]), np.log10(uni.p(t["c"])) + t["la"] if len(t["c"]) else np.zeros(0)
         begin = t["begin"]
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             tok, _, row = token_arrays(b.column("text"))
             n = b.num_rows
             i, ok = _lookup(tok, t["w"])
