@@ -140,6 +140,22 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return C.mix64(h * _PAIR + w)
 
 
+_ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("train", pa.bool_()), ("text", pa.string())])
+
+
+def _row_batches(items):
+    """Arrow batches of rows (doc_id, th, train, text) with about SLICE_BYTES of text each."""
+    held, size = [], 0
+    for r in items:
+        held.append(tuple(r))
+        size += len(r[3] or "")
+        if size >= SLICE_BYTES or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROW_SCHEMA)], schema=_ROW_SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROW_SCHEMA)], schema=_ROW_SCHEMA)
+
+
 def _blocks(parts: int, box):
     """Rows (partition, run, block): distinct (pair, document) occurrences of a run of documents.
 
@@ -351,8 +367,14 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     box = sc.broadcast({"w": hot_w})
     parts = max(1, math.ceil(uni.total * 1.2 / PARTITION_TOKENS))
 
-    blocks = (rows.mapInArrow(_blocks(parts, box), "part int, run long, block binary").rdd
-              .map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts, lambda k: k))  # read twice, shuffled once
+    make = _blocks(parts, box)
+
+    def dealt(items):
+        for b in make(_row_batches(items)):
+            yield from zip(b.column("part").to_pylist(), zip(b.column("run").to_pylist(), b.column("block").to_pylist()))
+
+    # one Python worker per task makes and deals the blocks; read twice, shuffled once
+    blocks = rows.rdd.mapPartitions(dealt).partitionBy(parts, lambda k: k)
     pairs = spark.createDataFrame(blocks.mapPartitions(_count_pairs(box)), "h long, w long, c long", verifySchema=False)
     pairs = scratch.save(pairs, "pairs")
     n = dict(pairs.where("h is null").groupBy("w").agg(F.sum("c")).collect())  # KATZ_K + 1 rows
