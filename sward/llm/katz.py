@@ -1,23 +1,23 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff, per-document scores.
 
-    P(w | h) = d(c) * c(h, w) / (c(h) + 1)   if c(h, w) >= 2
+    P(w | h) = d(c) * c(h, w) / (c(h) + 1)   if c(h, w) >= the smallest count kept
              = alpha(h) * P(w)               otherwise
     P(w)     = (1 - e) * d1(c) * c(w) / N for known words; the rest is the unknown word's, e = 1 / (N + V + 1)
 
 c counts training documents only; d and d1 are Good-Turing ratios for counts up to
 5 (Katz's formula); the one imaginary occurrence in c(h) + 1 leaves mass for unseen
-words after histories whose pairs are all frequent; pairs seen once count as unseen,
-as in Katz's paper; alpha(h) is
-(1 - sum P(w | h)) / (1 - sum P(w)) over the words seen after h, so every
+words after histories whose pairs are all frequent; alpha(h) is
+(1 - sum P(w | h)) / (1 - sum P(w)) over the words kept after h, so every
 distribution sums to one over the known words and the unknown one.
 
-A document's score is the sum over its tokens of log P(w) + log alpha(h), plus, for
-pairs in the model, what P(w | h) adds to that.  The first part only needs word
-tables: the HOT most frequent words are looked up in a broadcast table of that size,
-all other words by a join.  For the second part the distinct (pair, document)
-occurrences are shuffled once, as compressed column blocks keyed by a hash of the
-pair; the same shuffle output serves the counting and, after the model is made, the
-scoring.  Words and pairs are named by 64-bit hashes.
+The distinct (pair, document) occurrences are shuffled once, as compressed column
+blocks keyed by a hash of the pair or, after a history that is not one of the HOT most
+frequent words, of the history, so that such a history's count and alpha are found in
+its partition.  The same shuffle output serves the counting, the sums per history and
+the scoring; pairs are counted again in each of these and never written.  Counts of
+the HOT words are broadcast; those of other words are joined and sent to the
+partitions that have them.  Every partition adds up what its pairs give to the scores
+of the documents of a run.  Words and pairs are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from sward.llm import common as C
 #: Words with a place in the broadcast table; two-byte codes, 0 is left for all others.
 HOT = 65_535
 #: Tokens per column block of a mapper and per pair partition: bound a task's memory.
-BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 1_000_000
+BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 2_000_000
+#: Rows of a written block.
+BLOCK_ROWS = 1 << 17
 #: Text hashed at once; the arrays of a pass take about 35 times as much.
 SLICE_BYTES = 1 << 20
 KATZ_K = 5
@@ -140,6 +142,13 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return C.mix64(h * _PAIR + w)
 
 
+def _place(h: np.ndarray, t: dict):
+    """(place, found) of histories in the table; BEGIN comes after the last word."""
+    i, ok = _lookup(h, t["w"])
+    begin = h == BEGIN
+    return np.where(begin, len(t["w"]), i), ok | begin
+
+
 def _blocks(parts: int, box):
     """Rows (partition, run, block): distinct (pair, document) occurrences of a run of documents.
 
@@ -158,6 +167,7 @@ def _blocks(parts: int, box):
             ids = [x for h in held for x in h[5]]
             run_id = int(np.bitwise_xor.reduce(C.mix64(C.mix64(th.view(np.uint64)) + np.arange(len(th), dtype=np.uint64))
                                                + np.array([hash(x) & _MASK for x in ids], dtype=np.uint64)).view(np.int64))
+            size_of = np.bincount(doc, minlength=len(ids)).astype("<i8").tobytes()
             key = pair_key(hist, tok)
             order = np.argsort(key, kind="stable")  # keeps the documents of a pair in order
             key, doc = key[order], doc[order]
@@ -166,7 +176,13 @@ def _blocks(parts: int, box):
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(key)))
             key, doc, order = key[at], doc[at], order[at]
-            part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            h = hist[order]
+            whole = ~_place(h, box.value)[1]  # histories that stay in one partition
+            route = key.copy()
+            route[whole] = C.mix64(h[whole] ^ _PAIR)
+            part = ((route >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            by = np.argsort(part, kind="stable")
+            key, doc, order, times, part = key[by], doc[by], order[by], times[by], part[by]
             edge = np.searchsorted(part, np.arange(parts + 1))
             out = []
             for p in range(parts):
@@ -180,7 +196,7 @@ def _blocks(parts: int, box):
                          np.diff(np.append(head, j - i)).astype("<u4").tobytes(), doc[i:j].astype("<u4").tobytes(),
                          times[i:j].astype("<u4").tobytes(), np.packbits(train).tobytes())
                 out.append((p, b"P" + packer.compress(pickle.dumps(block))))
-            out.append((run_id % parts, b"D" + packer.compress(pickle.dumps((ids, th.tobytes())))))
+            out.append((run_id % parts, b"D" + packer.compress(pickle.dumps((ids, size_of)))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([run_id] * len(out), pa.int64()),
                  pa.array([x[1] for x in out], pa.binary())], ["part", "run", "block"])
@@ -210,129 +226,172 @@ def _unpack(block: bytes, hot: np.ndarray):
             np.frombuffer(times, "<u4").astype(np.int64), flags[doc])
 
 
+def _rare_words(items, hot: np.ndarray) -> np.ndarray:
+    """The distinct words of one partition that are not in the table."""
+    found = np.zeros(0, np.uint64)
+    for _, _, block in items:
+        if block[:1] != b"D":
+            w = _unpack(block, hot)[1]
+            found = np.union1d(found, w[~_lookup(w, hot)[1]])
+    return found
+
+
+def _training_pairs(items, hot: np.ndarray):
+    """(key, history, token, count) of the distinct training pairs of one partition, in the order of their keys."""
+    hs, ws, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, block in items:
+        if block[:1] == b"D":
+            continue
+        h, w, n, _, times, train = _unpack(block, hot)
+        total = np.add.reduceat(times * train, np.concatenate([[0], np.cumsum(n)[:-1]]))
+        seen = total > 0
+        hs.append(h[seen])
+        ws.append(w[seen])
+        cs.append(total[seen])
+    h, w, c = np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
+    key = pair_key(h, w)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    c = np.add.reduceat(c[order], at) if len(at) else c
+    return key[at], h[order[at]], w[order[at]], c
+
+
+def _columns(*arrays) -> list[bytes]:
+    """Columns of 64 bits, cut to a bounded size."""
+    x = np.stack([np.ascontiguousarray(a).view(np.uint64) for a in arrays])
+    return [x[:, i:i + BLOCK_ROWS].tobytes() for i in range(0, x.shape[1], BLOCK_ROWS)]
+
+
 def _count_pairs(box):
-    """Pairs of one partition seen at least twice in training, and its counts of counts (h NULL, w = count)."""
-    def run(items):
-        hot = box.value["w"]
-        hs, ws, cs = [], [], []
-        for _, (_, block) in items:
-            if block[:1] == b"D":
-                continue
-            h, w, n, _, times, train = _unpack(block, hot)
-            total = np.add.reduceat(times * train, np.concatenate([[0], np.cumsum(n)[:-1]]))
-            seen = total > 0
-            hs.append(h[seen])
-            ws.append(w[seen])
-            cs.append(total[seen])
-        if not hs:
-            return
-        h, w, c = np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
-        key = pair_key(h, w)
-        order = np.argsort(key, kind="stable")
-        key, c = key[order], c[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        if len(at) == 0:
-            return
-        c = np.add.reduceat(c, at)
-        o = order[at]
-        for r in range(1, KATZ_K + 2):
-            yield (None, r, int((c == r).sum()))
-        o, c = o[c >= 2], c[c >= 2]
-        yield from zip(h[o].view(np.int64).tolist(), w[o].view(np.int64).tolist(), c.tolist())
+    """(part, n, block) of one partition: counts of counts, and its words that are not in the table."""
+    def run(part, items):
+        items, hot = list(items), box.value["w"]
+        c = _training_pairs(items, hot)[3]
+        yield (part, [int((c == r).sum()) for r in range(1, KATZ_K + 2)], None)
+        for block in _columns(_rare_words(items, hot)):
+            yield (part, None, block)
     return run
 
 
-def _score_pairs(box):
-    """(run, place, doc_id, th, gain) of one partition: what the model's pairs add to its documents' scores,
-    and the keys of the documents of the runs listed there."""
-    def run(item):
-        import pickle
+def _word_counts(w: np.ndarray, counts: tuple, t: dict) -> np.ndarray:
+    """c(w): from the table, from the sorted (words, counts) of the partition, or 0."""
+    i, ok = _lookup(w, t["w"])
+    out = np.zeros(len(w), dtype=np.int64)
+    out[ok] = t["ch"][i[ok]]
+    if not ok.all() and len(counts[0]):
+        i, seen = _lookup(w[~ok], counts[0])
+        out[~ok] = np.where(seen, counts[1][i], 0)
+    return out
 
-        import zstandard
-        blocks, model = item
-        hot = box.value["w"]
-        if model:
-            h, w, gain = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in model], axis=1)
-            key = pair_key(h, w)
-            order = np.argsort(key)
-            key, gain = key[order], gain[order].view(np.float64)
-        for _, (run_id, block) in blocks:
-            if block[:1] == b"D":
-                ids, th = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
-                for i, (d, t) in enumerate(zip(ids, np.frombuffer(th, np.int64).tolist())):
-                    yield (run_id, i, d, t, 0.0)
-            elif model:
-                bh, bw, n, doc, times, _ = _unpack(block, hot)
-                i, ok = _lookup(pair_key(bh, bw), key)
-                total = np.bincount(doc, weights=np.repeat(np.where(ok, gain[i], 0.0), n) * times)
-                for d in np.flatnonzero(total).tolist():
-                    yield (run_id, d, None, None, float(total[d]))
-    return run
+
+def _sorted_counts(blocks) -> tuple:
+    x, n = np.concatenate([np.zeros((2, 0), np.uint64)] + [np.frombuffer(b, np.uint64).reshape(2, -1) for b in blocks], axis=1)
+    order = np.argsort(x)
+    return x[order], n[order].view(np.int64)
 
 
-# ------------------------------------------------------------------ word part
-def _word_sums(box, uni: Unigrams):
-    """Per document: sums over hot words; and the other words as (word, row id, times).
+def _model(blocks, counts, t: dict, least: int, d: np.ndarray, uni: Unigrams):
+    """The model's pairs in one partition: key, P(w | h); its histories outside the table; sums of P(w | h) and P(w) per history.
 
-    A document's row has w NULL and one in ``rows``; the others name a word.
+    A history outside the table has all its pairs here, so they add up to its count.
     """
-    def run(batches):
+    key, h, w, c = _training_pairs(blocks, t["w"])
+    at, ok = _place(h, t)
+    cold, of = np.unique(h[~ok], return_inverse=True)
+    table = len(t["ch"])
+    at[~ok] = table + of
+    ch = np.concatenate([t["ch"], np.bincount(of, weights=c[~ok], minlength=len(cold))])[at]
+    kept = c >= least
+    key, w, c, at, ch = key[kept], w[kept], c[kept], at[kept], ch[kept]
+    p = d[np.minimum(c, KATZ_K + 1)] * c / (ch + 1)
+    p1 = uni.p(_word_counts(w, counts, t))
+    sums = [np.bincount(at, weights=x, minlength=table + len(cold)) for x in (p, p1)]
+    return key, p, cold, *sums  # the table, BEGIN, then the others
+
+
+def _history_sums(box, *model):
+    """Sums of P(w | h) and P(w) of the table's histories over one partition (blocks of h, sp, s1)."""
+    def run(item):
         t = box.value
-        base, score = uni.base(t["c"]), np.log10(uni.p(t["c"])) + t["la"] if len(t["c"]) else np.zeros(0)
-        begin = t["begin"]
-        for b in C.slices(batches, data_bytes=SLICE_BYTES):
-            tok, _, row = token_arrays(b.column("text"))
-            n = b.num_rows
-            i, ok = _lookup(tok, t["w"])
-            size = np.bincount(row, minlength=n)
-            r = row[ok]
-            sums = [np.bincount(r, minlength=n), np.bincount(r, weights=base[i[ok]], minlength=n),
-                    np.bincount(r, weights=score[i[ok]], minlength=n) + begin] if ok.any() else \
-                [np.zeros(n, np.int64), np.zeros(n), np.zeros(n) + begin]
-            keys = [b.column("doc_id"), b.column("th")]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, pa.nulls(n, pa.int64()), pa.array(size, pa.int64()), pa.array(sums[0], pa.int64()),
-                 pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64()), pa.array(np.ones(n, np.int64))], _WORD_COLS)
-            cold, r = tok[~ok], row[~ok]
-            if len(cold):
-                order = np.lexsort((cold, r))
-                cold, r = cold[order], r[order]
-                at = np.flatnonzero(np.concatenate([[True], (cold[1:] != cold[:-1]) | (r[1:] != r[:-1])]))
-                m = len(at)
-                times = np.diff(np.append(at, len(cold)))
-                yield pa.RecordBatch.from_arrays(
-                    [k.take(pa.array(r[at])) for k in keys] + [_signed(cold[at]), pa.array(times, pa.int64()),
-                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
-                     pa.array(np.zeros(m, np.int64))], _WORD_COLS)
+        *_, sp, s1 = _model(item[0], _sorted_counts(item[1]), t, *model)
+        at = np.flatnonzero(sp[:len(t["ch"])])
+        for block in _columns(np.append(t["w"], BEGIN)[at], sp[at], s1[at]):
+            yield (0, None, block)
     return run
 
 
-_WORD_COLS = ["doc_id", "th", "w", "n", "known", "base", "score", "rows"]
-_WORD_SCHEMA = "doc_id long, th long, w long, n long, known long, base double, score double, rows long"
+def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
+    """(run, block) of one partition: known words, base and score of its pairs per document of a run (b"S"),
+    and the ids and token numbers of the runs listed there (b"D")."""
+    def run(item):
+        blocks, counts = item
+        t, counts = box.value, _sorted_counts(counts)
+        key, p, cold, sp, s1 = _model(blocks, counts, t, least, d, uni)
+        log_p, table = np.log10(p), len(t["ch"])
+        cold_la = np.log10((1 - sp[table:]) / (1 - s1[table:])) if len(cold) else np.zeros(1)
+        for _, run_id, block in blocks:
+            if block[:1] == b"D":
+                yield (run_id, bytes(block))
+                continue
+            h, w, n, doc, times, _ = _unpack(block, t["w"])
+            c = _word_counts(w, counts, t)
+            i, hot = _place(h, t)
+            j, ok = _lookup(h, cold)
+            la = np.where(hot, t["la"][i], np.where(ok, cold_la[j], 0.0))
+            score = la + np.log10(uni.p(c))
+            i, ok = _lookup(pair_key(h, w), key)
+            score[ok] = log_p[i[ok]]
+            known, base, score = (np.bincount(doc, weights=np.repeat(x, n) * times) for x in (c > 0, uni.base(c), score))
+            yield (run_id, b"S" + known.astype("<u4").tobytes() + base.tobytes() + score.tobytes())
+    return run
+
 
+def _documents(batches):
+    """One row per document from the blocks of its run; a run that is there more than once, once for each."""
+    import pickle
 
-def _p_column(c, uni: Unigrams):
-    """P(w) of a count column as an expression (NULL: unknown)."""
-    ratio = F.lit(1.0)
-    for r in range(KATZ_K, 0, -1):
-        ratio = F.when(c == r, float(uni.d[r])).otherwise(ratio)
-    return F.coalesce((1 - uni.e) * ratio * c / max(uni.total, 1), F.lit(float(uni.unknown)))
+    import zstandard
+    runs: dict[int, list] = {}
+    for b in batches:
+        for r, block in zip(b.column("run").to_pylist(), b.column("block")):
+            block = block.as_py()
+            ids, size, copies, total = runs.setdefault(r, [None, None, 0, np.zeros((3, 0))])
+            if block[:1] == b"D":
+                ids, size = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
+                runs[r] = [ids, np.frombuffer(size, "<i8"), copies + 1, total]
+                continue
+            m = (len(block) - 1) // 20
+            x = [np.frombuffer(block, "<u4", m, 1), *np.frombuffer(block, "<f8", 2 * m, 1 + 4 * m).reshape(2, m)]
+            if m > total.shape[1]:
+                total = runs[r][3] = np.pad(total, ((0, 0), (0, m - total.shape[1])))
+            for have, more in zip(total, x):
+                have[:m] += more
+    for ids, size, copies, total in runs.values():
+        total = np.pad(total, ((0, 0), (0, len(ids) - total.shape[1]))) / copies
+        for _ in range(copies):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.rint(total[0]).astype(np.int64)),
+                 pa.array(total[1]), pa.array(total[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (runs of bytes other than space and 0x09-0x0D, A-Z
     lower-cased) and one end per text; a NULL text is an empty one, and has the end
     token only.  The model learns from rows whose crc32(doc_id) modulo 7 is not 2
     (a NULL doc_id counts as held out, is scored and never learned from).
+    Pairs of fewer than ``least`` training occurrences count as unseen (Katz's option; 1 keeps every pair).
     base_score sums log10((c + 1) / (N + V + 1)); score is the model's log10 probability.  Repeated rows
     are counted and scored as often as they occur.  Without training rows every
     token is the unknown word with probability 1.  Other columns are ignored.
     """
     scratch = C.Scratch(spark, "katz")
     train = F.coalesce(C.crc_bucket(F.col("doc_id"), SPLIT) != HELD_OUT, F.lit(False))
-    # a document's key: its id and a hash of its text; rows equal in both are scored together
+    # a document's id and a hash of its text name the run it is in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
                        train.alias("train"), "text")
     words = scratch.save(rows.where("train").select("text").mapInArrow(_count_words, "w long, c long")
@@ -348,96 +407,70 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = np.argsort(hot_w)
     hot_w, hot_c = hot_w[order], hot_c[order]
     sc = spark.sparkContext
-    box = sc.broadcast({"w": hot_w})
+    # c(h) by place: the words, then BEGIN
+    hot = {"w": hot_w, "ch": np.append(hot_c, n_texts).astype(np.int64)}
+    box = sc.broadcast(hot)
     parts = max(1, math.ceil(uni.total * 1.2 / PARTITION_TOKENS))
 
-    blocks = (rows.mapInArrow(_blocks(parts, box), "part int, run long, block binary").rdd
-              .map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(parts, lambda k: k))  # read twice, shuffled once
-    pairs = spark.createDataFrame(blocks.mapPartitions(_count_pairs(box)), "h long, w long, c long", verifySchema=False)
-    pairs = scratch.save(pairs, "pairs")
-    n = dict(pairs.where("h is null").groupBy("w").agg(F.sum("c")).collect())  # KATZ_K + 1 rows
-    d = good_turing([0, *[n.get(r, 0) for r in range(1, KATZ_K + 2)]])
+    blocks = rows.mapInArrow(_blocks(parts, box), "part int, run long, block binary").repartitionById(parts, "part").rdd  # read three times, shuffled once
+    form = "part int, n array<long>, block binary"
+    counted = scratch.save(spark.createDataFrame(blocks.mapPartitionsWithIndex(_count_pairs(box)), form, verifySchema=False), "counted")
+    n = counted.agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(KATZ_K + 1)]).first()
+    d = good_turing([0, *n])
 
-    # the model: log P(w|h) and the sums per history that make alpha(h)
-    def with_counts(batches):
+    # counts of the words that are not in the table, for the partitions that have them
+    def wanted(batches):
         for b in batches:
-            h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
-            out = list(b.columns)
-            for x in (h, w):
-                i, ok = _lookup(x, hot_w)
-                out.append(pa.array(np.where(ok, hot_c[i] if len(hot_c) else 0, 0), pa.int64(), mask=~ok))
-            yield pa.RecordBatch.from_arrays(out, ["h", "w", "c", "ch", "cw"])
-
-    counted = pairs.where("h is not null").mapInArrow(with_counts, "h long, w long, c long, ch long, cw long")
-    begin = int(BEGIN.view(np.int64))
-    counted = counted.withColumn("ch", F.when(F.col("h") == begin, F.lit(int(n_texts))).otherwise(F.col("ch")))
-    full = counted.where("ch is not null and cw is not null")
-    lack = (counted.where("ch is null or cw is null")
-            .join(words.select(F.col("w").alias("h"), F.col("c").alias("c1")), "h", "left")
-            .join(words.select("w", F.col("c").alias("c2")), "w", "left")
-            .select("h", "w", "c", F.coalesce("ch", "c1").alias("ch"), F.coalesce("cw", "c2").alias("cw")))
-    ratio = F.lit(1.0)
-    for r in range(KATZ_K, 0, -1):
-        ratio = F.when(F.col("c") == r, float(d[r])).otherwise(ratio)
-    model = scratch.save(full.unionByName(lack).select(
-        "h", "w", (ratio * F.col("c") / (F.col("ch") + 1)).alias("p"), _p_column(F.col("cw"), uni).alias("p1")), "model")
-    hist = model.groupBy("h").agg(F.sum("p").alias("sp"), F.sum("p1").alias("s1"))
-    # both masses are positive: the unknown word has some in P(w), and c(h) + 1 leaves some after h
-    hist = scratch.save(hist.select("h", F.log10((1 - F.col("sp")) / (1 - F.col("s1"))).alias("la")), "alpha")
+            for p, x in zip(b.column("part").to_pylist(), b.column("block").to_pylist()):
+                w = np.frombuffer(x, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), p, np.int32)), _signed(w)], ["part", "w"])
 
-    first = hist.where(F.col("h") == begin).select("la").first()
-    hot_alpha = hist.join(F.broadcast(spark.createDataFrame(pa.table({"h": hot_w.view(np.int64)}))), "h").toArrow()  # bounded by HOT
-    la = np.zeros(len(hot_w))
-    i, ok = _lookup(hot_alpha.column("h").to_numpy().view(np.uint64), hot_w)
-    la[i[ok]] = hot_alpha.column("la").to_numpy()[ok]
-    table = sc.broadcast({"w": hot_w, "c": hot_c, "la": la, "begin": float(first[0]) if first else 0.0})
+    def sent(batches):
+        held, size = [], 0
+
+        def flush():
+            p, w, c = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(p, kind="stable")
+            to, at = np.unique(p[order], return_index=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(to, pa.int32()), pa.array([np.stack([w[o], c[o]]).tobytes() for o in np.split(order, at[1:])], pa.binary())],
+                ["part", "block"])
 
-    # what the model's pairs add: looked up partition by partition, next to the occurrence blocks
-    def hot_alpha_of(batches):
         for b in batches:
-            i, ok = _lookup(b.column("h").to_numpy().view(np.uint64), hot_w)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(la[i] if len(la) else np.zeros(len(i)), pa.float64(), mask=~ok)],
-                                             ["h", "w", "p", "p1", "la"])
+            held.append([b.column(c).to_numpy() for c in ("part", "w", "c")])
+            size += b.num_rows
+            if size >= BLOCK_ROWS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
-    near = model.mapInArrow(hot_alpha_of, "h long, w long, p double, p1 double, la double")
-    rare = near.where("la is null").drop("la").join(hist, "h")
-    gain = near.where("la is not null").unionByName(rare).select(
-        "h", "w", (F.log10("p") - F.col("la") - F.log10("p1")).alias("gain"))
+    rare = counted.where("block is not null").select("part", "block").mapInArrow(wanted, "part int, w long").join(words, "w")
+    rare = rare.select("part", "w", "c").mapInArrow(sent, "part int, block binary").repartitionById(parts, "part").rdd
+    both = (blocks.mapPartitions(lambda it: [list(it)])
+            .zip(rare.mapPartitions(lambda it: [[bytes(x[1]) for x in it]])))
+    model = (least, d, uni)
 
-    def keyed(batches):
+    # the sums per history that make alpha(h)
+    def unblocked(batches):
         for b in batches:
-            h, w = (b.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
-            g = b.column("gain").to_numpy()
-            p = ((pair_key(h, w) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(p, kind="stable")
-            edge = np.searchsorted(p[order], np.arange(parts + 1))
-            out = [(k, np.stack([h[o], w[o], g[o].view(np.uint64)]).tobytes())
-                   for k in range(parts) if len(o := order[edge[k]:edge[k + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())],
-                                             ["part", "model"])
-
-    slices = (gain.mapInArrow(keyed, "part int, model binary").rdd.map(lambda r: (r[0], bytes(r[1])))
-              .partitionBy(parts, lambda k: k))
-    together = (blocks.mapPartitions(lambda it: [list(it)])
-                .zip(slices.mapPartitions(lambda it: [[v for _, v in it]])))
-    gains = spark.createDataFrame(together.flatMap(_score_pairs(box)),
-                                  "run long, place long, doc_id long, th long, gain double", verifySchema=False)
-    gains = gains.groupBy("run", "place").agg(F.max("doc_id").alias("doc_id"), F.max("th").alias("th"), F.sum("gain").alias("gain"))
-
-    parts_of = rows.select("doc_id", "th", "text").mapInArrow(_word_sums(table, uni), _WORD_SCHEMA)
-    zero = F.lit(0).cast("long")
-    cold = (parts_of.where("w is not null").join(words, "w", "left")
-            .join(hist.select(F.col("h").alias("w"), "la"), "w", "left")
-            .select("doc_id", "th", zero.alias("n"), F.when(F.col("c") > 0, F.col("n")).otherwise(zero).alias("known"),
-                    (F.col("n") * F.log10((F.coalesce("c", zero) + 1) / float(uni.total + uni.distinct + 1))).alias("base"),
-                    (F.col("n") * (F.log10(_p_column(F.col("c"), uni)) + F.coalesce("la", F.lit(0.0)))).alias("score"),
-                    zero.alias("rows")))
-    extra = gains.select("doc_id", "th", zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"),
-                         F.col("gain").alias("score"), zero.alias("rows"))
-    total = (parts_of.where("w is null").drop("w").unionByName(cold).unionByName(extra).groupBy("doc_id", "th")
-             .agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score", "rows")]))
-    out = total.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+            for x in b.column("block").to_pylist():
+                h, sp, s1 = np.frombuffer(x, np.uint64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(sp.view(np.float64)), pa.array(s1.view(np.float64))],
+                                                 ["h", "p", "p1"])
+
+    sums = spark.createDataFrame(both.flatMap(_history_sums(box, *model)), form, verifySchema=False)
+    hist = (sums.select("block").mapInArrow(unblocked, "h long, p double, p1 double")
+            .groupBy("h").agg(F.sum("p").alias("sp"), F.sum("p1").alias("s1")))
+    # both masses are positive: the unknown word has some in P(w), and c(h) + 1 leaves some after h
+    alpha = scratch.save(hist.select("h", F.log10((1 - F.col("sp")) / (1 - F.col("s1"))).alias("la")), "alpha").toArrow()  # bounded by HOT
+
+    la = np.zeros(len(hot_w) + 1)
+    la[_place(alpha.column("h").to_numpy().view(np.uint64), hot)[0]] = alpha.column("la").to_numpy()
+    table = sc.broadcast({**hot, "la": la})
+
+    scores = spark.createDataFrame(both.flatMap(_score_pairs(table, *model)), "run long, block binary", verifySchema=False)
+    out = scores.repartition("run").mapInArrow(
+        _documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.coalesce(C.crc_bucket(F.col("doc_id"), SPLIT) != HELD_OUT, F.lit(False))).alias("held_out"),
-                      (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"),
-                      (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(int(uni.total)).alias("train_tokens"),
-                      (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+                      "n_tokens", "n_known", F.lit(int(uni.total)).alias("train_tokens"), "base_score", "score")

@@ -130,7 +130,7 @@ def op6_toxicity(spark, sf_dir):
 def op7_katz(spark, sf_dir):
     """Katz backoff log probabilities of every document."""
     from sward.llm.katz import score_documents
-    return score_documents(spark, C.documents(spark, sf_dir))
+    return score_documents(spark, C.documents(spark, sf_dir), least=1)
 
 
 @register("pipeline")
