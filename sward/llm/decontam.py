@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Care positions of the masks; every mask spans SPAN tokens.  Any window with one substitution
-#: that is not at the window's first token keeps a seed under at least one of them.
+#: Care positions of the spaced masks; every mask spans SPAN tokens.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 4, 6, 9))
 SPAN = 10
+#: Also runs of tokens: a leak's window with at most two substitutions (0.8 of 10 to 13 tokens) keeps a run of
+#: RUN tokens, of SHORT_RUN where it has under 12; one with at most one (5 to 9 tokens) keeps a half of the item.
+RUN, SHORT_RUN = 4, 3
 #: A leak: this many consecutive aligned tokens (the whole item if it is shorter) ...
 MIN_TOKENS = 13
 #: ... of which at least this share is equal.
@@ -28,17 +30,33 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, pos: Column) -> Column:
-    """The seeds of the window that starts at ``pos``, one per mask."""
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(h, pos + F.lit(o)) for o in mask])
-                     for m, mask in enumerate(MASKS)])
+def runs(n: int) -> list[tuple[int, int | None]]:
+    """(tokens, place or None for every place) of the runs that are seeds of an item of ``n`` tokens."""
+    if n < 5:
+        return [(n, 0)]
+    if n < SPAN:
+        return [(n // 2, 0), (n - n // 2, n // 2)]
+    return [(SHORT_RUN if n < 12 else RUN, None)]
 
 
-def _seed_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., h, pos, seed) for every window of every row of (keep..., h)."""
-    at = df.where(F.size("h") >= SPAN).select(*keep, "h", F.posexplode("h").alias("pos", "_t"))
-    at = at.where(F.col("pos") + SPAN <= F.size("h"))
-    return at.select(*keep, "h", "pos", F.explode(seeds(F.col("h"), F.col("pos"))).alias("seed"))
+def _seed(h: Column, pos: Column, mask: tuple, when: Column | bool = True) -> Column:
+    """The seed of a mask at ``pos``, NULL where the text ends before."""
+    return F.when((pos + mask[-1] < F.size(h)) & when, F.xxhash64(F.lit(str(mask)), *[F.get(h, pos + F.lit(o)) for o in mask]))
+
+
+def _explode(df: DataFrame, seeds, *keep: str) -> DataFrame:
+    """(keep..., h, pos, seed) for every place of every row of (keep..., h)."""
+    at = df.select(*keep, "h", F.posexplode("h").alias("pos", "_t"))
+    return (at.select(*keep, "h", "pos", F.explode(F.array(*seeds(F.col("h"), F.col("pos")))).alias("seed"))
+            .where("seed is not null"))
+
+
+def _item_seeds(h: Column, pos: Column) -> list[Column]:
+    n = F.size(h)
+    out = [_seed(h, pos, m) for m in MASKS] + [_seed(h, pos, tuple(range(RUN)), n >= 12)]
+    for size in range(1, 12):
+        out += [_seed(h, pos, tuple(range(k)), (n == size) & (F.lit(True) if at is None else pos == at)) for k, at in runs(size)]
+    return out
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_tokens: int = MIN_TOKENS,
@@ -49,19 +67,21 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_tok
     doc_token and item_token (where the aligned texts start, from 0), n_aligned,
     n_equal, best_window (equal tokens in the best window of
     min(min_tokens, tokens of the item) tokens).  Of several alignments the one with
-    most equal tokens is returned, ties to the earlier.  Items and documents of
-    fewer than SPAN tokens, NULL and empty texts and NULL ids give no row; repeated
-    rows count once.  Other columns are ignored.
+    most equal tokens is returned, ties to the earlier.  NULL and empty texts and
+    NULL ids give no row; repeated rows count once.  Other columns are ignored.
     """
     items = (benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"),
                                                            token_hashes(F.col("text")).alias("h"))
              .withColumn("h", F.filter("h", lambda x: x != F.xxhash64(F.lit("")))))
-    items = items.where(F.size("h") >= SPAN).distinct()
-    test = (_seed_rows(items, "item_id").select("seed", "item_id", F.col("pos").alias("item_pos"),
+    items = items.where(F.size("h") > 0).distinct()
+    test = (_explode(items, _item_seeds, "item_id").select("seed", "item_id", F.col("pos").alias("item_pos"),
                                                 F.col("h").alias("ih")))
     small = test.count() <= broadcast_rows
-    train = _seed_rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                               token_hashes(F.col("text")).alias("h")), "doc_id")
+    sizes = [r[0] for r in items.select(F.least(F.size("h"), F.lit(12)).alias("n")).distinct().collect()]  # 12 at most
+    lengths = sorted({k for n in sizes for k, _ in runs(n)})
+    train = _explode(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
+                                                             token_hashes(F.col("text")).alias("h")),
+                     lambda h, pos: [_seed(h, pos, m) for m in (*MASKS, *[tuple(range(k)) for k in lengths])], "doc_id")
     if small:
         hits = train.join(F.broadcast(test), "seed")
     else:  # the texts stay behind: only seeds are shuffled, and hit documents are read again
