@@ -85,11 +85,13 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_tok
     if small:
         hits = train.join(F.broadcast(test), "seed")
     else:  # the texts stay behind: only seeds are shuffled, and hit documents are read again
-        hits = (train.select("doc_id", "pos", "seed").join(test.drop("ih"), "seed")
-                .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-                .join(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                  token_hashes(F.col("text")).alias("h")), "doc_id")
-                .join(items.select("item_id", F.col("h").alias("ih")), "item_id")
+        # ids may repeat with other texts: a hash of the tokens goes along
+        hits = (train.select("doc_id", F.xxhash64("h").alias("dt"), "pos", "seed")
+                .join(test.withColumn("it", F.xxhash64("ih")).drop("ih"), "seed")
+                .select("doc_id", "dt", "item_id", "it", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+                .join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
+                      .withColumn("dt", F.xxhash64("h")), ["doc_id", "dt"])
+                .join(items.select("item_id", F.col("h").alias("ih"), F.xxhash64("h").alias("it")), ["item_id", "it"])
                 .withColumns({"pos": F.col("shift"), "item_pos": F.lit(0)}))
     # aligned stretches: document token shift + i against item token i
     shift = F.col("pos") - F.col("item_pos")

@@ -2,8 +2,6 @@
 import itertools
 import math
 
-import pytest
-
 from sward.llm.decontam import MIN_MATCH, leaks
 
 
@@ -24,3 +22,14 @@ def test_every_accepted_substitution_of_short_items(spark):
         got = leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"),
                     spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Shuffled seeds give what broadcast seeds give, each row and item with its own tokens."""
+    item = " ".join(f"b{i}" for i in range(16))
+    docs = [(1, " ".join(f"f{i}" for i in range(50)) + " " + item), (1, "short"), (2, "short"), (2, item)]
+    items = [(7, item), (7, "another text of the same item that is nowhere in the documents")]
+    got = [sorted(map(tuple, leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=n).collect()))
+           for n in (500_000, 0)]
+    assert got[0] == got[1] == [(1, 7, 50, 0, 16, 16, 13), (2, 7, 0, 0, 16, 16, 13)]
