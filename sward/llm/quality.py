@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sward.llm import common as C
 from sward.llm.models import SAMPLE_DOCS, apply_logistic, fit_logistic, held_out, labelled_sample
 
-#: Training looks at no more than this many lines of one sampled document.
-TRAIN_LINES = 256
 N_FEATURES = 12
 EPOCHS, RATE, L2 = 120, 0.1, 1e-3
 
@@ -177,7 +175,7 @@ def _sample_rows(batches):
     for b in C.slices(batches):
         x, size, off = line_features(b.column("text"))
         for i, (doc, lab) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist())):
-            s = slice(off[i], min(off[i + 1], off[i] + TRAIN_LINES))
+            s = slice(off[i], off[i + 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([doc], pa.int64()), pa.array([lab], pa.int32()), pa.array([x[s].astype("<f4").tobytes()], pa.binary()),
                  pa.array([size[s].astype("<f4").tobytes()], pa.binary())], ["doc_id", "label", "x", "size"])
@@ -186,7 +184,7 @@ def _sample_rows(batches):
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> dict:
     """Model from at most ``limit`` labelled documents; {"share": ...} when there is nothing to tell apart."""
     rows = labelled_sample(docs, labels, "quality", limit).mapInArrow(
-        _sample_rows, "doc_id long, label int, x binary, size binary").collect()  # bounded by limit and TRAIN_LINES
+        _sample_rows, "doc_id long, label int, x binary, size binary").collect()  # the lines of at most limit documents
     rows.sort(key=lambda r: r["doc_id"])
     label = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(label) == 0 or label.min() == label.max():
