@@ -138,3 +138,81 @@ def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over the whole documents table."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    """Every embedding on the first four whitened principal components."""
+    from sward.llm.whitening import whiten
+    return whiten(spark, C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op12_resample", r"""
+with recursive
+crc_table as (select list(c order by i) as t from (
+  select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                        lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c
+  from (select cast(range as bigint) as i from range(256)))),
+texts as (select 'd' as side, row_number() over () as r, doc_id, text from documents
+          union all select 'b', row_number() over (), null, text from benchmark),
+w as (select side, r, doc_id, regexp_extract_all(""" + _FOLD.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+f as (select side, r, unnest(list_concat(ws, list_concat(
+        list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+        list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) as g from w),
+g as (select side, r, g, count(*) as c from f group by all),
+names as (select g, hex(encode(g)) as x from (select distinct g from g)),
+crc as (select g, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+          list_transform(range(1, len(x) // 2 + 1),
+            lambda i: cast(16 * (strpos('0123456789ABCDEF', x[2 * i - 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i]) - 1 as bigint))),
+          lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 10000 as bucket
+        from names, crc_table),
+h as (select side, r, bucket, cast(sum(c) as bigint) as c from g join crc using (g) group by all),
+counts as (select k as bucket, coalesce(sum(case when side = 'd' then c end), 0) as s,
+                  coalesce(sum(case when side = 'b' then c end), 0) as t
+           from range(10000) b(k) left join h on bucket = k group by k),
+gain as (select bucket, cast(floor(1000 * ln((cast(t as double) + 1) * cast(sum(s) over () + 10000 as double)
+                / ((cast(s as double) + 1) * cast(sum(t) over () + 10000 as double)))) as bigint) as gain from counts),
+weights as (select r, sum(c * gain) as weight, sum(c) as n from h join gain using (bucket) where side = 'd' group by r),
+scored as (select w.r, doc_id, len(ws) as n_words, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+  cast(coalesce(weight, 0) as bigint) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || doc_id), 1, 8) as bigint) + 0.5e0)
+       / 4294967296e0))) as bigint) as score
+  from w left join weights using (r) where side = 'd'),
+drawn as (select r, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20),
+n as (select 5 * count(*) // 100 as k from drawn)
+select doc_id, n_features, weight, score, case when rank <= k then rank end as rank from scored left join drawn using (r), n""")
+def op12_resample(spark, sf_dir):
+    """Documents drawn towards the benchmark's features, one draw in twenty."""
+    from sward.llm.resample import resample
+    return (resample(spark, C.documents(spark, sf_dir), C.table(spark, sf_dir, "benchmark").select("text"))
+            .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
+@register("op13_mixing", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                  md5('42:' || coalesce(cast(doc_id as varchar), '')) as place from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+o as (select *, row_number() over (order by source is null, source) as i from s),
+w as (select *, case i % 3 when 1 then 5 when 2 then 2 else 1 end as w from o),
+-- sources by size over weight: the first k are clamped, the fewest for which no other is above
+p as (select *, row_number() over q as k, sum(source_size) over q as below, sum(w) over q as wbelow,
+             sum(source_size) over () as total, sum(w) over () as wall
+      from w window q as (order by source_size * 10 / w, i rows unbounded preceding)),
+c as (select coalesce(min(k) - 1, 0) as k from p
+      where (total - 3 * (below - source_size)) * w <= 3 * source_size * (wall - (wbelow - w))),
+l as (select c.k as clamped, any_value(total) - 3 * coalesce(sum(source_size) filter (p.k <= c.k), 0) as words,
+             any_value(wall) - coalesce(sum(w) filter (p.k <= c.k), 0) as share from p, c group by c.k),
+t as (select source, source_size, case when k <= clamped then 3e0 * source_size else cast(w as double) * cast(words as double) / cast(share as double) end as target
+      from p, l),
+r as (select doc_id, size, source_size, target, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as times,
+             sum(size) over (partition by d.source order by place, doc_id, size rows unbounded preceding) - size as before
+      from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(times * size + greatest(0, least(size, floor(target - times * source_size + 0.5e0) - before)) as bigint) as taken from r""")
+def op13_mixing(spark, sf_dir):
+    """Words that a mix of 5 : 2 : 1 over the sources takes of every document, three epochs at most."""
+    from sward.llm.mixing import mix
+    return (mix(spark, C.documents(spark, sf_dir, "doc_id", "text", "source"))
+            .select("doc_id", "size", "source_size", "target", "taken"))
