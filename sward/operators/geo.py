@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.operators.sequence import (consecutive_pairs, ends_from_segments, ordered_layout, pairs_and_segments,
-                                     segments_in_layout)
+                                     ranged, segments_in_layout)
 
 # ---- fixed values ----
 EARTH_RADIUS_KM = 6371.0088
@@ -74,3 +74,29 @@ def ring_areas(vertices: DataFrame, line: str, order: Sequence[str],
              .agg(F.sum("t").alias("t"), F.max("ring").alias("ring"))
              .filter(F.col("ring") == 1))
     return total.select(line, _ring_km2(F.col("t")).alias("km2"))
+
+
+def line_pieces(vertices: DataFrame, line: str, part: str, order: Sequence[str], lon: str = "lon", lat: str = "lat",
+                piece: int = 4096, distinct: bool = False) -> DataFrame:
+    """S6 geometry: (line, part, piece, n_vertices, wkt), the parts of each line in vertex order.
+
+    A part of up to ``piece`` + 1 vertices is one row; a longer one is cut into pieces that share their end vertices,
+    so the pieces draw the same line.  A hot line is never one sort or one value: vertices are numbered from
+    the range layout (position in the partition, plus the vertices of the part's earlier segments), and each piece is
+    assembled from at most ``piece`` + 1 rows.  A part of one vertex is a POINT.
+    """
+    r = ranged(vertices.select(line, part, *order, lon, lat), [line, part, *order], None, distinct)
+    segs = r.groupBy("_pid", line, part).agg(F.min("_local").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(line, part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.select("_pid", line, part, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"))
+    v = r.join(segs, ["_pid", line, part]).withColumn("_i", F.col("_local") + F.col("_shift"))
+    own = F.floor(F.col("_i") / piece)
+    shared = (F.col("_i") % piece == 0) & (F.col("_i") > 0)
+    v = v.withColumn("piece", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))))
+    xy = F.concat_ws(" ", *[F.col(c).cast("decimal(12,6)").cast("string") for c in (lon, lat)])
+    out = v.groupBy(line, part, "piece").agg(F.count(F.lit(1)).alias("n_vertices"),
+                                             F.array_sort(F.collect_list(F.struct("_i", xy.alias("xy")))).alias("_p"))
+    text = F.array_join(F.transform("_p", lambda p: p["xy"]), ", ")
+    kind = F.when(F.col("n_vertices") > 1, "LINESTRING (").otherwise("POINT (")
+    return (out.where((F.col("n_vertices") > 1) | (F.col("piece") == 0))
+            .select(line, part, "piece", "n_vertices", F.concat(kind, text, F.lit(")")).alias("wkt")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.rsem import html_escape, paste0, strip_number_text
@@ -82,20 +82,42 @@ def select_plots(df: DataFrame, ids: Iterable[str] | DataFrame | None, key: str
     return df.filter(F.col(key).isin(*ids))
 
 
-def in_range(y: Column, metric: str) -> Column:
+def in_range(y: Column, metric: str, year: Column | None = None, domain: tuple[int, int] | None = None) -> Column:
+    """Inside the chart's axis limits, and inside the ``domain`` of survey years if one is given."""
     lo, hi = METRIC_LIMITS[metric]
-    return (y >= lo) & (y <= hi)
+    inside = (y >= lo) & (y <= hi)
+    return inside if domain is None else inside & (year >= domain[0]) & (year <= domain[1])
 
 
-def plot_series(sites: DataFrame, metric: str, ids: Iterable[str] | DataFrame | None) -> DataFrame:
-    """M3: (metric, selected plots) -> location, plot, surveyYear, y, biotopeType, in_range, title."""
+def one_row_per_plot(layer: DataFrame, key: str = "plot") -> DataFrame:
+    """M1's check: the marker layer itself, failing at run time where a plot has more than one marker."""
+    w = Window.partitionBy(key)
+    n = F.count(F.lit(1)).over(w)
+    fail = F.raise_error(F.concat(F.lit("more than one marker for plot "), F.coalesce(F.col(key), F.lit("NULL"))))
+    return (layer.withColumn("_n", n).where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(fail.cast("boolean")))
+            .drop("_n"))
+
+
+def plot_series(sites: DataFrame, metric: str, ids: Iterable[str] | DataFrame | None, ordered: bool = False,
+                domain: tuple[int, int] | None = None) -> DataFrame:
+    """M3: (metric, selected plots) -> location, plot, surveyYear, y, biotopeType, in_range, title.
+
+    ``ordered``: sorted by plot and year, as the chart draws them (W6), with ``seq``, the place in the plot's series.
+    """
+    return series_of(select_plots(sites, ids), metric, ordered, domain)
+
+
+def series_of(selected: DataFrame, metric: str, ordered: bool = False, domain: tuple[int, int] | None = None) -> DataFrame:
+    """The series columns of rows that are already selected."""
     m = resolve_metric(metric)
-    base = sites.select("location", "plot", "surveyYear", F.col(m).alias("y"), "biotopeType")
-    sel = select_plots(base, ids)
-    return sel.withColumns({
-        "in_range": in_range(F.col("y"), m),
+    out = selected.select("location", "plot", "surveyYear", F.col(m).alias("y"), "biotopeType").withColumns({
+        "in_range": in_range(F.col("y"), m, F.col("surveyYear"), domain),
         "title": paste0(html_escape("location"), F.lit(". ID: "), html_escape("plot")),
     })
+    if not ordered:
+        return out
+    seq = F.row_number().over(Window.partitionBy("plot").orderBy("surveyYear"))  # a plot has one row a year
+    return out.withColumn("seq", seq).orderBy("plot", "surveyYear")
 
 
 def reference_stats(sites: DataFrame, metric: str) -> DataFrame:

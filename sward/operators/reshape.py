@@ -65,19 +65,32 @@ def pivot_measures(long: DataFrame, ids: Sequence[str], measures: Sequence[str],
                          for m in measures])
 
 
-def wide_to_visits(wide: DataFrame, ids: Sequence[str], measures: Sequence[str], years: Sequence[int],
+def measure_years(wide: DataFrame, measures: Sequence[str], sep: str = "_") -> list[int]:
+    """The survey years that the measure columns name, in order."""
+    found = (c.rsplit(sep, 1) for c in wide.columns if sep in c)
+    return sorted({int(y) for m, y in found if m in measures and y.isdigit()})
+
+
+def wide_to_visits(wide: DataFrame, ids: Sequence[str], measures: Sequence[str], years: Sequence[int] | None = None,
                    numeric: Iterable[str] = (), sep: str = "_") -> DataFrame:
-    """R1 + R2 + R3 without a shuffle: explode one struct per year (generated as SQL)."""
+    """R1 + R2 + R3 without a shuffle: explode one struct per year (generated as SQL).
+
+    Years default to those of the columns.  A measure without any column is an error; one that lacks a year is
+    NULL in that year, as the pivot leaves it.
+    """
     numeric = set(numeric)
+    years = list(years) if years is not None else measure_years(wide, measures, sep)
+    absent = [m for m in measures if not any(f"{m}{sep}{y}" in wide.columns for y in years)]
+    if absent or not years:
+        raise ValueError(f"no columns for measures {absent or list(measures)} in years {years}")
 
     def cell(m: str, y: int) -> str:
         name = f"{m}{sep}{y}"
         c = f"CAST(`{name}` AS STRING)" if name in wide.columns else "CAST(NULL AS STRING)"
-        return f"{'try_cast(' + c + ' AS DOUBLE)' if m in numeric else c} AS `{m}`"
+        return f"try_cast({c} AS DOUBLE)" if m in numeric else c
 
     per_year = "explode(array(" + ", ".join(
-        "named_struct(" + ", ".join([f"'surveyYear', {int(y)}"]
-                                    + [f"'{m}', {cell(m, y).rsplit(' AS ', 1)[0]}" for m in measures]) + ")"
+        "named_struct(" + ", ".join([f"'surveyYear', {int(y)}"] + [f"'{m}', {cell(m, y)}" for m in measures]) + ")"
         for y in years) + ")) AS _v"
     return (wide.selectExpr(*[f"`{i}`" for i in ids], per_year)
             .select(*ids, "_v.surveyYear", *[f"_v.{m}" for m in measures]))

@@ -25,7 +25,7 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None, distinct: bool = False) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None, distinct: bool = False) -> DataFrame:
     """Range-partition on ``order``, optionally drop duplicate rows, sort each partition.
 
     The de-duplication needs no exchange of its own: range partitioning on a
@@ -57,7 +57,7 @@ def row_sequence(df: DataFrame, order: Sequence[str], name: str = "seq",
     running sum gives each partition's offset (bounded by the partition count,
     so the broadcast is bounded too).
     """
-    r = _ranged(df, order, partitions)
+    r = ranged(df, order, partitions)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -75,7 +75,7 @@ def ordered_layout(df: DataFrame, group: str, order: Sequence[str], values: Sequ
     """
     cols = list(dict.fromkeys([group, *order, *values]))
     src = df.select(*cols)
-    return _ranged(src, [group, *order], partitions, distinct)
+    return ranged(src, [group, *order], partitions, distinct)
 
 
 def segments_in_layout(r: DataFrame, group: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -32,6 +32,8 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+#: Vertices of one geometry row (plus the shared end).
+GEOMETRY_PIECE = 4096
 KEYS = ("id", "plot", "surveyYear")
 COVER_OUT = ("graminoidCov", "herbCov", "accumulatedCov", *COVER_NAMES)
 
@@ -82,6 +84,10 @@ def biotope_points(spark, sf_dir):
 
 
 def _change_sql() -> str:
+    return O.with_views(["v_points"], _change_body())
+
+
+def _change_body() -> str:
     n = "'non-FFH'"
 
     def r_if(cond: str, yes: str, no: str) -> str:
@@ -97,12 +103,12 @@ def _change_sql() -> str:
     any_ffh = f"({a} <> {n} and {b} <> {n} and {c} <> {n})"
     expr = r_if(better, "'better'", r_if(change, "'change'", r_if(all_n, "'non-FFH'", r_if(
         all_6510, "'FFH6510'", r_if(all_6210, "'FFH6210'", r_if(any_ffh, "'any-FFH'", "'worse'"))))))
-    return O.with_views(["v_points"], f"""
+    return f"""
 select plot, x96, x97, x98, {expr} as changeType
 from (select plot, max(case when surveyYear = 1996 then ffh end) as x96,
              max(case when surveyYear = 1997 then ffh end) as x97,
              max(case when surveyYear = 1998 then ffh end) as x98
-      from v_points group by plot) w""")
+      from v_points group by plot) w"""
 
 
 @register("change_type", _change_sql())
@@ -120,6 +126,34 @@ def site_table(spark, sf_dir):
     return P.site_table(spark, sf_dir)
 
 
+@register("site_change", O.with_views(["v_site"], """
+select s.*, c.changeType from v_site s left join c on c.plot = s.plot""", extra=[("c", _change_body())]))
+def site_change(spark, sf_dir):
+    """The analysis table with the change class of its plot on every visit; one scan, one exchange of the plot."""
+    return P.finish(P.sites(spark, sf_dir), (*P.SITE_COLUMNS, "changeType"))
+
+
+@register("change_path", O.with_views(["v_points"], """
+select plot, string_agg(coalesce(s, '-'), '' order by y) as path, cast(count(s) as integer) as n_years,
+ cast(count(case when prev = 'N' and s = 'F' then 1 end) as integer) as gains,
+ cast(count(case when prev = 'F' and s = 'N' then 1 end) as integer) as losses,
+ case when count(s) < count(*) then null
+  when count(case when prev <> s then 1 end) = 1 and right(string_agg(s, '' order by y), 2) = 'FF' then 'better'
+  when count(case when prev <> s then 1 end) = 1 and right(string_agg(s, '' order by y), 2) = 'NN' then 'worse'
+  when count(case when prev <> s then 1 end) > 0 then 'change'
+  when min(s) = 'N' then 'non-FFH'
+  when count(distinct ffh) = 1 then concat('FFH', min(ffh)) else 'any-FFH' end as pathType
+from (select *, lag(s ignore nulls) over (partition by plot order by y) as prev
+      from (select p.plot, y.y, v.ffh, case when v.ffh = 'non-FFH' then 'N' when v.ffh is not null then 'F' end as s
+            from (select distinct plot from v_points) p cross join (select distinct surveyYear as y from v_points) y
+            left join v_points v on v.plot = p.plot and v.surveyYear = y.y) g) w
+group by plot"""))
+def change_path(spark, sf_dir):
+    """R7 + C22 over all survey years of the data: state path, gains, losses and class of every plot."""
+    from sward.operators.change import change_paths
+    return change_paths(P.visit_types(spark, sf_dir).select("plot", "surveyYear", "ffh"))
+
+
 # --------------------------------------------------------------- keys, labels, levels
 def _esc_sql(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -237,6 +271,21 @@ def location_levels(spark, sf_dir):
     return levels.select("location", "firstConstructionYear", F.col("level").cast("int").alias("level"))
 
 
+@register("factor_codes", """
+with r as (select *, row_number() over () as pos from orders),
+p as (select o_orderpriority as v, row_number() over (order by min(pos)) as code from r where o_orderpriority is not null group by 1),
+s as (select o_orderstatus as v, row_number() over (order by min(pos)) as code from r where o_orderstatus is not null group by 1),
+c as (select o_custkey as v, row_number() over (order by min(pos)) as code from r where o_custkey is not null group by 1)
+select o_orderkey, o_orderpriority, o_orderstatus, o_custkey, cast(p.code as integer) as o_orderpriority_code,
+ cast(s.code as integer) as o_orderstatus_code, cast(c.code as integer) as o_custkey_code
+from r left join p on p.v = o_orderpriority left join s on s.v = o_orderstatus left join c on c.v = o_custkey""")
+def factor_codes(spark, sf_dir):
+    """W4 + W5: factor columns with codes by first appearance in the files (few levels and very many)."""
+    from sward.operators.factors import encode_factors, with_position
+    rows = with_position(spark, f"{sf_dir.rstrip('/')}/orders.parquet", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"])
+    return encode_factors(rows, ["o_orderpriority", "o_orderstatus", "o_custkey"])
+
+
 # --------------------------------------------------------------- species list checks
 _PRESENT_SQL = "select name, sum(q) / 25e0 as total from v_cover group by name having sum(q) / 25e0 > 0"
 
@@ -387,6 +436,31 @@ def line_layer(spark, sf_dir):
     return layer(line_layer_with_vertices(spark, sf_dir))
 
 
+@register("line_geometry", O.with_views(["v_vertices"], f"""
+select o_orderkey as line_id, cast(year(o_orderdate) as varchar) as BAUJAHR,
+ case when o_orderstatus = 'P' then null else concat('<', o_orderstatus, '> & ', o_orderpriority) end as SANIERUNG,
+ o_orderstatus as GWO_L, concat('1', printf('%02d', o_custkey % 100)) as L_GEW_KNZ, n_name as LKR_L, c_name as GEM_L,
+ r_name as WWA_L, o_orderpriority as BETREIBE_L, case when o_custkey % 2 = 0 then 'links' else 'rechts' end as LAGE_FLI_L,
+ part, piece, n_vertices, wkt
+from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey
+left join region on r_regionkey = n_regionkey
+left join (
+ select line_id, part, piece, count(*) as n_vertices,
+  concat(case when count(*) > 1 then 'LINESTRING (' else 'POINT (' end,
+         string_agg(concat(cast(cast(lon as decimal(12,6)) as varchar), ' ', cast(cast(lat as decimal(12,6)) as varchar)), ', ' order by i), ')') as wkt
+ from (select line_id, part, i, lon, lat, unnest(case when i % {GEOMETRY_PIECE} = 0 and i > 0
+               then [i // {GEOMETRY_PIECE}, i // {GEOMETRY_PIECE} - 1] else [i // {GEOMETRY_PIECE}] end) as piece
+       from (select *, row_number() over (partition by line_id, part order by s1, s2, s3) - 1 as i
+             from (select *, cast((s1 - 1) // 3 as integer) as part from v_vertices) a) b) c
+ group by line_id, part, piece having count(*) > 1 or piece = 0) g on g.line_id = o_orderkey"""))
+def line_geometry(spark, sf_dir):
+    """S6 + M2: all nine attributes of every line with the geometry of its parts as WKT."""
+    from sward.operators.geo import line_pieces
+    from sward.sources.layers import line_attributes_full, part_vertices
+    pieces = line_pieces(part_vertices(spark, sf_dir), "line_id", "part", ["s1", "s2", "s3"], piece=GEOMETRY_PIECE, distinct=True)
+    return line_attributes_full(spark, sf_dir).join(pieces, "line_id", "left")
+
+
 # --------------------------------------------------------------- series and reference lines
 def _series_sql(metric: str, lo: float, hi: float, extra: str = "") -> str:
     return O.with_views(["v_site", "v_plots"], f"""
@@ -466,6 +540,23 @@ def series_all_plots(spark, sf_dir):
                                               _all_plots(spark, sf_dir)))
 
 
+@register("stored_series", O.with_views(["v_site", "v_plots"], f"""
+select location, plot, surveyYear, speciesRichness as y, biotopeType,
+ (speciesRichness >= 0 and speciesRichness <= 50) as in_range,
+ concat({_na(_esc_sql('location'))}, '. ID: ', {_na(_esc_sql('plot'))}) as title,
+ cast(row_number() over (partition by plot order by surveyYear) as integer) as seq
+from v_site where plot in (select plot from v_plots where location = 'NATION_18')"""))
+def stored_series(spark, sf_dir):
+    """P10 + M3 + W6: the plots of one location, from the stored analysis table (only their folders are read), in year order."""
+    from sward.plans.stored import stored_series as series
+    from sward.plans.stored import write_stored
+    from sward.session import shared_path
+    from sward.sources import standin
+    path = write_stored(P.site_table(spark, sf_dir), shared_path(spark, "analysis-table"))
+    clicked = standin.plots(spark, sf_dir).where(F.col("location") == "NATION_18").select("plot")
+    return series(spark, path, "speciesRichness", clicked)
+
+
 # --------------------------------------------------------------- geo
 @register("location_centroid", O.with_views(["v_plots"], """
 select concat(upper(substr(location, 1, 3)), '-', cast(constructionYear as varchar)) as locationYear,
@@ -514,54 +605,40 @@ def ring_area(spark, sf_dir):
 
 
 # --------------------------------------------------------------- reshape
-def _sheet_sql() -> str:
-    cols = []
-    for y in range(1995, 2002):
-        iy = f"year(l_shipdate) = {y}"
-        cols += [
-            f"sum(case when {iy} then l_quantity end) / 25e0 as vegetationCov_{y}",
-            f"max(case when {iy} then l_quantity end) as vegetationHeight_{y}",
-            f"cast(count(case when {iy} and l_returnflag = 'R' then 1 end) as double) as opensoilCov_{y}",
-            f"min(case when {iy} then l_quantity end) as mossCov_{y}",
-            f"cast(count(case when {iy} then 1 end) as double) / 4e0 as litterCov_{y}",
-            f"min(case when {iy} then l_linestatus end) as botanist_{y}",
-        ]
-    return ("select printf('%05d', l_suppkey) as plot, " + ", ".join(cols)
-            + " from lineitem group by l_suppkey")
-
-
 _SHEET_MEASURES = ("vegetationCov", "vegetationHeight", "opensoilCov", "mossCov", "litterCov", "botanist")
-
-
-def _long_sheet_sql() -> str:
-    parts = []
-    for y in range(1995, 2002):
-        for m in _SHEET_MEASURES:
-            parts.append(f"select plot, '{m}' as x, '{y}' as surveyYear, cast({m}_{y} as varchar) as n from sheet")
-    return " union all ".join(parts)
-
-
-@register("unpivot_measures", O.with_views([], "select * from (" + _long_sheet_sql() + ") u",
-                                          extra=[("sheet", _sheet_sql())]))
+# every plot in every survey year of the data
+_SHEET_SQL = """
+select printf('%05d', p.k) as plot, y.surveyYear, vegetationCov, vegetationHeight, coalesce(opensoilCov, 0e0) as opensoilCov,
+ mossCov, coalesce(litterCov, 0e0) as litterCov, botanist
+from (select distinct l_suppkey as k from lineitem) p
+cross join (select distinct cast(year(l_shipdate) as integer) as surveyYear from lineitem) y
+left join (select l_suppkey as k, cast(year(l_shipdate) as integer) as surveyYear, sum(l_quantity) / 25e0 as vegetationCov,
+            max(l_quantity) as vegetationHeight, cast(count(case when l_returnflag = 'R' then 1 end) as double) as opensoilCov,
+            min(l_quantity) as mossCov, cast(count(*) as double) / 4e0 as litterCov, min(l_linestatus) as botanist
+           from lineitem group by 1, 2) a using (k, surveyYear)"""
+
+
+@register("unpivot_measures", O.with_views([], " union all ".join(
+    f"select plot, '{m}' as x, cast(surveyYear as varchar) as surveyYear, cast({m} as varchar) as n from sheet" for m in _SHEET_MEASURES),
+    extra=[("sheet", _SHEET_SQL)]))
 def unpivot_measures(spark, sf_dir):
-    """R1 + P3 + P8: measure-year columns of the plot sheet -> (plot, measure, year, value as text)."""
+    """R1 + P3 + P4 + P5 + P8: measure-year columns of the plot sheet -> (plot, measure, year, value as text)."""
+    from sward.operators.reshape import columns_matching, relocate, require_columns
     from sward.operators.reshape import unpivot_measures as unpivot
     from sward.sources.layers import plot_sheet
-    return unpivot(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES)
+    sheet = plot_sheet(spark, sf_dir)
+    found = columns_matching(sheet, prefixes=[m + "_" for m in _SHEET_MEASURES])
+    sheet = require_columns(sheet, ["plot", *found])
+    numbers = columns_matching(sheet, numeric=True)
+    return unpivot(relocate(sheet, numbers, after="plot"), ["plot"], _SHEET_MEASURES)
 
 
-@register("pivot_measures", O.with_views([], " union all ".join(
-    f"select plot, cast({y} as integer) as surveyYear, vegetationCov_{y} as vegetationCov, "
-    f"vegetationHeight_{y} as vegetationHeight, opensoilCov_{y} as opensoilCov, mossCov_{y} as mossCov, "
-    f"litterCov_{y} as litterCov, botanist_{y} as botanist from sheet" for y in range(1995, 2002)),
-    extra=[("sheet", _sheet_sql())]))
+@register("pivot_measures", O.with_views([], "select * from sheet", extra=[("sheet", _SHEET_SQL)]))
 def pivot_measures(spark, sf_dir):
     """R2 + R3: one row per (plot, year) with typed measure columns (narrow explode, no shuffle)."""
     from sward.operators.reshape import wide_to_visits
     from sward.sources.layers import SHEET_NUMERIC, plot_sheet
-    from sward.sources.standin import SURVEY_YEARS
-    return wide_to_visits(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES, SURVEY_YEARS,
-                          numeric=SHEET_NUMERIC)
+    return wide_to_visits(plot_sheet(spark, sf_dir), ["plot"], _SHEET_MEASURES, numeric=SHEET_NUMERIC)
 
 
 _GRAM = "('Poaceae','Cyperaceae','Juncaceae')"
@@ -601,6 +678,26 @@ def cover_long(spark, sf_dir):
     return c.select("id", "name", "n", "family", "target", "targetHerb")
 
 
+@register("cover_matrix", ORACLE["cover_long"])
+def cover_matrix(spark, sf_dir):
+    """R4 + P4 + S3: species x visit sheets written as text, read by header, unpivoted for the visits of the survey, joined to traits."""
+    from sward.session import shared_path
+    from sward.sources import standin
+    from sward.sources.matrix import read_matrix, write_matrix
+    from sward.sources.tables import table
+    # a sheet: one survey year and 32 neighbouring plots
+    year, plot = F.col("surveyYear"), F.col("plot_key")
+    cover = standin.cover(spark, sf_dir).select(
+        (F.floor(plot / 32) * 10000 + year).cast("long").alias("sheet"), "name", standin.visit_id("plot_key", "surveyYear").alias("id"),
+        (F.col("q") / F.lit(standin.COVER_SCALE)).alias("n"))
+    path = write_matrix(cover, shared_path(spark, "cover-matrix"))
+    visits = (table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("plot_key"), F.year("l_shipdate").alias("surveyYear"))
+              .distinct().select(standin.visit_id("plot_key", "surveyYear").alias("id")))
+    long = read_matrix(spark, path, visits=visits).withColumn("name", F.col("name").cast("long"))
+    tr = P.species_traits(spark, sf_dir).select("name", "family", "target", "targetHerb")
+    return long.join(tr, "name", "left").select("id", "name", "n", "family", "target", "targetHerb")
+
+
 _FAMILIES = ("Poaceae", "Cyperaceae", "Juncaceae", "Fabaceae", "Asteraceae", "Rosaceae")
 
 
@@ -618,6 +715,21 @@ def cover_wide(spark, sf_dir):
     return wide.select(standin.visit_id("plot_key", "surveyYear").alias("id"), *_FAMILIES)
 
 
+@register("visit_vectors", O.with_views(["v_cover", "v_visits"], """
+select id, n_species, total, first_species, last_species, round(shannon, 6) as shannon
+from (select plot_key, surveyYear, cast(count(*) as integer) as n_species, sum(q) / 25e0 as total, min(name) as first_species,
+             max(name) as last_species from v_cover where q <> 0 group by 1, 2) c join v_visits using (plot_key, surveyYear)"""))
+def visit_vectors(spark, sf_dir):
+    """R5 + A21: visits as sparse species vectors; species range, total and Shannon's H come from the vectors."""
+    from sward.operators.vectors import vector_summary
+    from sward.operators.vectors import visit_vectors as vectors
+    from sward.sources import standin
+    keys = ["plot_key", "surveyYear"]
+    out = vector_summary(vectors(standin.cover(spark, sf_dir), keys, value="q"), keys, scale=standin.COVER_SCALE)
+    return out.select(standin.visit_id("plot_key", "surveyYear").alias("id"), "n_species", "total", "first_species", "last_species",
+                      F.round("shannon", 6).alias("shannon"))
+
+
 # --------------------------------------------------------------- CSV ingest and sinks
 @register("csv_null_tokens", """
 select o_orderkey,
@@ -648,12 +760,51 @@ def csv_null_tokens(spark, sf_dir):
     )
     path = write_csv(text, shared_path(spark, "csv-null-tokens"))
     typed = read_typed_csv(spark, path, {"o_orderkey": "bigint", "status": "string", "price": "double",
-                                         "orderdate": "date:yyyy-MM-dd", "priority": "string"})
+                                         "orderdate": "date:yyyy-MM-dd", "priority": "string"}, uniform=True)
     typed = typed.withColumns({"price_missing": F.col("price").isNull(), "price0": F.col("price")})
     typed = fill_zero(typed, ["price0"])
     return typed.select("o_orderkey", "status", "price", "price0", "price_missing", "orderdate", "priority")
 
 
+@register("csv_app_tokens", O.with_views(["v_site"], """
+select * replace (case when riverkm % 5 = 0 then '' else side end as side,
+                  case when riverkm % 7 = 0 then null when riverkm % 3 = 0 then '' else botanist end as botanist) from v_site"""))
+def csv_app_tokens(spark, sf_dir):
+    """The dashboard's reader; na and NA are NULL, an empty field is empty text."""
+    from sward.session import shared_path
+    from sward.sources.csv import write_csv
+    k = F.col("riverkm")
+    t = P.site_table(spark, sf_dir).withColumns({
+        "side": F.when(k % 5 == 0, "").otherwise(F.col("side")),
+        "botanist": F.when(k % 7 == 0, "na").when(k % 3 == 0, "").otherwise(F.col("botanist"))})
+    return P.read_analysis_csv(spark, write_csv(t, shared_path(spark, "app-csv")))
+
+
+@register("csv_delimited", """
+select o_orderkey, case when o_orderkey % 6 = 0 then null else o_totalprice end as price,
+ case when o_orderkey % 10 = 0 then null else o_orderstatus end as status, cast(o_orderdate as date) as orderdate from orders""")
+def csv_delimited(spark, sf_dir):
+    """A folder of ``;`` files with decimal commas, a line before the header, and columns in two orders."""
+    from sward.session import shared_path
+    from sward.sources.csv import read_typed_csv, write_line_files
+    from sward.sources.tables import table
+    o = table(spark, sf_dir, "orders")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = F.col("o_orderkey")
+    price = F.when(k % 6 == 0, "na").otherwise(F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(",")))
+    status = F.when(k % 10 == 0, "").otherwise(F.col("o_orderstatus"))
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    file = F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).cast("int")
+    line = F.when(file % 2 == 0, F.concat_ws(";", k.cast("string"), price, status, day)).otherwise(F.concat_ws(";", day, status, k.cast("string"), price))
+    heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.explode(F.array(F.lit(0), F.lit(1))).alias("at"))
+    header = F.when(F.col("file") % 2 == 0, "o_orderkey;price;status;orderdate").otherwise("orderdate;status;o_orderkey;price")
+    heads = heads.withColumn("value", F.when(F.col("at") == 0, "exported sheet; do not edit").otherwise(header))
+    path = write_line_files(heads, o.select(file.alias("file"), line.alias("value")), shared_path(spark, "csv-delimited"))
+    typed = read_typed_csv(spark, path, {"o_orderkey": "bigint", "price": "double", "status": "string", "orderdate": "date:dd.MM.yyyy"},
+                           sep=";", dec=",", skip=1)
+    return typed.select("o_orderkey", "price", "status", "orderdate")
+
+
 @register("species_list_sink", O.with_views(["v_cover"], """
 select cast(name as varchar) as name, cast(count(case when q <> 0 then 1 end) as bigint) as frequency
 from v_cover group by name"""))
@@ -665,9 +816,22 @@ def species_list_sink(spark, sf_dir):
     from sward.sources import standin
     lst = freq(standin.cover(spark, sf_dir), value="q").orderBy("name")
     path = write_csv(lst, shared_path(spark, "species-list"))
-    return read_typed_csv(spark, path, {"name": "string", "frequency": "bigint"})
+    return read_typed_csv(spark, path, {"name": "string", "frequency": "bigint"}, uniform=True)
+
 
 
+@register("species_list_sorted", O.with_views(["v_cover"], """
+select name, count(case when q <> 0 then 1 end) as frequency, row_number() over (order by name) as position
+from v_cover group by name"""))
+def species_list_sorted(spark, sf_dir):
+    """S8 + W6: the species list written in total order, read back with every row's position."""
+    from sward.operators.species import species_frequency as freq
+    from sward.session import shared_path
+    from sward.sources import standin
+    from sward.sources.ordered import read_sorted, write_sorted
+    path = write_sorted(freq(standin.cover(spark, sf_dir), value="q"), shared_path(spark, "species-sorted"), "name")
+    return read_sorted(spark, path).select("name", "frequency", "position")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

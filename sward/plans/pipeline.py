@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from sward.functions.rsem import r_round_sql, str_c, str_sub
 from sward.operators.biotope import Thresholds, classify
-from sward.operators.change import change_classes
+from sward.operators.change import with_change_type
 from sward.operators.metrics import fused_metrics, species_cover, trait_masks
+from sward.operators.reshape import measure_years, wide_to_visits
 from sward.operators.traits import trait_flags
 from sward.sources import standin
+from sward.sources.layers import SHEET_MEASURES, SHEET_NUMERIC
 
 # the reference's final column contract (17 columns, in order)
 SITE_COLUMNS = ("id", "plot", "block", "location", "locationYear", "riverkm", "distanceRiver", "surveyYear",
@@ -64,19 +66,37 @@ def location_year(location, construction_year):
     return str_c(F.upper(str_sub(location, 1, 3)), construction_year, sep="-")
 
 
-def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
-          change_years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
-    """Every computed visit column (T12: built, projected late)."""
-    typed = visit_types(spark, sf_dir, thresholds)
-    plots = standin.plots(spark, sf_dir).drop("plot")
-    s = typed.join(plots, "plot_key", "left")
-    change = change_classes(s.select("plot", "surveyYear", "ffh"), change_years).select("plot", "changeType")
-    s = s.join(change, "plot", "left")
-    return s.selectExpr(
+def build_visits(cover: DataFrame, traits: DataFrame, keys: Sequence[str] = ("id",), value: str = "n", scale: float = 1.0,
+                 thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Metrics and biotope type per visit from a long cover table (keys, name, value) and raw traits."""
+    masks = trait_masks(trait_flags(traits))
+    return classify(fused_metrics(species_cover(cover, masks, value=value), list(keys), value=value, scale=scale), thresholds)
+
+
+def build_sites(sites: DataFrame, cover: DataFrame, traits: DataFrame, years: Sequence[int] | None = None,
+                thresholds: Thresholds = Thresholds(), change_years: Sequence[int] | None = None) -> DataFrame:
+    """E1 on the survey's own tables: every computed column, one row per visit of the sheet.
+
+    sites: the wide plot sheet (id such as ``01_m``, site attributes, ``<measure>_<year>`` columns); cover: long
+    (id such as ``X01_m_2017``, name, n), e.g. from :func:`sward.sources.matrix.read_matrix`; traits: raw traits by name.
+    Survey years come from the sheet's columns.  A sheet without three survey years needs ``change_years``.
+    """
+    measures = [m for m in SHEET_MEASURES if any(c.startswith(m + "_") for c in sites.columns)]
+    years = list(years or measure_years(sites, measures))
+    ids = [c for c in sites.columns if not any(c.startswith(m + "_") for m in measures)]
+    visits = wide_to_visits(sites, ids, measures, years, numeric=SHEET_NUMERIC)
+    raw = F.col("id")
+    visits = visits.withColumns({"id": F.concat(F.lit("X"), str_c(raw, F.col("surveyYear"), sep="_")),
+                                 "plot": F.get(F.split(raw, "_"), 0), "position": F.get(F.split(raw, "_"), 1)})
+    # the sheet's visits stay (the reference joins the metrics to them); a visit without cover has no metrics
+    return enrich(visits.join(build_visits(cover, traits, thresholds=thresholds), "id", "left"), change_years or years[:3])
+
+
+def enrich(s: DataFrame, change_years: Sequence[int], key: str = "plot") -> DataFrame:
+    """The change class (J5) and the derived visit columns; rows already partitioned by ``key`` are not shuffled again."""
+    return with_change_type(s, change_years, key).selectExpr(
         "*",
         "concat(upper(substring(location, 1, 3)), '-', CAST(constructionYear AS STRING)) AS locationYear",
-        "CASE WHEN (plot_key + surveyYear) % 7 = 0 THEN CAST(NULL AS STRING)"
-        " ELSE concat('botanist_', CAST((plot_key + surveyYear) % 3 AS STRING)) END AS botanist",
         "surveyYear - constructionYear AS plotAge",
         # R's x/0 (NaN, Inf) becomes NULL
         "try_divide(CAST(targetCov AS DOUBLE), CAST(accumulatedCov AS DOUBLE)) AS targetCovratio",
@@ -86,14 +106,27 @@ def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(
     )
 
 
-def site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """Finalisation: R rounding, ``accumulatedCov > 0``, the 17-column contract."""
-    s = sites(spark, sf_dir, thresholds)
+def finish(s: DataFrame, columns: Sequence[str] = SITE_COLUMNS) -> DataFrame:
+    """R rounding, ``accumulatedCov > 0``, the column contract."""
     s = s.withColumns({
         "distanceRiver": F.expr(r_round_sql("distanceRiver", 1)),
         "accumulatedCov": F.expr(r_round_sql("accumulatedCov", 1)),
     })
-    return s.filter(F.col("accumulatedCov") > 0).select(*SITE_COLUMNS)
+    return s.filter(F.col("accumulatedCov") > 0).select(*columns)
+
+
+def sites(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds(),
+          change_years: Sequence[int] = standin.CHANGE_YEARS) -> DataFrame:
+    """Every computed visit column of the stand-in tables (T12: built, projected late)."""
+    s = visit_types(spark, sf_dir, thresholds).join(standin.plots(spark, sf_dir).drop("plot"), "plot_key", "left")
+    botanist = ("CASE WHEN (plot_key + surveyYear) % 7 = 0 THEN CAST(NULL AS STRING)"
+                " ELSE concat('botanist_', CAST((plot_key + surveyYear) % 3 AS STRING)) END")
+    return enrich(s.withColumn("botanist", F.expr(botanist)), change_years, key="plot_key")
+
+
+def site_table(spark: SparkSession, sf_dir: str, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Finalisation: R rounding, ``accumulatedCov > 0``, the 17-column contract."""
+    return finish(sites(spark, sf_dir, thresholds))
 
 
 def write_site_table(spark: SparkSession, sf_dir: str, path: str, csv_path: str | None = None) -> str:
@@ -132,4 +165,4 @@ SITE_CSV_TYPES = {
 def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
     """The dashboard's reader of the analysis table CSV (NA tokens "na" / "NA", plot kept as text)."""
     from sward.sources.csv import APP_NA, read_typed_csv
-    return read_typed_csv(spark, path, SITE_CSV_TYPES, tokens=APP_NA).select(*SITE_COLUMNS)
+    return read_typed_csv(spark, path, SITE_CSV_TYPES, tokens=APP_NA, uniform=True).select(*SITE_COLUMNS)

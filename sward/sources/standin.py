@@ -25,8 +25,12 @@ from sward.sources.tables import table
 COVER_SCALE = 25.0
 # Survey years used by the change classification on the stand-in data.
 CHANGE_YEARS = (1996, 1997, 1998)
-# All survey years of the stand-in data (the columns of the wide plot sheet).
-SURVEY_YEARS = tuple(range(1995, 2002))
+
+
+def survey_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """All survey years of the data, in order: as many rows as calendar years."""
+    years = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y")).where("y is not null").distinct()
+    return sorted(r[0] for r in years.collect())
 
 
 def plot_code(key: Column | str) -> Column:
