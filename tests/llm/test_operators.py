@@ -79,27 +79,6 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 102: 100, 103: 100}
 
 
-def test_paragraphs(spark, odd):
-    from sward.llm.paragraphs import drop_repeated_paragraphs, repeated_paragraphs, tune_bands
-    para = " ".join(f"p{i}" for i in range(60))
-    near = para.replace("p30 ", "zz ")  # 5 of 56 shingles differ
-    own = [" ".join(f"d{d}w{i}" for i in range(40)) for d in range(5)]
-    docs = [(1, own[0] + "\n" + para), (2, near + "\n" + own[1]), (3, own[2] + "\n" + own[2]), (4, own[3]),
-            (5, "x " * 3 + "\n\n" + para + "\nshort line"), (6, "short line")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["para"], r["cluster_doc_id"], r["removed"]) for r in repeated_paragraphs(spark, df).collect())
-    assert got == [(1, 1, 1, False), (2, 0, 1, True), (5, 2, 1, True)]
-    spans = {r["doc_id"]: (r["start"], r["end"]) for r in repeated_paragraphs(spark, df).collect()}
-    assert docs[1][1][slice(*spans[2])] == near and docs[4][1][slice(*spans[5])] == para
-    cut = dict(map(tuple, drop_repeated_paragraphs(spark, df).collect()))
-    assert cut[2] == own[1] and cut[5] == "x " * 3 + "\n\nshort line" and cut[1] == docs[0][1] and cut[3] == docs[2][1]
-    out = drop_repeated_paragraphs(spark, odd)
-    assert out.columns == odd.columns and out.count() == len(ODD)
-    assert repeated_paragraphs(spark, empty(spark)).count() == 0
-    bands, rows = tune_bands(0.8, 0.999)
-    assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999
-
-
 def test_decontamination(spark, odd):
     from sward.llm.decontam import drop_leaks, leaks
     item = [f"Bench{i}" for i in range(30)]
