@@ -13,10 +13,7 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
-import sys
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +28,6 @@ MAX_PIECE = 512
 BLOCK_PIECES = 4000
 #: Entries of a worker's chunk cache; it is emptied when full.
 CACHE_ENTRIES = 1_200_000
-_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -90,9 +86,8 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         windows = max(windows + 1, min(len(sizes), windows + windows // 400))
 
 
-_BLANKS = re.compile("[\t\n\r]")
-_STOP = re.compile(r"(?<=[a-z])([.,])(?= |$)")
-#: (path, tokenizer, ids by chunk) of this worker process; the next task goes on with it.
+_STOPS = (".", ",")
+#: (path, tokenizer, ids by chunk, special token between chunks or None) of this worker process; the next task goes on with it.
 _STATE: list = []
 
 
@@ -100,26 +95,51 @@ def _tokenizer(path: str) -> tuple:
     if not _STATE or _STATE[0] != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _STATE[:] = [path, Tokenizer.from_file(path), {}]
-    return _STATE[1], _STATE[2]
+        tokenizer = Tokenizer.from_file(path)
+        special = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items()
+                   if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)]
+        _STATE[:] = [path, tokenizer, {}, min(special, default=None)]
+    return _STATE[1:]
 
 
 def _chunks(text: str | None) -> list[str]:
     """Pieces of a text that the tokenizer treats independently of one another.
 
-    The tokenizer folds case, drops white space, and never joins letters with
-    punctuation or what white space separates.  So A-Z may be folded first and a
-    text cut at blanks and before a full stop or comma that ends a word, and equal
-    pieces are encoded once.  Texts that may hold special tokens keep their case.
+    The tokenizer folds case, drops white space, and never joins what white space separates.  So
+    A-Z may be folded first and a text cut at blanks, and equal pieces are encoded once.  Texts that
+    may hold special tokens keep their case.
     """
     if not text:
         return []
     if "<|" not in text:
         text = text.lower() if text.isascii() else text.encode().lower().decode()  # bytes fold A-Z only
-    return _STOP.sub(r" \1", _BLANKS.sub(" ", text)).split(" ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-def _encode(texts, tokenizer, cache: dict):
+def _new_ids(chunks: list[str], tokenizer, special: tuple | None):
+    """The ids of each chunk, as arrays.
+
+    A special token splits a text before anything else is done, so many chunks with one between
+    them are encoded in one call.  Chunks that might hold a special token are encoded alone.
+    """
+    if special is None:
+        for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4")
+        return
+    text, number = special
+    for at in range(0, len(chunks), 1024):
+        part = chunks[at:at + 1024]
+        ids = np.array(tokenizer.encode_batch_fast([text.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == number).tolist()
+        if len(ends) != len(part) - 1:  # a chunk holds the special token itself
+            for e in tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4")
+            continue
+        for i, j in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)]):
+            yield ids[i:j]
+
+
+def _encode(texts, tokenizer, cache: dict, special: tuple | None = None):
     """Little-endian uint32 ids of each text, the end id included."""
     words = [_chunks(t) for t in texts]
     if len(cache) > CACHE_ENTRIES:
@@ -127,11 +147,19 @@ def _encode(texts, tokenizer, cache: dict):
     seen = set()
     for ws in words:
         seen.update(ws)
-    missing = [w for w in seen if w not in cache]
-    for at in range(0, len(missing), 4096):
-        part = missing[at:at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = array("I", e.ids).tobytes() if _LITTLE else np.asarray(e.ids, dtype="<u4").tobytes()
+    missing = seen.difference(cache)
+    # a full stop or comma behind a letter is a token of its own
+    ended = [w for w in missing if w[-1:] in _STOPS and "a" <= w[-2:-1] <= "z" and "<|" not in w]
+    missing.difference_update(ended)
+    missing.update(w[:-1] for w in ended if w[:-1] not in cache)
+    if ended:
+        missing.update(c for c in _STOPS if c not in cache)
+    alone = [w for w in missing if "<|" in w]
+    missing.difference_update(alone)
+    for some, between in ((alone, None), (list(missing), special)):
+        cache.update(zip(some, (x.tobytes() for x in _new_ids(some, tokenizer, between))))
+    for w in ended:
+        cache[w] = cache[w[:-1]] + cache[w[-1]]
     end = np.asarray([END_ID], dtype="<u4").tobytes()
     return [b"".join(map(cache.__getitem__, ws)) + end for ws in words]
 
@@ -140,7 +168,7 @@ def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int):
     from sward.llm.common import slices
 
     def run(batches):
-        tokenizer, cache = _tokenizer(path)
+        tokenizer, cache, special = _tokenizer(path)
         seq = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: list[tuple] = []
 
@@ -166,7 +194,7 @@ def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int):
 
         for b in slices(batches, rows=1024, data_bytes=8 << 20):
             out = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), _encode(b.column("text").to_pylist(), tokenizer, cache)):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), _encode(b.column("text").to_pylist(), tokenizer, cache, special)):
                 n = len(ids) // 4
                 full = n // capacity
                 for i in range(full):
