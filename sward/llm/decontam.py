@@ -20,7 +20,8 @@ RUN, SHORT_RUN = 4, 3
 MIN_TOKENS = 13
 #: ... of which at least this share is equal.
 MIN_MATCH = 0.8
-#: Test seeds are broadcast up to this many rows (about 50 MB); a larger benchmark is joined by shuffle.
+#: Test seeds are broadcast up to this many rows of four numbers (about 50 MB as a hash table, whatever the length
+#: of the items); a larger benchmark is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -60,7 +61,7 @@ def _item_seeds(h: Column, pos: Column) -> list[Column]:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_tokens: int = MIN_TOKENS,
-          min_match: float = MIN_MATCH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+          min_match: float = MIN_MATCH, min_item: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Benchmark passages found in ``docs``: one row per (doc_id, item_id).
 
     docs: (doc_id, text), benchmark: (item_id, text).  Returns doc_id, item_id,
@@ -68,30 +69,31 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_tok
     n_equal, best_window (equal tokens in the best window of
     min(min_tokens, tokens of the item) tokens).  Of several alignments the one with
     most equal tokens is returned, ties to the earlier.  NULL and empty texts and
-    NULL ids give no row; repeated rows count once.  Other columns are ignored.
+    NULL ids give no row; repeated rows count once.  Other columns are ignored.  Items of fewer than
+    ``min_item`` tokens are not searched; with the default an item of one word is found wherever the word is.
     """
     items = (benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"),
                                                            token_hashes(F.col("text")).alias("h"))
              .withColumn("h", F.filter("h", lambda x: x != F.xxhash64(F.lit("")))))
-    items = items.where(F.size("h") > 0).distinct()
-    test = (_explode(items, _item_seeds, "item_id").select("seed", "item_id", F.col("pos").alias("item_pos"),
-                                                F.col("h").alias("ih")))
+    items = items.where(F.size("h") >= min_item).distinct().withColumn("it", F.xxhash64("h"))
+    # seeds travel without their items; ids may repeat with other texts, so a hash of the tokens goes along
+    test = _explode(items, _item_seeds, "item_id", "it").select("seed", "item_id", "it", F.col("pos").alias("item_pos"))
     small = test.count() <= broadcast_rows
     sizes = [r[0] for r in items.select(F.least(F.size("h"), F.lit(12)).alias("n")).distinct().collect()]  # 12 at most
     lengths = sorted({k for n in sizes for k, _ in runs(n)})
-    train = _explode(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                             token_hashes(F.col("text")).alias("h")),
-                     lambda h, pos: [_seed(h, pos, m) for m in (*MASKS, *[tuple(range(k)) for k in lengths])], "doc_id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
+
+    def train(*keep: str) -> DataFrame:
+        return _explode(texts.withColumn("dt", F.xxhash64("h")),
+                        lambda h, pos: [_seed(h, pos, m) for m in (*MASKS, *[tuple(range(k)) for k in lengths])], "doc_id", *keep)
+
+    item = items.select("item_id", "it", F.col("h").alias("ih"))  # joined to the hits; Spark's size check picks the way
     if small:
-        hits = train.join(F.broadcast(test), "seed")
+        hits = train().join(F.broadcast(test), "seed").join(item, ["item_id", "it"])
     else:  # the texts stay behind: only seeds are shuffled, and hit documents are read again
-        # ids may repeat with other texts: a hash of the tokens goes along
-        hits = (train.select("doc_id", F.xxhash64("h").alias("dt"), "pos", "seed")
-                .join(test.withColumn("it", F.xxhash64("ih")).drop("ih"), "seed")
+        hits = (train("dt").drop("h").join(test, "seed")
                 .select("doc_id", "dt", "item_id", "it", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-                .join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
-                      .withColumn("dt", F.xxhash64("h")), ["doc_id", "dt"])
-                .join(items.select("item_id", F.col("h").alias("ih"), F.xxhash64("h").alias("it")), ["item_id", "it"])
+                .join(texts.withColumn("dt", F.xxhash64("h")), ["doc_id", "dt"]).join(item, ["item_id", "it"])
                 .withColumns({"pos": F.col("shift"), "item_pos": F.lit(0)}))
     # aligned stretches: document token shift + i against item token i
     shift = F.col("pos") - F.col("item_pos")
