@@ -33,7 +33,7 @@ from sward.llm import common as C
 #: Words with a place in the broadcast table; two-byte codes, 0 is left for all others.
 HOT = 65_535
 #: Tokens per column block of a mapper and per pair partition: bound a task's memory.
-BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 2_000_000
+BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 1_200_000
 #: Rows of a written block.
 BLOCK_ROWS = 1 << 17
 #: Text hashed at once; the arrays of a pass take about 35 times as much.
@@ -194,7 +194,7 @@ def _blocks(parts: int, box):
                 o = order[i:j][head]
                 block = (*_coded(hist[o], hot), *_coded(tok[o], hot),
                          np.diff(np.append(head, j - i)).astype("<u4").tobytes(), doc[i:j].astype("<u4").tobytes(),
-                         times[i:j].astype("<u4").tobytes(), np.packbits(train).tobytes())
+                         times[i:j].astype("<u4").tobytes(), np.packbits(train[doc[i:j]]).tobytes())
                 out.append((p, b"P" + packer.compress(pickle.dumps(block))))
             out.append((run_id % parts, b"D" + packer.compress(pickle.dumps((ids, size_of)))))
             return pa.RecordBatch.from_arrays(
@@ -215,15 +215,14 @@ def _blocks(parts: int, box):
 
 
 def _unpack(block: bytes, hot: np.ndarray):
-    """(history, token, documents per pair, document, times, is training document) of a block."""
+    """(history, token, documents per pair, document, times, is training document) of a block, the last three by occurrence."""
     import pickle
 
     import zstandard
     hc, hx, wc, wx, n, doc, times, train = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
     doc = np.frombuffer(doc, "<u4").astype(np.int64)
-    flags = np.unpackbits(np.frombuffer(train, np.uint8)).astype(bool)
     return (_decoded(hc, hx, hot), _decoded(wc, wx, hot), np.frombuffer(n, "<u4").astype(np.int64), doc,
-            np.frombuffer(times, "<u4").astype(np.int64), flags[doc])
+            np.frombuffer(times, "<u4").astype(np.int64), np.unpackbits(np.frombuffer(train, np.uint8), count=len(doc)).astype(bool))
 
 
 def _rare_words(items, hot: np.ndarray) -> np.ndarray:
@@ -324,7 +323,7 @@ def _history_sums(box, *model):
 
 
 def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
-    """(run, block) of one partition: known words, base and score of its pairs per document of a run (b"S"),
+    """(run, block) of one partition: documents of a run that have some of its pairs, their known words, base and score (b"S"),
     and the ids and token numbers of the runs listed there (b"D")."""
     def run(item):
         blocks, counts = item
@@ -344,8 +343,9 @@ def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
             score = la + np.log10(uni.p(c))
             i, ok = _lookup(pair_key(h, w), key)
             score[ok] = log_p[i[ok]]
-            known, base, score = (np.bincount(doc, weights=np.repeat(x, n) * times) for x in (c > 0, uni.base(c), score))
-            yield (run_id, b"S" + known.astype("<u4").tobytes() + base.tobytes() + score.tobytes())
+            docs, at = np.unique(doc, return_inverse=True)  # those that have one of the pairs
+            known, base, score = (np.bincount(at, weights=np.repeat(x, n) * times) for x in (c > 0, uni.base(c), score))
+            yield (run_id, b"S" + docs.astype("<u4").tobytes() + known.astype("<u4").tobytes() + base.tobytes() + score.tobytes())
     return run
 
 
@@ -363,28 +363,29 @@ def _documents(batches):
                 ids, size = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
                 runs[r] = [ids, np.frombuffer(size, "<i8"), copies + 1, total]
                 continue
-            m = (len(block) - 1) // 20
-            x = [np.frombuffer(block, "<u4", m, 1), *np.frombuffer(block, "<f8", 2 * m, 1 + 4 * m).reshape(2, m)]
-            if m > total.shape[1]:
-                total = runs[r][3] = np.pad(total, ((0, 0), (0, m - total.shape[1])))
-            for have, more in zip(total, x):
-                have[:m] += more
+            m = (len(block) - 1) // 24
+            docs, known = np.frombuffer(block, "<u4", 2 * m, 1).reshape(2, m)
+            size = int(docs[-1]) + 1  # in ascending order
+            if size > total.shape[1]:
+                total = runs[r][3] = np.pad(total, ((0, 0), (0, max(size, 2 * total.shape[1]) - total.shape[1])))
+            for have, more in zip(total, (known, *np.frombuffer(block, "<f8", 2 * m, 1 + 8 * m).reshape(2, m))):
+                have[docs] += more
     for ids, size, copies, total in runs.values():
-        total = np.pad(total, ((0, 0), (0, len(ids) - total.shape[1]))) / copies
+        total = np.pad(total, ((0, 0), (0, max(0, len(ids) - total.shape[1]))))[:, :len(ids)] / copies
         for _ in range(copies):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.rint(total[0]).astype(np.int64)),
                  pa.array(total[1]), pa.array(total[2])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 2) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (runs of bytes other than space and 0x09-0x0D, A-Z
     lower-cased) and one end per text; a NULL text is an empty one, and has the end
     token only.  The model learns from rows whose crc32(doc_id) modulo 7 is not 2
     (a NULL doc_id counts as held out, is scored and never learned from).
-    Pairs of fewer than ``least`` training occurrences count as unseen (Katz's option; 1 keeps every pair).
+    Every training pair is in the model; with ``least`` above 1, pairs of fewer occurrences count as unseen (Katz's option).
     base_score sums log10((c + 1) / (N + V + 1)); score is the model's log10 probability.  Repeated rows
     are counted and scored as often as they occur.  Without training rows every
     token is the unknown word with probability 1.  Other columns are ignored.
