@@ -274,21 +274,6 @@ def test_toxicity(spark, odd):
     assert score_toxicity(spark, empty(spark), lab).count() == 0
 
 
-def test_pipeline_brute_force(spark):
-    """Near dedup, paragraph cuts and leaks of the pipeline's run against plain Python, given its first stage."""
-    import corpus_pipeline as P
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = P.quality(spark, docs, sf)
-    comp = brute_components([(r["doc_id"], r["text"]) for r in good.collect()], 5, 80)
-    kept = {d for d, (_, c) in comp.items() if c == d}
-    packed = P.run(spark, sf)
-    ids = {r[0] for r in packed.select("doc_id").distinct().collect()}
-    assert ids <= kept and len(ids) >= 0.8 * len(kept)
-    assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontaminate", "packing"]
-    assert good.columns == docs.columns
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_link_finds_every_linked_bucket_mate(spark, seed):
     """One bucket of loose copies around two centres: the hub is unlike many classes, links among these are kept."""
