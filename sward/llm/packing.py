@@ -26,8 +26,8 @@ END_ID = 2
 MAX_PIECE = 512
 #: Pieces per block: bounds the memory of a task (pieces x windows small integers) and its time.
 BLOCK_PIECES = 4000
-#: Entries of a worker's chunk cache; it is emptied when full.
-CACHE_ENTRIES = 1_200_000
+#: Entries of a task's chunk cache; it is emptied when full and at the end of the task.
+CACHE_ENTRIES = 600_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -212,6 +212,7 @@ def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int):
                 yield emit(out)
         if held:
             yield emit(block())
+        cache.clear()  # the worker process goes on with other tasks
     return run
 
 
