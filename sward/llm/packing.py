@@ -26,8 +26,8 @@ END_ID = 2
 MAX_PIECE = 512
 #: Pieces per block: bounds the memory of a task (pieces x windows small integers) and its time.
 BLOCK_PIECES = 4000
-#: Entries of a task's chunk cache; it is emptied when full and at the end of the task.
-CACHE_ENTRIES = 600_000
+#: Entries of a worker's chunk cache (some 200 bytes each); it is emptied when full.
+CACHE_ENTRIES = 1_200_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -164,7 +164,7 @@ def _encode(texts, tokenizer, cache: dict, special: tuple | None = None):
     return [b"".join(map(cache.__getitem__, ws)) + end for ws in words]
 
 
-def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int):
+def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int, keep_cache: bool = True):
     from sward.llm.common import slices
 
     def run(batches):
@@ -212,19 +212,21 @@ def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int):
                 yield emit(out)
         if held:
             yield emit(block())
-        cache.clear()  # the worker process goes on with other tasks
+        if not keep_cache:
+            cache.clear()
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY,
-                   max_piece: int = MAX_PIECE, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+                   max_piece: int = MAX_PIECE, block_pieces: int = BLOCK_PIECES, keep_cache: bool = True) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, text).
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  NULL and
     empty texts are the end id alone.  Rows repeated or without a doc_id are packed
     like any other.  An empty table gives no row; other columns are ignored.
     Sequence numbers are the task's partition number times 2**40 plus a count, so
-    a task that is run again gives the same rows.
+    a task that is run again gives the same rows.  ``keep_cache``: a worker's encoded chunks
+    stay for its next task; without it they go with the task, for jobs that do other work in the same workers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pack_rows(tokenizer_path, capacity, max_piece, block_pieces), SCHEMA)
+    return docs.mapInArrow(_pack_rows(tokenizer_path, capacity, max_piece, block_pieces, keep_cache), SCHEMA)
