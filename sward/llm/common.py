@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -217,6 +218,25 @@ def flat_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
                                     pa.array(np.ascontiguousarray(values).view(np.int64)))
 
 
+def release_memory() -> None:
+    """Give memory that was freed back to the system: Arrow's pool, then the C heap where it is glibc's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own rules
+        pass
+
+
+def releasing(run):
+    """``run`` over Arrow batches; what it freed leaves the Python worker, which outlives the task, when it ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
 def slices(batches, rows: int = 4096, data_bytes: int = 6 << 20, text: str = "text"):
     """Cut Arrow batches so that one piece holds a bounded amount of text (a text is never cut)."""
     for b in batches:

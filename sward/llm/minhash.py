@@ -20,6 +20,8 @@ from sward.llm import common as C
 from sward.llm.neardup import link, shared_buckets
 
 CIRCLE_BITS = 22
+#: Text handled at once: the arrays over it take some 40 bytes a byte.
+SLICE_BYTES = 1 << 20
 SEED = 77_003
 #: 24 bands of 5 rows miss a pair at similarity 0.8 with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, ROWS = 24, 5
@@ -55,7 +57,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _fingerprints(k: int, bands: int, rows: int):
     def run(batches):
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             data, off = C.string_buffers(b.column("text"))
             h, row, _, _ = C.word_hashes(data, off)
             cut = C.row_slices(row, b.num_rows)
@@ -71,7 +73,7 @@ def _fingerprints(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches):
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             data, off = C.string_buffers(b.column("text"))
             h, row, _, _ = C.word_hashes(data, off)
             cut = C.row_slices(row, b.num_rows)
@@ -101,7 +103,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
     """
     scratch = C.Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fp = scratch.save(docs.mapInArrow(_fingerprints(shingle_words, bands, rows),
+    fp = scratch.save(docs.mapInArrow(C.releasing(_fingerprints(shingle_words, bands, rows)),
                                       "doc_id long, n long, set_id binary, bands array<long>"), "fp")
     named = fp.where("set_id is not null and doc_id is not null")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -110,7 +112,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle_words: int
         named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
     wanted = scratch.save(candidates, "wanted")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(shingle_words), "set_id binary, n long, s array<long>")
+    sets = texts.mapInArrow(C.releasing(_sets(shingle_words)), "set_id binary, n long, s array<long>")
     sets = scratch.save(sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
     labels = link(scratch, buckets, sets, threshold)
     scratch.drop(buckets, sets, wanted)

@@ -165,7 +165,7 @@ def _encode(texts, tokenizer, cache: dict, special: tuple | None = None):
 
 
 def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int, keep_cache: bool = True):
-    from sward.llm.common import slices
+    from sward.llm.common import releasing, slices
 
     def run(batches):
         tokenizer, cache, special = _tokenizer(path)
@@ -213,8 +213,8 @@ def _pack_rows(path: str, capacity: int, max_piece: int, block_pieces: int, keep
         if held:
             yield emit(block())
         if not keep_cache:
-            cache.clear()
-    return run
+            _STATE.clear()
+    return run if keep_cache else releasing(run)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY,
@@ -226,7 +226,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     like any other.  An empty table gives no row; other columns are ignored.
     Sequence numbers are the task's partition number times 2**40 plus a count, so
     a task that is run again gives the same rows.  ``keep_cache``: a worker's encoded chunks
-    stay for its next task; without it they go with the task, for jobs that do other work in the same workers.
+    stay for its next task; without it they and the tokenizer go with the task, for jobs that do other work in the same workers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_pack_rows(tokenizer_path, capacity, max_piece, block_pieces, keep_cache), SCHEMA)

@@ -18,6 +18,8 @@ from sward.llm.models import SAMPLE_DOCS, apply_logistic, fit_logistic, held_out
 
 N_FEATURES = 12
 EPOCHS, RATE, L2 = 120, 0.1, 1e-3
+#: Text handled at once: the arrays over it take some 40 bytes a byte.
+SLICE_BYTES = 1 << 20
 
 _CLASS = np.zeros((5, 256), dtype=np.float32)  # upper, digit, stop marks, other symbols, beyond ASCII
 for _b in range(256):
@@ -172,7 +174,7 @@ def _document_features(model: dict, x: np.ndarray, off: np.ndarray, size: np.nda
 
 
 def _sample_rows(batches):
-    for b in C.slices(batches):
+    for b in C.slices(batches, data_bytes=SLICE_BYTES):
         x, size, off = line_features(b.column("text"))
         for i, (doc, lab) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist())):
             s = slice(off[i], off[i + 1])
@@ -184,7 +186,7 @@ def _sample_rows(batches):
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> dict:
     """Model from at most ``limit`` labelled documents; {"share": ...} when there is nothing to tell apart."""
     rows = labelled_sample(docs, labels, "quality", limit).mapInArrow(
-        _sample_rows, "doc_id long, label int, x binary, size binary").collect()  # the lines of at most limit documents
+        C.releasing(_sample_rows), "doc_id long, label int, x binary, size binary").collect()  # the lines of at most limit documents
     rows.sort(key=lambda r: r["doc_id"])
     label = np.array([r["label"] for r in rows], dtype=np.int64)
     if len(label) == 0 or label.min() == label.max():
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> dict:
 
 def _scorer(model: dict):
     def run(batches):
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             if "share" in model:
                 p = np.full(b.num_rows, model["share"])
             else:
@@ -220,7 +222,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, li
     held out.  Other columns are ignored.
     """
     model = train(docs, labels, limit)
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(C.releasing(_scorer(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -231,7 +233,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, limit:
     scorer = _scorer(model)
 
     def run(batches):
-        for b in C.slices(batches):
+        for b in C.slices(batches, data_bytes=SLICE_BYTES):
             score = next(scorer(iter([b.select(["doc_id", "text"])]))).column("score").to_numpy()
             yield b.filter(pa.array(score >= 0.5))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.releasing(run), docs.schema)
