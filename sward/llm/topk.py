@@ -135,24 +135,25 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, *, k: int = 10, sha
     vectors: (vec_id, embedding); ``is_query`` is a condition on vec_id.  Candidates are
     all vectors but the query's own id; ties go to the smaller vec_id.  All, if there
     are fewer than k.  Vectors that are NULL, of NULL id, or that hold a NULL or
-    non-finite component take no part; all others must have one dimension (an empty
-    vector scores 0 with empty vectors only).  Vectors of different lengths are an
-    error.  Repeated rows count once.  A score beyond 64 bits is an error.
+    non-finite component take no part.  A vector is scored against those of its own
+    length only, each length in trees of its own (an empty vector scores 0 with empty
+    vectors).  Repeated rows count once; a vec_id with several vectors is ranked once
+    over the scores of all of them.  A score beyond 64 bits is an error.
     """
     scratch = C.Scratch(spark, "topk")
-    pool = scratch.save(quantised(vectors).distinct(), "pool")
+    pool = scratch.save(quantised(vectors).distinct().withColumn("dims", F.size("q")), "pool")
     n, nq = pool.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_queries))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         tree = build_tree(pdf["vec_id"].to_numpy(), _matrix(pdf["q"]))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dims": [pdf["dims"].iloc[0]], "tree": [pickle.dumps(tree)]})
 
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    trees = scratch.save(pool.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, tree binary"), "trees")
-    cells = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
-    queries = pool.where(is_query).select("vec_id", "q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
+    trees = scratch.save(pool.withColumn("shard", shard).groupBy("shard", "dims").applyInPandas(build, "shard long, dims int, tree binary"), "trees")
+    cells = trees.select("shard", "dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
+    queries = pool.where(is_query).select("vec_id", "q", "dims", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
 
     def visit(first_leaf: bool):
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +167,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, *, k: int = 10, sha
 
     def round_(qs: DataFrame, first_leaf: bool) -> DataFrame:
         sent = qs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        return (cells.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block"))
+        return (cells.groupBy("shard", "dims", "block").cogroup(sent.groupBy("shard", "dims", "block"))
                 .applyInPandas(visit(first_leaf), "query_id long, vec_id long, score long"))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
