@@ -214,34 +214,34 @@ def _blocks(parts: int, box):
     return run
 
 
-def _unpack(block: bytes, hot: np.ndarray):
-    """(history, token, documents per pair, document, times, is training document) of a block, the last three by occurrence."""
+def _loaded(block: bytes) -> tuple:
     import pickle
 
     import zstandard
-    hc, hx, wc, wx, n, doc, times, train = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
+
+
+def _unpack(loaded: tuple, hot: np.ndarray):
+    """(history, token, documents per pair, document, times, is training document) of a block, the last three by occurrence."""
+    hc, hx, wc, wx, n, doc, times, train = loaded
     doc = np.frombuffer(doc, "<u4").astype(np.int64)
     return (_decoded(hc, hx, hot), _decoded(wc, wx, hot), np.frombuffer(n, "<u4").astype(np.int64), doc,
             np.frombuffer(times, "<u4").astype(np.int64), np.unpackbits(np.frombuffer(train, np.uint8), count=len(doc)).astype(bool))
 
 
-def _rare_words(items, hot: np.ndarray) -> np.ndarray:
-    """The distinct words of one partition that are not in the table."""
-    found = np.zeros(0, np.uint64)
-    for _, _, block in items:
-        if block[:1] != b"D":
-            w = _unpack(block, hot)[1]
-            found = np.union1d(found, w[~_lookup(w, hot)[1]])
-    return found
-
+def _training_pairs(items, hot: np.ndarray, rare: list | None = None):
+    """(key, history, token, count) of the distinct training pairs of one partition, in the order of their keys.
 
-def _training_pairs(items, hot: np.ndarray):
-    """(key, history, token, count) of the distinct training pairs of one partition, in the order of their keys."""
+    ``rare`` gets the distinct words of each block that are not in the table.
+    """
     hs, ws, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, _, block in items:
         if block[:1] == b"D":
             continue
-        h, w, n, _, times, train = _unpack(block, hot)
+        loaded = _loaded(block)
+        if rare is not None:
+            rare.append(np.unique(np.frombuffer(loaded[3], np.uint64)))
+        h, w, n, _, times, train = _unpack(loaded, hot)
         total = np.add.reduceat(times * train, np.concatenate([[0], np.cumsum(n)[:-1]]))
         seen = total > 0
         hs.append(h[seen])
@@ -267,10 +267,10 @@ def _columns(*arrays) -> list[bytes]:
 def _count_pairs(box):
     """(part, n, block) of one partition: counts of counts, and its words that are not in the table."""
     def run(part, items):
-        items, hot = list(items), box.value["w"]
-        c = _training_pairs(items, hot)[3]
+        rare = [np.zeros(0, np.uint64)]
+        c = _training_pairs(items, box.value["w"], rare)[3]
         yield (part, [int((c == r).sum()) for r in range(1, KATZ_K + 2)], None)
-        for block in _columns(_rare_words(items, hot)):
+        for block in _columns(np.unique(np.concatenate(rare))):
             yield (part, None, block)
     return run
 
@@ -335,7 +335,7 @@ def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
             if block[:1] == b"D":
                 yield (run_id, bytes(block))
                 continue
-            h, w, n, doc, times, _ = _unpack(block, t["w"])
+            h, w, n, doc, times, _ = _unpack(_loaded(block), t["w"])
             c = _word_counts(w, counts, t)
             i, hot = _place(h, t)
             j, ok = _lookup(h, cold)
@@ -395,7 +395,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
     # a document's id and a hash of its text name the run it is in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
                        train.alias("train"), "text")
-    words = scratch.save(rows.where("train").select("text").mapInArrow(_count_words, "w long, c long")
+    words = scratch.save(rows.where("train").select("text").mapInArrow(C.releasing(_count_words, first=True), "w long, c long")
                          .groupBy("w").agg(F.sum("c").alias("c")), "words")
     cc = [F.count(F.when(F.col("c") == r, 1)).alias(f"n{r}") for r in range(1, KATZ_K + 2)]
     got = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *cc).first()
@@ -413,9 +413,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
     box = sc.broadcast(hot)
     parts = max(1, math.ceil(uni.total * 1.2 / PARTITION_TOKENS))
 
-    blocks = rows.mapInArrow(_blocks(parts, box), "part int, run long, block binary").repartitionById(parts, "part").rdd  # read three times, shuffled once
+    blocks = rows.mapInArrow(C.releasing(_blocks(parts, box), first=True), "part int, run long, block binary").repartitionById(parts, "part").rdd  # read three times, shuffled once
     form = "part int, n array<long>, block binary"
-    counted = scratch.save(spark.createDataFrame(blocks.mapPartitionsWithIndex(_count_pairs(box)), form, verifySchema=False), "counted")
+    counted = scratch.save(spark.createDataFrame(blocks.mapPartitionsWithIndex(C.releasing(_count_pairs(box), first=True)), form, verifySchema=False), "counted")
     n = counted.agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(KATZ_K + 1)]).first()
     d = good_turing([0, *n])
 
@@ -460,7 +460,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(sp.view(np.float64)), pa.array(s1.view(np.float64))],
                                                  ["h", "p", "p1"])
 
-    sums = spark.createDataFrame(both.flatMap(_history_sums(box, *model)), form, verifySchema=False)
+    sums = spark.createDataFrame(both.flatMap(C.releasing(_history_sums(box, *model), first=True)), form, verifySchema=False)
     hist = (sums.select("block").mapInArrow(unblocked, "h long, p double, p1 double")
             .groupBy("h").agg(F.sum("p").alias("sp"), F.sum("p1").alias("s1")))
     # both masses are positive: the unknown word has some in P(w), and c(h) + 1 leaves some after h
@@ -470,8 +470,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
     la[_place(alpha.column("h").to_numpy().view(np.uint64), hot)[0]] = alpha.column("la").to_numpy()
     table = sc.broadcast({**hot, "la": la})
 
-    scores = spark.createDataFrame(both.flatMap(_score_pairs(table, *model)), "run long, block binary", verifySchema=False)
+    scores = spark.createDataFrame(both.flatMap(C.releasing(_score_pairs(table, *model), first=True)), "run long, block binary", verifySchema=False)
     out = scores.repartition("run").mapInArrow(
-        _documents, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        C.releasing(_documents, first=True), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.coalesce(C.crc_bucket(F.col("doc_id"), SPLIT) != HELD_OUT, F.lit(False))).alias("held_out"),
                       "n_tokens", "n_known", F.lit(int(uni.total)).alias("train_tokens"), "base_score", "score")
