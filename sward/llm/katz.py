@@ -17,7 +17,7 @@ its partition.  The same shuffle output serves the counting, the sums per histor
 the scoring; pairs are counted again in each of these and never written.  Counts of
 the HOT words are broadcast; those of other words are joined and sent to the
 partitions that have them.  Every partition adds up what its pairs give to the scores
-of the documents of a run.  Words and pairs are named by 64-bit hashes.
+of the documents of a run; known words and base scores of HOT words are added up before the shuffle.  Words and pairs are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -149,10 +149,21 @@ def _place(h: np.ndarray, t: dict):
     return np.where(begin, len(t["w"]), i), ok | begin
 
 
-def _blocks(parts: int, box):
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs; the first byte tells how many."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([x.itemsize]) + x.tobytes()
+
+
+def _widened(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _blocks(parts: int, box, uni: Unigrams | None = None):
     """Rows (partition, run, block): distinct (pair, document) occurrences of a run of documents.
 
-    A run is named by a hash of its documents' keys; one block per run lists those keys.
+    A run is named by a hash of its documents' keys; one block per run lists those keys, the token numbers and,
+    with ``uni``, how many of the tokens are words of the table and what these give to the base score.
     """
     def run(batches):
         import pickle
@@ -167,7 +178,11 @@ def _blocks(parts: int, box):
             ids = [x for h in held for x in h[5]]
             run_id = int(np.bitwise_xor.reduce(C.mix64(C.mix64(th.view(np.uint64)) + np.arange(len(th), dtype=np.uint64))
                                                + np.array([hash(x) & _MASK for x in ids], dtype=np.uint64)).view(np.int64))
-            size_of = np.bincount(doc, minlength=len(ids)).astype("<i8").tobytes()
+            listed = [ids, np.bincount(doc, minlength=len(ids)).astype("<i8").tobytes()]
+            if uni:
+                i, ok = _lookup(tok, hot)
+                listed += [np.bincount(doc[ok], minlength=len(ids)).astype("<i8").tobytes(),
+                           np.bincount(doc[ok], weights=uni.base(box.value["ch"])[i[ok]], minlength=len(ids)).tobytes()]
             key = pair_key(hist, tok)
             order = np.argsort(key, kind="stable")  # keeps the documents of a pair in order
             key, doc = key[order], doc[order]
@@ -196,7 +211,7 @@ def _blocks(parts: int, box):
                          np.diff(np.append(head, j - i)).astype("<u4").tobytes(), doc[i:j].astype("<u4").tobytes(),
                          times[i:j].astype("<u4").tobytes(), np.packbits(train[doc[i:j]]).tobytes())
                 out.append((p, b"P" + packer.compress(pickle.dumps(block))))
-            out.append((run_id % parts, b"D" + packer.compress(pickle.dumps((ids, size_of)))))
+            out.append((run_id % parts, b"D" + packer.compress(pickle.dumps(listed))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([run_id] * len(out), pa.int64()),
                  pa.array([x[1] for x in out], pa.binary())], ["part", "run", "block"])
@@ -323,9 +338,11 @@ def _history_sums(box, *model):
 
 
 def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
-    """(run, block) of one partition: documents of a run that have some of its pairs, their known words, base and score (b"S"),
-    and the ids and token numbers of the runs listed there (b"D")."""
+    """(run, block) of one partition: documents of a run that have some of its pairs, their scores, and of those with words that
+    are not in the table how many of these are known and their base (b"S"), and what is listed there of runs (b"D")."""
     def run(item):
+        import pickle
+
         blocks, counts = item
         t, counts = box.value, _sorted_counts(counts)
         key, p, cold, sp, s1 = _model(blocks, counts, t, least, d, uni)
@@ -335,7 +352,9 @@ def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
             if block[:1] == b"D":
                 yield (run_id, bytes(block))
                 continue
-            h, w, n, doc, times, _ = _unpack(_loaded(block), t["w"])
+            loaded = _loaded(block)
+            rare = np.frombuffer(loaded[2], "<u2") == 0
+            h, w, n, doc, times, _ = _unpack(loaded, t["w"])
             c = _word_counts(w, counts, t)
             i, hot = _place(h, t)
             j, ok = _lookup(h, cold)
@@ -344,8 +363,12 @@ def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
             i, ok = _lookup(pair_key(h, w), key)
             score[ok] = log_p[i[ok]]
             docs, at = np.unique(doc, return_inverse=True)  # those that have one of the pairs
-            known, base, score = (np.bincount(at, weights=np.repeat(x, n) * times) for x in (c > 0, uni.base(c), score))
-            yield (run_id, b"S" + docs.astype("<u4").tobytes() + known.astype("<u4").tobytes() + base.tobytes() + score.tobytes())
+            score = np.bincount(at, weights=np.repeat(score, n) * times)
+            c, of = c[rare], np.repeat(rare, n)
+            some, at = np.unique(doc[of], return_inverse=True)
+            known, base = (np.bincount(at, weights=np.repeat(x, n[rare]) * times[of]) for x in (c > 0, uni.base(c)))
+            yield (run_id, b"S" + pickle.dumps((_small(np.diff(docs, prepend=0)), score.tobytes(),
+                                                _small(np.diff(some, prepend=0)), _small(known), base.tobytes())))
     return run
 
 
@@ -360,16 +383,19 @@ def _documents(batches):
             block = block.as_py()
             ids, size, copies, total = runs.setdefault(r, [None, None, 0, np.zeros((3, 0))])
             if block[:1] == b"D":
-                ids, size = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
-                runs[r] = [ids, np.frombuffer(size, "<i8"), copies + 1, total]
-                continue
-            m = (len(block) - 1) // 24
-            docs, known = np.frombuffer(block, "<u4", 2 * m, 1).reshape(2, m)
-            size = int(docs[-1]) + 1  # in ascending order
-            if size > total.shape[1]:
-                total = runs[r][3] = np.pad(total, ((0, 0), (0, max(size, 2 * total.shape[1]) - total.shape[1])))
-            for have, more in zip(total, (known, *np.frombuffer(block, "<f8", 2 * m, 1 + 8 * m).reshape(2, m))):
-                have[docs] += more
+                ids, size, known, base = pickle.loads(zstandard.ZstdDecompressor().decompress(block[1:]))
+                docs = some = np.arange(len(ids))
+                known, score = np.frombuffer(known, "<i8"), np.zeros(len(ids))
+                runs[r][:3] = [ids, np.frombuffer(size, "<i8"), copies + 1]
+            else:
+                docs, score, some, known, base = pickle.loads(block[1:])
+                docs, some, known = np.cumsum(_widened(docs)), np.cumsum(_widened(some)), _widened(known)
+                score = np.frombuffer(score)
+            most = int(docs[-1]) + 1 if len(docs) else 0  # in ascending order, and some are among them
+            if most > total.shape[1]:
+                total = runs[r][3] = np.pad(total, ((0, 0), (0, max(most, 2 * total.shape[1]) - total.shape[1])))
+            for have, at, more in zip(total, (some, some, docs), (known, np.frombuffer(base), score)):
+                have[at] += more
     for ids, size, copies, total in runs.values():
         total = np.pad(total, ((0, 0), (0, max(0, len(ids) - total.shape[1]))))[:, :len(ids)] / copies
         for _ in range(copies):
@@ -413,7 +439,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
     box = sc.broadcast(hot)
     parts = max(1, math.ceil(uni.total * 1.2 / PARTITION_TOKENS))
 
-    blocks = rows.mapInArrow(C.releasing(_blocks(parts, box), first=True), "part int, run long, block binary").repartitionById(parts, "part").rdd  # read three times, shuffled once
+    blocks = rows.mapInArrow(C.releasing(_blocks(parts, box, uni), first=True), "part int, run long, block binary").repartitionById(parts, "part").rdd  # read three times, shuffled once
     form = "part int, n array<long>, block binary"
     counted = scratch.save(spark.createDataFrame(blocks.mapPartitionsWithIndex(C.releasing(_count_pairs(box), first=True)), form, verifySchema=False), "counted")
     n = counted.agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(KATZ_K + 1)]).first()
@@ -447,7 +473,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, *, least: int = 1) ->
             yield flush()
 
     rare = counted.where("block is not null").select("part", "block").mapInArrow(wanted, "part int, w long").join(words, "w")
-    rare = rare.select("part", "w", "c").mapInArrow(sent, "part int, block binary").repartitionById(parts, "part").rdd
+    rare = scratch.save(rare.select("part", "w", "c").mapInArrow(sent, "part int, block binary"), "rare")
+    scratch.drop(words, counted)
+    rare = rare.repartitionById(parts, "part").rdd
     both = (blocks.mapPartitions(lambda it: [list(it)])
             .zip(rare.mapPartitions(lambda it: [[bytes(x[1]) for x in it]])))
     model = (least, d, uni)
