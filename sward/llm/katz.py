@@ -124,9 +124,9 @@ def _lookup(keys: np.ndarray, sorted_keys: np.ndarray):
 
 
 # ------------------------------------------------------------------ pair blocks
-def _coded(x: np.ndarray, hot: np.ndarray):
-    i, ok = _lookup(x, hot)
-    return np.where(ok, i + 1, 0).astype("<u2").tobytes(), x[~ok].tobytes()
+def _coded(x: np.ndarray, code: np.ndarray):
+    """Codes of words, and the words without one."""
+    return code.tobytes(), x[code == 0].tobytes()
 
 
 def _decoded(code: bytes, cold: bytes, hot: np.ndarray) -> np.ndarray:
@@ -178,9 +178,14 @@ def _blocks(parts: int, box, uni: Unigrams | None = None):
             ids = [x for h in held for x in h[5]]
             run_id = int(np.bitwise_xor.reduce(C.mix64(C.mix64(th.view(np.uint64)) + np.arange(len(th), dtype=np.uint64))
                                                + np.array([hash(x) & _MASK for x in ids], dtype=np.uint64)).view(np.int64))
+            # a history is the token before it, so each token is looked up once
+            i, ok = _lookup(tok, hot)
+            code, begin = np.where(ok, i + 1, 0).astype("<u2"), hist == BEGIN
+            before = np.zeros_like(code)
+            before[1:] = code[:-1]
+            before[begin] = 0
             listed = [ids, np.bincount(doc, minlength=len(ids)).astype("<i8").tobytes()]
             if uni:
-                i, ok = _lookup(tok, hot)
                 listed += [np.bincount(doc[ok], minlength=len(ids)).astype("<i8").tobytes(),
                            np.bincount(doc[ok], weights=uni.base(box.value["ch"])[i[ok]], minlength=len(ids)).tobytes()]
             key = pair_key(hist, tok)
@@ -191,10 +196,9 @@ def _blocks(parts: int, box, uni: Unigrams | None = None):
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(key)))
             key, doc, order = key[at], doc[at], order[at]
-            h = hist[order]
-            whole = ~_place(h, box.value)[1]  # histories that stay in one partition
+            whole = (before[order] == 0) & ~begin[order]  # histories that stay in one partition
             route = key.copy()
-            route[whole] = C.mix64(h[whole] ^ _PAIR)
+            route[whole] = C.mix64(hist[order[whole]] ^ _PAIR)
             part = ((route >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             by = np.argsort(part, kind="stable")
             key, doc, order, times, part = key[by], doc[by], order[by], times[by], part[by]
@@ -207,7 +211,7 @@ def _blocks(parts: int, box, uni: Unigrams | None = None):
                 k = key[i:j]
                 head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
                 o = order[i:j][head]
-                block = (*_coded(hist[o], hot), *_coded(tok[o], hot),
+                block = (*_coded(hist[o], before[o]), *_coded(tok[o], code[o]),
                          np.diff(np.append(head, j - i)).astype("<u4").tobytes(), doc[i:j].astype("<u4").tobytes(),
                          times[i:j].astype("<u4").tobytes(), np.packbits(train[doc[i:j]]).tobytes())
                 out.append((p, b"P" + packer.compress(pickle.dumps(block))))
@@ -353,12 +357,17 @@ def _score_pairs(box, least: int, d: np.ndarray, uni: Unigrams):
                 yield (run_id, bytes(block))
                 continue
             loaded = _loaded(block)
-            rare = np.frombuffer(loaded[2], "<u2") == 0
             h, w, n, doc, times, _ = _unpack(loaded, t["w"])
-            c = _word_counts(w, counts, t)
-            i, hot = _place(h, t)
-            j, ok = _lookup(h, cold)
-            la = np.where(hot, t["la"][i], np.where(ok, cold_la[j], 0.0))
+            # places in the table are the block's codes
+            code = np.frombuffer(loaded[2], "<u2").astype(np.int64)
+            rare = code == 0
+            c = t["ch"][code - 1]
+            c[rare] = _word_counts(w[rare], counts, t)
+            code = np.frombuffer(loaded[0], "<u2").astype(np.int64)
+            la = t["la"][code - 1]  # code 0: the last place, BEGIN's
+            other = np.flatnonzero((code == 0) & (h != BEGIN))
+            j, ok = _lookup(h[other], cold)
+            la[other] = np.where(ok, cold_la[j], 0.0)
             score = la + np.log10(uni.p(c))
             i, ok = _lookup(pair_key(h, w), key)
             score[ok] = log_p[i[ok]]

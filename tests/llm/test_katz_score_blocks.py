@@ -45,3 +45,26 @@ def test_score_blocks_are_small_and_whole():
 @pytest.mark.parametrize("x", [[], [0], [3, 255], [256, 0, 65_535], [1 << 16, 7], [1 << 32, 5]])
 def test_small_numbers_come_back(x):
     assert katz._widened(katz._small(np.array(x, np.int64))).tolist() == x
+
+
+def test_a_token_is_looked_up_once(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(60)) for _ in range(40)]
+    tok = katz.token_arrays(pa.array(texts))[0]
+    words, counts = np.unique(tok, return_counts=True)
+    hot = {"w": words[::2], "ch": np.append(counts[::2], 40)}
+    looked, plain = [], katz._lookup
+    monkeypatch.setattr(katz, "_lookup", lambda keys, table: looked.append(len(keys)) or plain(keys, table))
+    uni = katz.Unigrams(len(tok), len(words), [0, *(int((counts == r).sum()) for r in range(1, katz.KATZ_K + 2))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array([True] * 40), pa.array(texts)],
+                                       ["doc_id", "th", "train", "text"])
+    items = [x for b in katz._blocks(3, SimpleNamespace(value=hot), uni)([batch]) for x in zip(*(b.column(c).to_pylist() for c in ("part", "run", "block")))]
+    assert sum(looked) == len(tok)  # more before: histories and words of distinct pairs again
+    # a block holds histories and words as they were
+    want = {(int(h), int(w)) for h, w in zip(katz.token_arrays(pa.array(texts))[1], tok)}
+    got = set()
+    for _, _, block in items:
+        if block[:1] == b"P":
+            h, w, *_ = katz._unpack(katz._loaded(block), hot["w"])
+            got |= set(zip(h.tolist(), w.tolist()))
+    assert got == want
